@@ -45,12 +45,15 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
 
 
-def _attr_regex(attr: str) -> str:
-    # walk earlier attributes one by one so that text inside other values never matches
+def attr_regex(attr: str) -> str:
+    """Start-tag prefix up to ``attr=`` (group 1) and the raw, possibly quoted value (group 2).
+
+    Earlier attributes are walked one by one so that text inside another value never matches.
+    """
     return (
-        r"(?is)^<[a-z][a-z0-9]*"
+        r"(?is)^(<[a-z][a-z0-9]*"
         r"""(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
-        rf"""\s+{attr}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        rf"""\s+{attr}\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)"""
     )
 
 
@@ -61,11 +64,14 @@ def decode_entities(v: Column) -> Column:
 
 
 def attr_value(token: Column, attr: str) -> Column:
-    """Decoded value of ``attr`` in a start tag; null when the attribute is absent."""
-    rx = _attr_regex(attr)
-    present = token.rlike(rx)
-    raw = F.concat(F.regexp_extract(token, rx, 1), F.regexp_extract(token, rx, 2), F.regexp_extract(token, rx, 3))
-    return F.when(present, decode_entities(raw))
+    """Decoded value of ``attr`` in a start tag; null when the attribute is absent (one regex pass)."""
+    raw = F.regexp_extract(token, attr_regex(attr), 2)
+
+    def body(r):
+        quoted = r.startswith('"') | r.startswith("'")
+        inner = F.when(quoted, F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r)
+        return F.when(r != "", decode_entities(inner))
+    return F.element_at(F.transform(F.array(raw), body), 1)
 
 
 def link_structs(html: Column, tags=tuple(LINK_TAGS)) -> Column:

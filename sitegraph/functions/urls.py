@@ -284,6 +284,12 @@ def _path_steps(u: Column, qhash, lhash, max_name: int, final: bool) -> Column:
     return F.when(u.isNotNull(), let(url_parts(u), body))
 
 
+def local_name(u: Column | str, hash_algo: str = "md5", hash_len: int = QUERY_HASH_HEX) -> Column:
+    """The file path inside its host folder before the long-name rule."""
+    h = lambda x: name_hash(x, hash_algo, hash_len)
+    return _path_steps(_s(u), h, h, MAX_NAME_CHARS, False)
+
+
 def local_path(
     u: Column | str,
     hash_algo: str = "md5",

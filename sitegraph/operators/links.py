@@ -16,32 +16,30 @@ from pyspark.sql import functions as F
 from sitegraph.functions import html as H
 from sitegraph.functions import urls as U
 
-_ATT = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-# every character of a page falls into exactly one token, so joining them gives the page back
-_ALL_TOKENS = (
-    r"(?is)<!--.*?-->"
-    rf"|<script\b{_ATT}>.*?</script\s*>"
-    rf"|<style\b{_ATT}>.*?</style\s*>"
-    rf"|<[a-z/!?]{_ATT}>"
-    r"|[^<]+|<"
-)
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def raw_links(pages: DataFrame, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html",
-              tags: Sequence[str] = tuple(H.LINK_TAGS)) -> DataFrame:
-    """Every link-carrying tag of every page: keep cols, page_url, pos, tag, attr, href (document order)."""
-    exploded = pages.select(
-        *keep, F.col(url).alias("page_url"),
-        F.posexplode(H.link_structs(F.col(html), tuple(tags))).alias("pos", "l"),
-    )
-    return exploded.select(
-        *keep, "page_url", F.col("pos").cast("bigint").alias("pos"),
-        F.col("l.tag").alias("tag"), F.col("l.attr").alias("attr"), F.col("l.value").alias("href"),
-    )
+              tags: Sequence[str] = tuple(H.LINK_TAGS), resolve: bool = False) -> DataFrame:
+    """Every link-carrying tag of every page: keep cols, page_url, pos, tag, attr, href (document order).
+
+    With ``resolve`` the link is also resolved against the page (column
+    ``url``) inside the generator, so later filters on it can not be pushed
+    below it and re-run the resolver.
+    """
+    structs = H.link_structs(F.col(html), tuple(tags))
+    if resolve:
+        structs = F.transform(structs, lambda l: F.struct(
+            l["tag"].alias("tag"), l["attr"].alias("attr"), l["value"].alias("value"),
+            U.resolve_url(F.col(url), l["value"]).alias("url")))
+    exploded = pages.select(*keep, F.col(url).alias("page_url"), F.posexplode(structs).alias("pos", "l"))
+    cols = [*keep, "page_url", F.col("pos").cast("bigint").alias("pos"), F.col("l.tag").alias("tag"),
+            F.col("l.attr").alias("attr"), F.col("l.value").alias("href")]
+    if resolve:
+        cols.append(F.col("l.url").alias("url"))
+    return exploded.select(*cols)
 
 
 def extract_links(
@@ -61,13 +59,14 @@ def extract_links(
     excluded ones (P2) and ranks them by ``weights`` (U5). Output:
     ``keep..., page_url, pos, tag, attr, href, url, priority``.
     """
-    links = raw_links(pages, keep, url, html)
-    dom = U.url_netloc(F.col("page_url")) if domain is None else (F.lit(domain) if isinstance(domain, str) and domain not in pages.columns else _col(domain))
-    out = (
-        links.filter((F.col("href") != "") & ~F.col("href").startswith("#"))
-        .withColumn("url", U.resolve_url(F.col("page_url"), F.col("href")))
-        .filter(F.col("url").isNotNull())
-    )
+    links = raw_links(pages, keep, url, html, resolve=True)
+    if domain is None:
+        dom = U.url_netloc(F.col("page_url"))
+    elif isinstance(domain, str) and domain not in pages.columns:
+        dom = F.lit(domain)
+    else:
+        dom = _col(domain)
+    out = links.filter((F.col("href") != "") & ~F.col("href").startswith("#") & F.col("url").isNotNull())
     out = out.filter(U.in_domain(F.col("url"), dom, strict_domain))
     if excluded:
         out = out.filter(~U.is_excluded(F.col("url"), excluded))
@@ -79,12 +78,8 @@ def extract_images(pages: DataFrame, keep: Sequence[str] = ("page_id",), url: st
 
     An empty ``src`` would resolve to the page itself; it is skipped.
     """
-    imgs = raw_links(pages, keep, url, html, tags=("img",))
-    return (
-        imgs.filter(F.col("href") != "")
-        .withColumn("url", U.resolve_url(F.col("page_url"), F.col("href")))
-        .filter(F.col("url").isNotNull())
-    )
+    imgs = raw_links(pages, keep, url, html, tags=("img",), resolve=True)
+    return imgs.filter((F.col("href") != "") & F.col("url").isNotNull())
 
 
 def image_routing(images: DataFrame, domain: Column, excluded: Sequence[str] = ()) -> DataFrame:
@@ -103,11 +98,11 @@ def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str]
     the target is inside the domain; otherwise the href is kept. With
     ``script_rule`` an ``a`` href still ending ``.php``/``.pl`` becomes ``.html`` (U6).
     """
-    links = raw_links(pages, keep, url, html).filter(F.col("href") != "")
+    links = raw_links(pages, keep, url, html, resolve=True).withColumnRenamed("url", "target").filter(
+        F.col("href") != "")
     dom = U.url_netloc(F.col("page_url")) if domain is None else domain
-    target = U.resolve_url(F.col("page_url"), F.col("href"))
     rel = U.link_target_path(F.col("page_url"), F.col("target"), **path_opts)
-    out = links.withColumn("target", target).withColumn(
+    out = links.withColumn(
         "new_href",
         F.when(F.col("target").isNotNull() & U.in_domain(F.col("target"), dom), rel).otherwise(F.col("href")),
     )
@@ -126,37 +121,55 @@ def _escape_attr(v: Column) -> Column:
     return F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
 
 
-def _rewrite_token(tok: Column, page_url: Column, dom: Column, script_rule: bool, path_opts: dict) -> Column:
+def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict) -> Column:
+    """New text of one link tag; ``page`` holds the page's url, domain and folder (bound once per page)."""
     name = H.tag_name(tok)
     is_href = name.isin("a", "link")
     is_src = name.isin("img", "script")
+
+    def body(v):
+        val = v["val"]
+
+        def with_target(target):
+            rel = U.relative_path(U.local_path(target, **path_opts), page["dir"])
+            new = F.when(target.isNotNull() & U.in_domain(target, page["dom"]), rel).otherwise(val)
+            if script_rule:
+                new = F.when(v["name"] == "a", U.script_link(new)).otherwise(new)
+            return U.let(new, finish)
+
+        def finish(new):
+            repl = F.concat(F.lit("$1\""), _escape_replacement(_escape_attr(new)), F.lit('"'))
+            return (F.when(new == val, tok)
+                    .when(v["is_href"], F.regexp_replace(tok, F.lit(H.attr_regex("href")), repl))
+                    .otherwise(F.regexp_replace(tok, F.lit(H.attr_regex("src")), repl)))
+        return U.let(U.resolve_url(page["url"], val), with_target)
+
     val = F.when(is_href, H.attr_value(tok, "href")).when(is_src, H.attr_value(tok, "src"))
-    target = U.resolve_url(page_url, val)
-    new = F.when(target.isNotNull() & U.in_domain(target, dom),
-                 U.link_target_path(page_url, target, **path_opts)).otherwise(val)
-    if script_rule:
-        new = F.when(name == "a", U.script_link(new)).otherwise(new)
-    attr_pat_href = r"""(?is)^(<[a-z][a-z0-9]*(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+href\s*=\s*)(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-    attr_pat_src = attr_pat_href.replace(r"\s+href\s*", r"\s+src\s*")
-    repl = F.concat(F.lit("$1\""), _escape_replacement(_escape_attr(new)), F.lit('"'))
-    changed = (
-        F.when(is_href, F.regexp_replace(tok, F.lit(attr_pat_href), repl))
-        .otherwise(F.regexp_replace(tok, F.lit(attr_pat_src), repl))
-    )
-    return F.when((is_href | is_src) & val.isNotNull() & (val != "") & (new != val), changed).otherwise(tok)
+    return U.bind(lambda v: F.when(v["val"].isNotNull() & (v["val"] != ""), body(v)).otherwise(tok),
+                  val=val, name=name, is_href=is_href)
 
 
 def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url", html: str = "html",
                  script_rule: bool = True, **path_opts) -> DataFrame:
     """The page with every in-domain link pointing at the local copy.
 
-    Bytes outside the changed attribute values stay as they were. Output
-    column ``html`` replaces the input one.
+    The page is split around its link tags (comments and script/style blocks
+    are matched too, so links inside them stay untouched); only the tags are
+    rewritten and the pieces are joined back, so bytes outside the changed
+    attribute values stay as they were. Output column ``html`` replaces the input.
     """
     page_url = F.col(url)
     dom = U.url_netloc(page_url) if domain is None else domain
-    tokens = F.regexp_extract_all(F.col(html), F.lit(_ALL_TOKENS), 0)
-    rewritten = F.array_join(
-        F.transform(tokens, lambda t: _rewrite_token(t, page_url, dom, script_rule, path_opts)), ""
-    )
-    return pages.withColumn(html, rewritten)
+    pattern = H.tag_pattern()
+
+    def body(p):
+        tags = F.regexp_extract_all(p["html"], F.lit(pattern), 0)
+        gaps = F.split(p["html"], pattern, -1)
+        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts))
+        tail = F.zip_with(new_tags, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))),
+                          lambda t, g: F.concat(t, F.coalesce(g, F.lit(""))))
+        return F.concat(F.element_at(gaps, 1), F.array_join(tail, ""))
+
+    page = U.bind(body, url=page_url, html=F.col(html), dom=dom,
+                  dir=U.dirname(U.local_path(page_url, **path_opts)))
+    return pages.withColumn(html, F.when(F.col(html).isNotNull(), page))
