@@ -8,8 +8,6 @@ links, no ``;params``); the general cases are covered by the pytest suite.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,23 +18,7 @@ from sitegraph.operators import state as S
 from sitegraph.plans import fixtures as FX
 from sitegraph.sources.tables import read_pages
 
-# --- fixed query parameters (crawler knobs) ---
-WEIGHTS = ["/the", "/and", "blog."]
-EXCLUDED = ["cheap-pills", "spam-farm", "/to"]
-BATCH = 50
-# --- end of fixed query parameters ---
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLES[key] = sql
-        return fn
-    return deco
+from sitegraph.plans.registry import EXCLUDED, ORACLES, QUERIES, WEIGHTS, register  # noqa: F401
 
 
 # ------------------------------------------------------------------ SQL snippets
@@ -237,3 +219,7 @@ from f join w on f.path = w.path""")
 def q_mirror_manifest(spark, sf_dir):
     """S3 + K2: what a mirror of all pages holds; the first page per file is written."""
     return K.manifest(_pages(spark, sf_dir), order=["page_id"])
+
+
+# registering the other query families
+from sitegraph.plans import crawl_queries  # noqa: E402,F401
