@@ -99,7 +99,7 @@ def fetch_outcome(log: DataFrame, url: str = "url") -> DataFrame:
     def delay(a, t):
         sleeps = (a["n"] <= t) & (
             (a["cls"] == "retry_server") | ((a["cls"] == "retry_network") & (a["n"] < MAX_ATTEMPTS)))
-        return F.when(sleeps, F.shiftleft(F.lit(FIRST_DELAY_S), a["n"] - 1)).otherwise(F.lit(0))
+        return F.when(sleeps, (F.lit(FIRST_DELAY_S) * F.pow(F.lit(2), a["n"] - 1)).cast("int")).otherwise(F.lit(0))
 
     with_term = grouped.withColumn("term", term).withColumn("outcome_cls", outcome)
     backoff = F.aggregate("tries", F.lit(0), lambda acc, a: acc + delay(a, F.col("term")))
