@@ -224,3 +224,4 @@ def q_mirror_manifest(spark, sf_dir):
 # registering the other query families
 from sitegraph.plans import crawl_queries  # noqa: E402,F401
 from sitegraph.plans import fetch_queries  # noqa: E402,F401
+from sitegraph.plans import url_queries  # noqa: E402,F401
