@@ -8,6 +8,7 @@ by the narrow X1 stage, so the crawl loop joins small key tables only and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     seeds = starts.select(*KEY)
     if excluded:
         seeds = seeds.where(~U.is_excluded(F.col("url"), excluded))
-    edges = page_links(pages, starts, weights, excluded, strict_domain).checkpoint()
+    edges = G.materialize(page_links(pages, starts, weights, excluded, strict_domain))
     if batch_size is None:
         found = G.bfs(spark, edges, seeds.select("crawl_id", F.col("url").alias("start")), max_depth=max_rounds)
         found = found.select("crawl_id", "url", "depth", "parent").withColumn(
@@ -67,13 +68,14 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
 
 
 def _best_first(spark, edges, seeds, weights, k, max_rounds):
-    e = edges.repartition("crawl_id", "src").checkpoint()
-    start = seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
-                         F.lit(None).cast("string").alias("parent")).checkpoint()
+    root = f"{checkpoint_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    e = G.materialize(edges.repartition("crawl_id", "src"))
+    start = G.write_level(spark, seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
+                                              F.lit(None).cast("string").alias("parent")), f"{root}/visited-0")
     visited, open_ = start, start
     rounds = 0
     while not open_.isEmpty() and (max_rounds is None or rounds < max_rounds):
-        batch = W.frontier_batch(open_, k).drop("rank").checkpoint()
+        batch = G.write_level(spark, W.frontier_batch(open_, k).drop("rank"), f"{root}/batch-{rounds}")
         found = (
             batch.select("crawl_id", F.col("url").alias("src"), F.col("depth").alias("pdepth"),
                          F.col("priority").alias("ppri"))
@@ -83,9 +85,11 @@ def _best_first(spark, edges, seeds, weights, k, max_rounds):
             .select("crawl_id", "url", F.col("f.priority").alias("priority"),
                     (F.col("f.pdepth") + 1).alias("depth"), F.col("f.src").alias("parent"))
             .join(visited.select(*KEY), KEY, "left_anti")
-        ).checkpoint()
-        visited = visited.unionByName(found).checkpoint()
-        open_ = open_.join(batch.select(*KEY), KEY, "left_anti").unionByName(found).checkpoint()
+        )
+        found = G.write_level(spark, found, f"{root}/found-{rounds}")
+        visited = G.write_level(spark, visited.unionByName(found), f"{root}/visited-{rounds + 1}")
+        open_ = G.write_level(spark, open_.join(batch.select(*KEY), KEY, "left_anti").unionByName(found),
+                              f"{root}/open-{rounds + 1}")
         rounds += 1
     return visited
 

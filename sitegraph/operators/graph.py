@@ -10,6 +10,7 @@ The driver only ever sees a row count per round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,20 @@ def graph_nodes(edges: DataFrame, by: Sequence[str] = ("crawl_id",)) -> DataFram
             .unionByName(edges.select(*by, F.col("dst").alias("url"))).distinct())
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps the partitioning (computed once: persisted while written)."""
+    df = df.persist()
+    out = df.checkpoint()
+    df.unpersist()
+    return out
+
+
+def write_level(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Cut lineage by writing a table to the shared checkpoint folder and reading it back (one job)."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
         max_depth: int | None = None) -> DataFrame:
     """Multi-source BFS: every node reached from each source with its shortest depth and a parent.
@@ -43,14 +58,20 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     ``sources(*by, start)`` (a start need not be a node); ``edges(*by, src, dst)``.
     Output ``(*by, start, url, depth, parent)``; ``parent`` is the smallest
     URL of the previous level that links to the node (null for the start).
+
+    Each round: level ⋈ edges on ``(*by, src)`` (the edges stay hash-partitioned
+    on that key, so only the level is shuffled), ``min(src)`` per reached node
+    (combined map-side), anti-join with all earlier levels, then the new level
+    is written as Parquet under ``spark.checkpoint.dir``. Rounds = graph depth.
     """
-    checkpoint_dir(spark)
+    root = f"{checkpoint_dir(spark)}/bfs-{uuid.uuid4().hex}"
     by = list(by)
-    e = edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    e = e.repartition(*by, "src").checkpoint()
-    level = sources.select(*by, "start").distinct().select(
+    e = materialize(edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
+                    .repartition(*by, "src"))
+    start = sources.select(*by, "start").distinct().select(
         *by, "start", F.col("start").alias("url"), F.lit(0).alias("depth"),
-        F.lit(None).cast("string").alias("parent")).checkpoint()
+        F.lit(None).cast("string").alias("parent"))
+    level = write_level(spark, start, f"{root}/level=0")
     levels = [level]
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -63,10 +84,9 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
             .groupBy(*by, "start", F.col("dst").alias("url"))
             .agg(F.min("src").alias("parent"))
             .join(seen.select(*by, "start", "url"), [*by, "start", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth + 1))
-            .select(*by, "start", "url", "depth", "parent")
+            .select(*by, "start", "url", F.lit(depth + 1).alias("depth"), "parent")
         )
-        level = step.checkpoint()
+        level = write_level(spark, step, f"{root}/level={depth + 1}")
         if level.isEmpty():
             break
         levels.append(level)
