@@ -8,7 +8,6 @@ by the narrow X1 stage, so the crawl loop joins small key tables only and
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +23,14 @@ KEY = ["crawl_id", "url"]
 
 
 def replay_fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each frontier row with its captured content; no match is a failed fetch."""
-    content = pages.select(*KEY, "html")
+    """Each frontier row with its captured content; no match is a failed fetch.
+
+    The page table is first semi-joined with the batch keys (the small side,
+    which AQE broadcasts when its runtime size is under the threshold), so only
+    the fetched pages' HTML moves; the outer join then runs on that small result.
+    """
+    keys = frontier.select(*KEY).distinct()
+    content = pages.select(*KEY, "html").join(keys, KEY, "left_semi")
     return frontier.join(content, KEY, "left").withColumn("fetched", F.col("html").isNotNull())
 
 
@@ -68,14 +73,14 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
 
 
 def _best_first(spark, edges, seeds, weights, k, max_rounds):
-    root = f"{checkpoint_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    checkpoint_dir(spark)
     e = G.materialize(edges.repartition("crawl_id", "src"))
-    start = G.write_level(spark, seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
-                                              F.lit(None).cast("string").alias("parent")), f"{root}/visited-0")
-    visited, open_ = start, start
+    start, _ = G.checkpoint_counted(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
+                                                 F.lit(None).cast("string").alias("parent")))
+    visited, open_, n_open = start, start, 1
     rounds = 0
-    while not open_.isEmpty() and (max_rounds is None or rounds < max_rounds):
-        batch = G.write_level(spark, W.frontier_batch(open_, k).drop("rank"), f"{root}/batch-{rounds}")
+    while n_open > 0 and (max_rounds is None or rounds < max_rounds):
+        batch, _ = G.checkpoint_counted(W.frontier_batch(open_, k).drop("rank"))
         found = (
             batch.select("crawl_id", F.col("url").alias("src"), F.col("depth").alias("pdepth"),
                          F.col("priority").alias("ppri"))
@@ -86,10 +91,9 @@ def _best_first(spark, edges, seeds, weights, k, max_rounds):
                     (F.col("f.pdepth") + 1).alias("depth"), F.col("f.src").alias("parent"))
             .join(visited.select(*KEY), KEY, "left_anti")
         )
-        found = G.write_level(spark, found, f"{root}/found-{rounds}")
-        visited = G.write_level(spark, visited.unionByName(found), f"{root}/visited-{rounds + 1}")
-        open_ = G.write_level(spark, open_.join(batch.select(*KEY), KEY, "left_anti").unionByName(found),
-                              f"{root}/open-{rounds + 1}")
+        found, _ = G.checkpoint_counted(found)
+        visited, _ = G.checkpoint_counted(visited.unionByName(found))
+        open_, n_open = G.checkpoint_counted(open_.join(batch.select(*KEY), KEY, "left_anti").unionByName(found))
         rounds += 1
     return visited
 

@@ -3,9 +3,10 @@
 Reachability is a level-synchronous BFS written as a driver loop of DataFrame
 rounds. Each round joins the current level with the edges on
 ``(crawl_id, src)`` and anti-joins everything reached so far; only the new
-level is materialised (reliable ``checkpoint`` into ``spark.checkpoint.dir``),
-so the lineage stays one level deep and a lost executor costs one round at most.
-The driver only ever sees a row count per round.
+level is a reliable checkpoint in ``spark.checkpoint.dir`` (the edges once,
+keeping their hash partitioning), so the lineage stays one
+level deep and a lost executor costs one round at most. The driver only ever
+sees a row count per round, observed during the write.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.session import checkpoint_dir
@@ -45,10 +46,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def write_level(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Cut lineage by writing a table to the shared checkpoint folder and reading it back (one job)."""
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Reliable checkpoint (into ``spark.checkpoint.dir``) plus the row count, observed in the same job."""
+    obs = Observation(f"rows-{uuid.uuid4().hex[:8]}")
+    out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint()
+    return out, int(obs.get["n"])
 
 
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
@@ -62,16 +64,16 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     Each round: level ⋈ edges on ``(*by, src)`` (the edges stay hash-partitioned
     on that key, so only the level is shuffled), ``min(src)`` per reached node
     (combined map-side), anti-join with all earlier levels, then the new level
-    is written as Parquet under ``spark.checkpoint.dir``. Rounds = graph depth.
+    is checkpointed into ``spark.checkpoint.dir``. Rounds = graph depth.
     """
-    root = f"{checkpoint_dir(spark)}/bfs-{uuid.uuid4().hex}"
+    checkpoint_dir(spark)
     by = list(by)
     e = materialize(edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
                     .repartition(*by, "src"))
     start = sources.select(*by, "start").distinct().select(
         *by, "start", F.col("start").alias("url"), F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent"))
-    level = write_level(spark, start, f"{root}/level=0")
+    level, _ = checkpoint_counted(start)
     levels = [level]
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -86,8 +88,8 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
             .join(seen.select(*by, "start", "url"), [*by, "start", "url"], "left_anti")
             .select(*by, "start", "url", F.lit(depth + 1).alias("depth"), "parent")
         )
-        level = write_level(spark, step, f"{root}/level={depth + 1}")
-        if level.isEmpty():
+        level, n = checkpoint_counted(step)
+        if n == 0:
             break
         levels.append(level)
         depth += 1

@@ -29,14 +29,27 @@ F5 = "with " + FX.SQL_F5.strip()
 F5R = "with recursive " + FX.SQL_F5.strip()
 
 
+_FIXTURE_CACHE: dict = {}
+
+
 def _site(spark: SparkSession, sf_dir: str):
-    pages = read_pages(spark, sf_dir)
-    site, edges = FX.closed_site(pages)
-    return pages, site, edges
+    """F3 materialised once per session and data folder (reliable checkpoints), shared by the queries.
+
+    Fixture derivation is test-data preparation, not an operator under test;
+    building it once keeps every query from re-deriving it several times.
+    """
+    key = (id(spark), sf_dir, "site")
+    if key not in _FIXTURE_CACHE:
+        pages = read_pages(spark, sf_dir)
+        site, edges = FX.closed_site(pages)
+        _FIXTURE_CACHE.clear()
+        _FIXTURE_CACHE[key] = (pages, G.materialize(site), G.materialize(edges))
+    return _FIXTURE_CACHE[key]
 
 
 def _state(spark: SparkSession, sf_dir: str):
-    return FX.crawl_state(read_pages(spark, sf_dir))
+    pages, site, edges = _site(spark, sf_dir)
+    return FX.crawl_state(pages, site, edges)
 
 
 def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:

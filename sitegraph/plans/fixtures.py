@@ -94,12 +94,14 @@ roots as (select crawl_id, netloc, url from site where url = concat('https://',
 
 # ------------------------------------------------------------------ F5 crawl state
 
-def crawl_state(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def crawl_state(pages: DataFrame, site: DataFrame | None = None,
+                edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``url_state(crawl_id, url, path)``, ``completed(crawl_id, url)``, ``active(crawl_id, url)``.
 
     ``path`` is the saved file of a completed URL and null for a URL only discovered.
     """
-    site, edges = closed_site(pages)
+    if site is None or edges is None:
+        site, edges = closed_site(pages)
     completed = site.where(F.col("page_id") % 3 != 0).select("crawl_id", "url")
     active = site.where(F.col("page_id") % 5 == 0).select("crawl_id", "url")
     urls = site.select("crawl_id", "url").unionByName(
