@@ -265,7 +265,15 @@ def name_hash(text: Column, algo: str = "md5", hex_len: int = QUERY_HASH_HEX) ->
     raise ValueError(f"unknown name hash {algo!r}")
 
 
-def _path_steps(u: Column, qhash, lhash, max_name: int, final: bool) -> Column:
+def _name_len(x: Column, unit: str) -> Column:
+    if unit == "chars":
+        return F.length(x)
+    if unit == "bytes":
+        return F.octet_length(x)
+    raise ValueError(f"unknown name length unit {unit!r}")
+
+
+def _path_steps(u: Column, qhash, lhash, max_name: int, final: bool, name_unit: str = "chars") -> Column:
     """Rules U3a-U3e; ``qhash``/``lhash`` give the hash of the query / of the long path."""
     def body(p):
         path = _split_params(p["path"], p["scheme"])["path"]
@@ -278,7 +286,7 @@ def _path_steps(u: Column, qhash, lhash, max_name: int, final: bool) -> Column:
         if not final:
             return step2
         step3 = let(step2, lambda x: F.when(
-            F.length(basename(x)) > max_name, F.concat(lhash(x), split_ext(x)["ext"])).otherwise(x))
+            _name_len(basename(x), name_unit) > max_name, F.concat(lhash(x), split_ext(x)["ext"])).otherwise(x))
         rel = F.regexp_replace(step3, r"^/+", "")
         return F.when(p["netloc"] != "", F.concat(p["netloc"], F.lit("/"), rel)).otherwise(rel)
     return F.when(u.isNotNull(), let(url_parts(u), body))
@@ -295,6 +303,7 @@ def local_path(
     hash_algo: str = "md5",
     hash_len: int = QUERY_HASH_HEX,
     max_name: int = MAX_NAME_CHARS,
+    name_unit: str = "chars",
 ) -> Column:
     """Where a URL is saved, relative to the output folder (rules U3a-U3e).
 
@@ -306,9 +315,11 @@ def local_path(
 
     Names use a JVM built-in digest (``md5`` default, or ``sha256``) instead
     of xxh32, which Spark lacks; only the hex digits differ.
+    ``name_unit="bytes"`` applies the name limit to UTF-8 bytes (what most
+    file systems count) instead of characters.
     """
     h = lambda x: name_hash(x, hash_algo, hash_len)
-    return _path_steps(_s(u), h, h, max_name, True)
+    return _path_steps(_s(u), h, h, max_name, True, name_unit)
 
 
 def _components(p: Column) -> Column:

@@ -85,12 +85,11 @@ def fetch_outcome(log: DataFrame, url: str = "url") -> DataFrame:
     Each URL has at most ``MAX_ATTEMPTS`` rows, so its group is bounded.
     Output: url, outcome, attempts, backoff_s, content_type (of the final attempt).
     """
-    rows = log.where(F.col("attempt").between(1, MAX_ATTEMPTS)).select(
-        url, F.struct(
-            F.col("attempt").cast("int").alias("n"),
-            _attempt_class(F.col("status"), F.col("error")).alias("cls"),
-            F.col("content_type").alias("ct"),
-        ).alias("a"))
+    # one row per (url, attempt) first (deterministic on duplicates), so a URL's group is at most five rows
+    tries = log.where(F.col("attempt").between(1, MAX_ATTEMPTS)).groupBy(url, F.col("attempt").cast("int").alias("n")) \
+        .agg(F.min(F.struct(_attempt_class(F.col("status"), F.col("error")).alias("cls"),
+                            F.col("content_type").alias("ct"))).alias("t"))
+    rows = tries.select(url, F.struct("n", F.col("t.cls").alias("cls"), F.col("t.ct").alias("ct")).alias("a"))
     grouped = rows.groupBy(url).agg(F.array_sort(F.collect_list("a")).alias("tries"))
     stop = F.filter("tries", lambda a: a["cls"].isin("ok", "fail"))
     term = F.when(F.size(stop) > 0, F.element_at(stop, 1)["n"]).otherwise(F.lit(MAX_ATTEMPTS))

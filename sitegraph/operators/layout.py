@@ -75,3 +75,21 @@ def path_conflicts(paths: DataFrame, by: Sequence[str] = (), path: str = "path",
 def unsafe_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """K3: paths that would be written outside the output folder."""
     return paths.where(U.escapes_root(F.col(path)))
+
+
+def write_mirror(resources: DataFrame, out_dir: str, order: Sequence[str], by: Sequence[str] = ("crawl_id",),
+                 url: str = "url", content: str = "html", content_type: str | None = None,
+                 mode: str = "overwrite", **path_opts) -> DataFrame:
+    """S3 sink: the written files of a mirror as Parquet ``(by..., path, url, kind, mode, content)``.
+
+    One row per file (the first writer wins), partitioned by crawl, instead of
+    millions of small files; returns the manifest it wrote.
+    """
+    m = manifest(resources, order, by, url, content, content_type, **path_opts)
+    files = m.where(F.col("written")).select(*by, url, "path", "kind", "mode").join(
+        resources.select(*by, url, F.col(content).alias("content")), [*by, url])
+    writer = files.write.mode(mode)
+    if by:
+        writer = writer.partitionBy(*by)
+    writer.parquet(out_dir)
+    return m

@@ -90,18 +90,28 @@ def image_routing(images: DataFrame, domain: Column, excluded: Sequence[str] = (
     return images.withColumn("route", F.when(ok, F.lit("queue")).otherwise(F.lit("image")))
 
 
+def _with_fragment(new: Column, target: Column) -> Column:
+    frag = U.url_fragment(target)
+    return F.when(frag != "", F.concat(new, F.lit("#"), frag)).otherwise(new)
+
+
 def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str] = ("page_id",),
-             url: str = "url", html: str = "html", script_rule: bool = True, **path_opts) -> DataFrame:
+             url: str = "url", html: str = "html", script_rule: bool = True, keep_fragment: bool = False,
+             **path_opts) -> DataFrame:
     """The rewrite plan, one row per link tag with a non-empty value.
 
     ``new_href`` is the path of the target relative to the page's folder when
     the target is inside the domain; otherwise the href is kept. With
     ``script_rule`` an ``a`` href still ending ``.php``/``.pl`` becomes ``.html`` (U6).
+    ``keep_fragment`` carries a ``#fragment`` of the target over to the local
+    href (the original drops it, so ``#top`` links lose their anchor).
     """
     links = raw_links(pages, keep, url, html, resolve=True).withColumnRenamed("url", "target").filter(
         F.col("href") != "")
     dom = U.url_netloc(F.col("page_url")) if domain is None else domain
     rel = U.link_target_path(F.col("page_url"), F.col("target"), **path_opts)
+    if keep_fragment:
+        rel = _with_fragment(rel, F.col("target"))
     out = links.withColumn(
         "new_href",
         F.when(F.col("target").isNotNull() & U.in_domain(F.col("target"), dom), rel).otherwise(F.col("href")),
@@ -121,7 +131,8 @@ def _escape_attr(v: Column) -> Column:
     return F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
 
 
-def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict) -> Column:
+def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict,
+                 keep_fragment: bool = False) -> Column:
     """New text of one link tag; ``page`` holds the page's url, domain and folder (bound once per page)."""
     name = H.tag_name(tok)
     is_href = name.isin("a", "link")
@@ -132,6 +143,8 @@ def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict)
 
         def with_target(target):
             rel = U.relative_path(U.local_path(target, **path_opts), page["dir"])
+            if keep_fragment:
+                rel = _with_fragment(rel, target)
             new = F.when(target.isNotNull() & U.in_domain(target, page["dom"]), rel).otherwise(val)
             if script_rule:
                 new = F.when(v["name"] == "a", U.script_link(new)).otherwise(new)
@@ -150,7 +163,7 @@ def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict)
 
 
 def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url", html: str = "html",
-                 script_rule: bool = True, **path_opts) -> DataFrame:
+                 script_rule: bool = True, keep_fragment: bool = False, **path_opts) -> DataFrame:
     """The page with every in-domain link pointing at the local copy.
 
     The page is split around its link tags (comments and script/style blocks
@@ -165,7 +178,7 @@ def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url
     def body(p):
         tags = F.regexp_extract_all(p["html"], F.lit(pattern), 0)
         gaps = F.split(p["html"], pattern, -1)
-        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts))
+        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts, keep_fragment))
         tail = F.zip_with(new_tags, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))),
                           lambda t, g: F.concat(t, F.coalesce(g, F.lit(""))))
         return F.concat(F.element_at(gaps, 1), F.array_join(tail, ""))

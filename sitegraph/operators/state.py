@@ -162,9 +162,20 @@ def crawl_seeds(starts: DataFrame, visited: DataFrame, excluded: Sequence[str] =
 
 
 def resume_frontier(url_state: DataFrame, completed: DataFrame, starts: DataFrame,
-                    weights: Sequence[str] = (), excluded: Sequence[str] = ()) -> DataFrame:
-    """O2: pending URLs (not excluded) at depth 0 with their priority, plus unvisited starts at priority 0."""
-    pend = pending_urls(url_state, completed)
+                    weights: Sequence[str] = (), excluded: Sequence[str] = (),
+                    mode: str = "retry_failed") -> DataFrame:
+    """O2: what a resumed crawl queues, at depth 0 with its priority, plus unvisited starts at priority 0.
+
+    ``mode="retry_failed"`` (what a forced restart of the original does) queues
+    the pending URLs: discovered, not completed, failures included.
+    ``mode="refetch_all"`` queues every visited URL again.
+    """
+    if mode == "retry_failed":
+        pend = pending_urls(url_state, completed)
+    elif mode == "refetch_all":
+        pend = url_state.select(*KEY).distinct()
+    else:
+        raise ValueError(f"unknown resume mode {mode!r}")
     if excluded:
         pend = pend.where(~U.is_excluded(F.col("url"), excluded))
     pend = pend.withColumn("priority", U.url_priority(F.col("url"), weights)).withColumn("depth", F.lit(0))
