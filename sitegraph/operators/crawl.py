@@ -36,12 +36,20 @@ def replay_fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                excluded: Sequence[str] = (), strict_domain: bool = False) -> DataFrame:
-    """X1 over every captured page with its crawl's domain: ``(crawl_id, src, dst, priority)``."""
+    """X1 over every captured page with its crawl's domain: ``(crawl_id, src, dst, priority)``.
+
+    Links are extracted and resolved narrowly first; only the small link rows
+    are then joined with the crawl's domain (netloc of its start URL), so no
+    HTML is shuffled, and a crawl holding most links is split by AQE's skew join.
+    """
     dom = starts.select("crawl_id", U.url_netloc(F.col("url")).alias("domain"))
-    p = pages.select("crawl_id", "url", "html").join(dom, "crawl_id")
-    links = X.extract_links(p, domain=F.col("domain"), weights=weights, excluded=excluded,
-                            strict_domain=strict_domain, keep=("crawl_id",))
-    return links.select("crawl_id", F.col("page_url").alias("src"), F.col("url").alias("dst"), "priority")
+    raw = X.raw_links(pages.select("crawl_id", "url", "html"), keep=("crawl_id",), resolve=True)
+    links = raw.where((F.col("href") != "") & ~F.col("href").startswith("#") & F.col("url").isNotNull()) \
+        .select("crawl_id", F.col("page_url").alias("src"), F.col("url").alias("dst"))
+    out = links.join(dom, "crawl_id").where(U.in_domain(F.col("dst"), F.col("domain"), strict_domain))
+    if excluded:
+        out = out.where(~U.is_excluded(F.col("dst"), excluded))
+    return out.select("crawl_id", "src", "dst", U.url_priority(F.col("dst"), weights).cast("int").alias("priority"))
 
 
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
