@@ -54,7 +54,7 @@ def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
 
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                  excluded: Sequence[str] = (), batch_size: int | None = None, strict_domain: bool = False,
-                 max_rounds: int | None = None) -> DataFrame:
+                 max_rounds: int | None = None, resume_from: DataFrame | None = None) -> DataFrame:
     """Crawl every start URL over the captured pages until the frontier is empty.
 
     ``batch_size=None`` pops whole BFS levels (depth = shortest link distance);
@@ -62,6 +62,9 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     ``(priority, depth, url)`` like the original's bounded queue (depth =
     discovery depth). Output: every discovered URL with ``depth``, ``priority``,
     ``parent`` (first discoverer) and ``fetched``.
+
+    ``max_rounds`` stops early; ``resume_from`` (the output of a stopped level
+    crawl) continues it to the same result an uninterrupted crawl gives.
     """
     checkpoint_dir(spark)
     seeds = starts.select(*KEY)
@@ -69,7 +72,13 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
         seeds = seeds.where(~U.is_excluded(F.col("url"), excluded))
     edges = G.materialize(page_links(pages, starts, weights, excluded, strict_domain))
     if batch_size is None:
-        found = G.bfs(spark, edges, seeds.select("crawl_id", F.col("url").alias("start")), max_depth=max_rounds)
+        prior = None
+        if resume_from is not None:
+            first = seeds.select("crawl_id", F.col("url").alias("start"))
+            prior = resume_from.join(resume_from.where(F.col("depth") == 0).select(
+                "crawl_id", F.col("url").alias("start")), "crawl_id").join(first, ["crawl_id", "start"], "left_semi")
+        found = G.bfs(spark, edges, seeds.select("crawl_id", F.col("url").alias("start")), max_depth=max_rounds,
+                      prior=prior)
         found = found.select("crawl_id", "url", "depth", "parent").withColumn(
             "priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(U.url_priority(F.col("url"), weights)))
     else:

@@ -54,7 +54,7 @@ def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
-        max_depth: int | None = None) -> DataFrame:
+        max_depth: int | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Multi-source BFS: every node reached from each source with its shortest depth and a parent.
 
     ``sources(*by, start)`` (a start need not be a node); ``edges(*by, src, dst)``.
@@ -65,6 +65,11 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     on that key, so only the level is shuffled), ``min(src)`` per reached node
     (combined map-side), anti-join with all earlier levels, then the new level
     is checkpointed into ``spark.checkpoint.dir``. Rounds = graph depth.
+
+    ``prior`` (an earlier, interrupted result) resumes the search: its levels
+    are taken as found and its deepest level is expanded next, so an
+    interrupted-then-resumed run equals an uninterrupted one. ``max_depth``
+    bounds the total depth.
     """
     checkpoint_dir(spark)
     by = list(by)
@@ -73,9 +78,17 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     start = sources.select(*by, "start").distinct().select(
         *by, "start", F.col("start").alias("url"), F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent"))
-    level, _ = checkpoint_counted(start)
-    levels = [level]
-    depth = 0
+    if prior is None:
+        level, _ = checkpoint_counted(start)
+        levels, depth = [level], 0
+    else:
+        p = prior.select(*by, "start", "url", F.col("depth").cast("int").alias("depth"), "parent")
+        p = p.unionByName(start.join(p.select(*by, "start"), [*by, "start"], "left_anti"))
+        p, _ = checkpoint_counted(p)
+        depth = p.agg(F.max("depth")).first()[0] or 0
+        levels = [p.where(F.col("depth") < depth)]
+        level = p.where(F.col("depth") == depth)
+        levels.append(level)
     while max_depth is None or depth < max_depth:
         seen = levels[0]
         for lv in levels[1:]:

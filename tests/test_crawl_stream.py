@@ -61,3 +61,16 @@ def test_stream_retry_equals_batch(spark):
     streamed = spark.read.schema(SR.OUT_SCHEMA).parquet(f"{base}/out")
     batch = W.fetch_outcome(log)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_interrupted_then_resumed_equals_uninterrupted(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    site, _ = FX.closed_site(pages)
+    sp, starts = FX.site_pages(pages, site), FX.roots(site).select("crawl_id", "url")
+    full = C.replay_crawl(spark, sp, starts)
+    part = C.replay_crawl(spark, sp, starts, max_rounds=2)
+    assert part.agg(F.max("depth")).first()[0] == 2
+    resumed = C.replay_crawl(spark, sp, starts, resume_from=part)
+    cols = ["crawl_id", "url", "depth", "parent", "fetched"]
+    assert full.select(cols).exceptAll(resumed.select(cols)).count() == 0
+    assert resumed.select(cols).exceptAll(full.select(cols)).count() == 0
