@@ -27,7 +27,7 @@ def main() -> None:
     from sitegraph.plans.catalog import QUERIES
     from sitegraph.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         QUERIES["extract_links"](spark, warm).write.format("noop").mode("overwrite").save()

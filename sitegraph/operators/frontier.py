@@ -28,7 +28,12 @@ def open_frontier(frontier: DataFrame, completed: DataFrame, key: Sequence[str]
 
 
 def frontier_rank(frontier: DataFrame, order: Sequence[str] = ORDER, by: str = "crawl_id") -> DataFrame:
-    """Position of every entry within its crawl (1 = popped first).
+    """Position of every entry within its crawl (1 = popped first); see ``rank_within``."""
+    return rank_within(frontier, order, by)
+
+
+def rank_within(frontier: DataFrame, order: Sequence[str], by: str) -> DataFrame:
+    """``row_number()`` over ``by`` ordered by ``order`` as column ``rank``, safe for a hot group.
 
     A full rank is one sort per crawl; it is computed with a range-partitioned
     global sort, so a crawl holding most rows is spread over many tasks, and

@@ -8,10 +8,11 @@ oracle queries, so both engines start from identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.functions import urls as U
+from sitegraph.operators.frontier import rank_within
 
 # --- fixed values of the fixtures (FIXTURES.md) ---
 FIXTURE_HREF_RE = r'<a[^>]*? href="([^"]*)"'
@@ -39,9 +40,9 @@ def closed_site(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``site(crawl_id, netloc, page_id, url)`` and ``edges(crawl_id, netloc, src, dst)``."""
     p = pages.select("page_id", F.regexp_extract("url", RFC3986_RE, 4).alias("netloc"))
     links = fixture_links(pages)
-    t = links.select("netloc", "href").distinct().withColumn(
-        "k", F.row_number().over(Window.partitionBy("netloc").orderBy("href")))
-    r = p.withColumn("k", F.row_number().over(Window.partitionBy("netloc").orderBy("page_id")) - 1)
+    # numbering within a host with the skew-safe rank (a host may hold a third of all pages)
+    t = rank_within(links.select("netloc", "href").distinct(), ["href"], "netloc").withColumnRenamed("rank", "k")
+    r = rank_within(p, ["page_id"], "netloc").select("page_id", "netloc", (F.col("rank") - 1).alias("k"))
     site = (
         r.join(t, ["netloc", "k"], "left")
         .where((F.col("k") == 0) | F.col("href").isNotNull())
