@@ -390,6 +390,18 @@ def url_priority(u: Column | str, weights: Sequence[str]) -> Column:
     return expr
 
 
+def url_priority_by(u: Column | str, weights: Column | str) -> Column:
+    """U5 with per-row weights (``array<string>``, e.g. one list per crawl)."""
+    w = _s(weights)
+    hit = F.array_position(F.transform(w, lambda x: F.instr(_s(u), x) > 0), True)
+    return F.when(hit > 0, hit - 1).otherwise(F.coalesce(F.size(w), F.lit(0))).cast("int")
+
+
+def is_excluded_by(u: Column | str, excluded: Column | str) -> Column:
+    """P2 with per-row exclusions (``array<string>``)."""
+    return F.coalesce(F.exists(_s(excluded), lambda x: F.instr(_s(u), x) > 0), F.lit(False))
+
+
 def is_excluded(u: Column | str, excluded: Sequence[str]) -> Column:
     """True when any exclusion string is a substring of the URL."""
     u = _s(u)

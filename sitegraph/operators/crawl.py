@@ -38,18 +38,26 @@ def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                excluded: Sequence[str] = (), strict_domain: bool = False) -> DataFrame:
     """X1 over every captured page with its crawl's domain: ``(crawl_id, src, dst, priority)``.
 
+    ``starts`` may carry per-crawl knobs as ``weights`` / ``excluded``
+    (``array<string>``) columns; they take the place of the shared lists.
+
     Links are extracted and resolved narrowly first; only the small link rows
     are then joined with the crawl's domain (netloc of its start URL), so no
     HTML is shuffled, and a crawl holding most links is split by AQE's skew join.
     """
-    dom = starts.select("crawl_id", U.url_netloc(F.col("url")).alias("domain"))
+    knobs = [c for c in ("weights", "excluded") if c in starts.columns]
+    dom = starts.select("crawl_id", U.url_netloc(F.col("url")).alias("domain"), *knobs)
     raw = X.raw_links(pages.select("crawl_id", "url", "html"), keep=("crawl_id",), resolve=True)
     links = raw.where((F.col("href") != "") & ~F.col("href").startswith("#") & F.col("url").isNotNull()) \
         .select("crawl_id", F.col("page_url").alias("src"), F.col("url").alias("dst"))
     out = links.join(dom, "crawl_id").where(U.in_domain(F.col("dst"), F.col("domain"), strict_domain))
     if excluded:
         out = out.where(~U.is_excluded(F.col("dst"), excluded))
-    return out.select("crawl_id", "src", "dst", U.url_priority(F.col("dst"), weights).cast("int").alias("priority"))
+    if "excluded" in knobs:
+        out = out.where(~U.is_excluded_by(F.col("dst"), F.col("excluded")))
+    prio = U.url_priority_by(F.col("dst"), F.col("weights")) if "weights" in knobs else U.url_priority(
+        F.col("dst"), weights)
+    return out.select("crawl_id", "src", "dst", prio.cast("int").alias("priority"))
 
 
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
@@ -67,9 +75,12 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     crawl) continues it to the same result an uninterrupted crawl gives.
     """
     checkpoint_dir(spark)
-    seeds = starts.select(*KEY)
+    seeds = starts
     if excluded:
         seeds = seeds.where(~U.is_excluded(F.col("url"), excluded))
+    if "excluded" in starts.columns:
+        seeds = seeds.where(~U.is_excluded_by(F.col("url"), F.col("excluded")))
+    seeds = seeds.select(*KEY)
     edges = G.materialize(page_links(pages, starts, weights, excluded, strict_domain))
     if batch_size is None:
         prior = None
@@ -79,8 +90,13 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
                 "crawl_id", F.col("url").alias("start")), "crawl_id").join(first, ["crawl_id", "start"], "left_semi")
         found = G.bfs(spark, edges, seeds.select("crawl_id", F.col("url").alias("start")), max_depth=max_rounds,
                       prior=prior)
-        found = found.select("crawl_id", "url", "depth", "parent").withColumn(
-            "priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(U.url_priority(F.col("url"), weights)))
+        found = found.select("crawl_id", "url", "depth", "parent")
+        if "weights" in starts.columns:
+            found = found.join(starts.select("crawl_id", "weights"), "crawl_id")
+            prio = U.url_priority_by(F.col("url"), F.col("weights"))
+        else:
+            prio = U.url_priority(F.col("url"), weights)
+        found = found.withColumn("priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(prio))
     else:
         found = _best_first(spark, edges, seeds, weights, batch_size, max_rounds)
     captured = pages.select(*KEY).distinct().withColumn("fetched", F.lit(True))

@@ -97,7 +97,7 @@ def _with_fragment(new: Column, target: Column) -> Column:
 
 def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str] = ("page_id",),
              url: str = "url", html: str = "html", script_rule: bool = True, keep_fragment: bool = False,
-             **path_opts) -> DataFrame:
+             fetched_images: DataFrame | None = None, **path_opts) -> DataFrame:
     """The rewrite plan, one row per link tag with a non-empty value.
 
     ``new_href`` is the path of the target relative to the page's folder when
@@ -105,6 +105,8 @@ def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str]
     ``script_rule`` an ``a`` href still ending ``.php``/``.pl`` becomes ``.html`` (U6).
     ``keep_fragment`` carries a ``#fragment`` of the target over to the local
     href (the original drops it, so ``#top`` links lose their anchor).
+    ``fetched_images(url)``: images downloaded successfully; such an ``img``
+    points at its local copy even off-domain (every use, not only the first).
     """
     links = raw_links(pages, keep, url, html, resolve=True).withColumnRenamed("url", "target").filter(
         F.col("href") != "")
@@ -112,10 +114,14 @@ def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str]
     rel = U.link_target_path(F.col("page_url"), F.col("target"), **path_opts)
     if keep_fragment:
         rel = _with_fragment(rel, F.col("target"))
-    out = links.withColumn(
-        "new_href",
-        F.when(F.col("target").isNotNull() & U.in_domain(F.col("target"), dom), rel).otherwise(F.col("href")),
-    )
+    local = F.col("target").isNotNull() & U.in_domain(F.col("target"), dom)
+    if fetched_images is not None:
+        got = fetched_images.select(F.col("url").alias("target")).distinct().withColumn("_img_ok", F.lit(True))
+        links = links.join(got, "target", "left")
+        local = local | ((F.col("tag") == "img") & F.coalesce(F.col("_img_ok"), F.lit(False)))
+    out = links.withColumn("new_href", F.when(local, rel).otherwise(F.col("href")))
+    if fetched_images is not None:
+        out = out.drop("_img_ok")
     if script_rule:
         out = out.withColumn(
             "new_href", F.when(F.col("tag") == "a", U.script_link(F.col("new_href"))).otherwise(F.col("new_href"))

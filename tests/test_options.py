@@ -57,3 +57,19 @@ def test_fetch_outcome_duplicate_attempts_stay_bounded(spark):
     log = spark.createDataFrame([("u", 1, 503, None), ("u", 1, 503, None), ("u", 2, 200, None)] * 50,
                                 "url string, attempt int, status int, error string").withColumn("content_type", F.lit("x"))
     assert [(r.outcome, r.attempts, r.backoff_s) for r in W.fetch_outcome(log).collect()] == [("ok", 2, 1)]
+
+
+def test_per_crawl_knobs(spark):
+    df = spark.createDataFrame([("http://a.com/x/blog", ["blog", "x"], ["zzz"]), ("http://a.com/q", [], ["/q"]),
+                                ("http://a.com/x", None, None)], "u string, w array<string>, e array<string>")
+    got = [(r.p, r.x) for r in df.select(U.url_priority_by("u", "w").alias("p"),
+                                         U.is_excluded_by("u", "e").alias("x")).collect()]
+    assert got == [(0, False), (0, True), (0, False)]
+
+
+def test_fetched_offdomain_images_rewritten(spark):
+    pages = spark.createDataFrame([(1, "http://ex.com/a/", "<img src='http://cdn.org/i.png'><img src='http://cdn.org/j.png'>")],
+                                  "page_id long, url string, html string")
+    ok = spark.createDataFrame([("http://cdn.org/i.png",)], "url string")
+    got = [r.new_href for r in X.link_map(pages, fetched_images=ok).orderBy("pos").collect()]
+    assert got == ["../../cdn.org/i.png", "http://cdn.org/j.png"]
