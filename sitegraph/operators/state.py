@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from sitegraph.functions import urls as U
 
@@ -31,12 +32,14 @@ KEY_SCHEMA = T.StructType([T.StructField("crawl_id", T.StringType()), T.StructFi
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a state snapshot; a missing snapshot is an empty table with the same schema."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    try:
+        df = spark.read.schema(schema).parquet(path)
+        df.limit(0).collect()  # resolves the path now, reads no rows
+        return df
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def load_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

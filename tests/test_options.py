@@ -73,3 +73,22 @@ def test_fetched_offdomain_images_rewritten(spark):
     ok = spark.createDataFrame([("http://cdn.org/i.png",)], "url string")
     got = [r.new_href for r in X.link_map(pages, fetched_images=ok).orderBy("pos").collect()]
     assert got == ["../../cdn.org/i.png", "http://cdn.org/j.png"]
+
+
+def test_missing_snapshot_loads_empty(spark):
+    st, done = S.load_state(spark, f"{checkpoint_dir(spark)}/no-such-snapshot-{uuid.uuid4().hex[:6]}")
+    assert st.count() == 0 and done.count() == 0 and st.columns == ["crawl_id", "url", "path"]
+
+
+def test_processing_time_cadence(spark):
+    from sitegraph.streaming import discovery as SD
+
+    base = f"{checkpoint_dir(spark)}/cadence-{uuid.uuid4().hex[:8]}"
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").write.parquet(f"{base}/pages")
+    q = SD.start_discovery(spark, f"{base}/pages", f"{base}/links", f"{base}/ckpt", available_now=False,
+                           processing_time="1 second", max_files_per_trigger=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{base}/links").count() == 279
