@@ -48,12 +48,15 @@ def tag_name(token: Column) -> Column:
 def attr_regex(attr: str) -> str:
     """Start-tag prefix up to ``attr=`` (group 1) and the raw, possibly quoted value (group 2).
 
-    Earlier attributes are walked one by one so that text inside another value never matches.
+    Earlier attributes are walked one by one so that text inside another value
+    never matches. Every loop is possessive and the walk stops at ``attr=`` by
+    a lookahead, so the Java engine iterates instead of recursing: a tag with
+    tens of thousands of attributes can not overflow a task's stack.
     """
     return (
         r"(?is)^(<[a-z][a-z0-9]*"
-        r"""(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
-        rf"""\s+{attr}\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)"""
+        rf"""(?:\s++(?!{attr}\s*+=)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
+        rf"""\s++{attr}\s*+=\s*+)("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
     )
 
 

@@ -69,3 +69,10 @@ def test_huge_tag_does_not_break_the_tokenizer(spark):
     big = "<a title=\"" + "x" * 100_000 + "\" href=\"/big\">b</a><a href=\"/after\">"
     got = [r.href for r in X.raw_links(_pages(spark, big)).orderBy("pos").collect()]
     assert got == ["/big", "/after"]
+
+
+def test_tag_with_many_attributes_does_not_overflow(spark):
+    tag = "<a " + " ".join(f'x{i}="v"' for i in range(20_000)) + ' href="/deep">d</a><a href="/after">'
+    pages = _pages(spark, tag, "http://ex.com/")
+    assert [r.href for r in X.raw_links(pages).orderBy("pos").collect()] == ["/deep", "/after"]
+    assert X.rewrite_html(pages).first().html.endswith('href="deep.html">d</a><a href="after.html">')
