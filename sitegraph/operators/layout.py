@@ -77,19 +77,39 @@ def unsafe_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.where(U.escapes_root(F.col(path)))
 
 
+def apply_renames(m: DataFrame, by: Sequence[str] = (), **hash_opts) -> DataFrame:
+    """K1 fix-up: a written file that another file needs as a folder moves to ``<path>_<hash>``.
+
+    Adds ``final_path`` (equal to ``path`` unless renamed) and ``renamed``.
+    """
+    by = list(by)
+    written = m.where(F.col("written"))
+    conflicts = path_conflicts(written, by, **hash_opts).select(
+        *by, F.col("path").alias("file_key"), "renamed_path")
+    return m.join(conflicts, [*by, "file_key"], "left").withColumn(
+        "renamed", F.col("renamed_path").isNotNull() & F.col("written")).withColumn(
+        "final_path", F.when(F.col("renamed"), F.col("renamed_path")).otherwise(F.col("path"))).drop("renamed_path")
+
+
 def write_mirror(resources: DataFrame, out_dir: str, order: Sequence[str], by: Sequence[str] = ("crawl_id",),
                  url: str = "url", content: str = "html", content_type: str | None = None,
-                 mode: str = "overwrite", **path_opts) -> DataFrame:
+                 mode: str = "overwrite", quarantine: bool = True, **path_opts) -> DataFrame:
     """S3 sink: the written files of a mirror as Parquet ``(by..., path, url, kind, mode, content)``.
 
     One row per file (the first writer wins), partitioned by crawl, instead of
-    millions of small files; returns the manifest it wrote.
+    millions of small files. Files needed as folders are renamed (K1); with
+    ``quarantine`` a path escaping the output folder is not written (K3).
+    Returns the manifest with ``final_path``, ``renamed`` and ``unsafe``.
     """
+    by = list(by)
     m = manifest(resources, order, by, url, content, content_type, **path_opts)
-    files = m.where(F.col("written")).select(*by, url, "path", "kind", "mode").join(
+    m = apply_renames(m.withColumn("file_key", U.norm_path(F.col("path"))), by).withColumn(
+        "unsafe", U.escapes_root(F.col("path")))
+    keep = F.col("written") & (~F.col("unsafe") if quarantine else F.lit(True))
+    files = m.where(keep).select(*by, url, F.col("final_path").alias("path"), "kind", "mode").join(
         resources.select(*by, url, F.col(content).alias("content")), [*by, url])
     writer = files.write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(out_dir)
-    return m
+    return m.drop("file_key")

@@ -51,13 +51,16 @@ def extract_links(
     keep: Sequence[str] = ("page_id",),
     url: str = "url",
     html: str = "html",
+    strip_fragment: bool = False,
 ) -> DataFrame:
     """Links a crawler would queue from each page, in document order, not de-duplicated.
 
     Skips empty and '#'-only hrefs (P3), resolves against the page URL (U2),
     keeps links inside ``domain`` (P1; default: the page's own netloc), drops
     excluded ones (P2) and ranks them by ``weights`` (U5). Output:
-    ``keep..., page_url, pos, tag, attr, href, url, priority``.
+    ``keep..., page_url, pos, tag, attr, href, url, priority``. With
+    ``strip_fragment`` the ``#fragment`` is dropped from ``url``, so ``/a#x``
+    and ``/a#y`` become one URL key (the original keeps them apart).
     """
     links = raw_links(pages, keep, url, html, resolve=True)
     if domain is None:
@@ -67,6 +70,8 @@ def extract_links(
     else:
         dom = _col(domain)
     out = links.filter((F.col("href") != "") & ~F.col("href").startswith("#") & F.col("url").isNotNull())
+    if strip_fragment:
+        out = out.withColumn("url", F.regexp_replace(F.col("url"), "#.*$", ""))
     out = out.filter(U.in_domain(F.col("url"), dom, strict_domain))
     if excluded:
         out = out.filter(~U.is_excluded(F.col("url"), excluded))
@@ -96,13 +101,14 @@ def _with_fragment(new: Column, target: Column) -> Column:
 
 
 def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str] = ("page_id",),
-             url: str = "url", html: str = "html", script_rule: bool = True, keep_fragment: bool = False,
+             url: str = "url", html: str = "html", script_rule: bool = False, keep_fragment: bool = False,
              fetched_images: DataFrame | None = None, **path_opts) -> DataFrame:
     """The rewrite plan, one row per link tag with a non-empty value.
 
     ``new_href`` is the path of the target relative to the page's folder when
     the target is inside the domain; otherwise the href is kept. With
-    ``script_rule`` an ``a`` href still ending ``.php``/``.pl`` becomes ``.html`` (U6).
+    ``script_rule`` an ``a`` href still ending ``.php``/``.pl`` becomes ``.html``
+    (U6; off by default because it breaks off-domain links, always on in the original).
     ``keep_fragment`` carries a ``#fragment`` of the target over to the local
     href (the original drops it, so ``#top`` links lose their anchor).
     ``fetched_images(url)``: images downloaded successfully; such an ``img``
@@ -169,7 +175,7 @@ def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict,
 
 
 def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url", html: str = "html",
-                 script_rule: bool = True, keep_fragment: bool = False, **path_opts) -> DataFrame:
+                 script_rule: bool = False, keep_fragment: bool = False, **path_opts) -> DataFrame:
     """The page with every in-domain link pointing at the local copy.
 
     The page is split around its link tags (comments and script/style blocks

@@ -47,7 +47,7 @@ def test_images_and_routing(spark):
 
 
 def test_rewrite_keeps_bytes_and_points_local(spark):
-    out = X.rewrite_html(_pages(spark)).first().html
+    out = X.rewrite_html(_pages(spark), script_rule=True).first().html
     assert "href=\"../s.css\"" in out and "src=\"../app.js\"" in out
     assert "<A HREF=\"c.html\">" in out                      # already the local name
     assert "href=\"d.php.html\"" in out                      # .php page saved as .php.html

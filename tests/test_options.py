@@ -92,3 +92,24 @@ def test_processing_time_cadence(spark):
     finally:
         q.stop()
     assert spark.read.parquet(f"{base}/links").count() == 279
+
+
+def test_mirror_renames_conflicts_and_quarantines(spark):
+    res = spark.createDataFrame(
+        [("c", 1, "http://ex.com/d.", "file"), ("c", 2, "http://ex.com/d./x", "child"),
+         ("c", 3, "http://ex.com/../../etc/e", "bad")], "crawl_id string, seq int, url string, html string")
+    out = f"{checkpoint_dir(spark)}/mirror-{uuid.uuid4().hex[:8]}"
+    man = {r.url: (r.final_path, r.renamed, r.unsafe) for r in K.write_mirror(res, out, order=["seq"]).collect()}
+    renamed = man["http://ex.com/d."][0]
+    assert man["http://ex.com/d."][1] and renamed.startswith("ex.com/d._") and man["http://ex.com/../../etc/e"][2]
+    files = {r.path: r.content for r in spark.read.parquet(out).collect()}
+    assert files == {renamed: "file", "ex.com/d./x.html": "child"}
+
+
+def test_strip_fragment_and_script_rule_option(spark):
+    pages = spark.createDataFrame([(1, "http://ex.com/", "<a href='/a#x'>1</a><a href='/a#y'>2</a><a href='http://o.org/p.php'>3</a>")],
+                                  "page_id long, url string, html string")
+    assert {r.url for r in X.extract_links(pages, domain="ex.com", strip_fragment=True).collect()} == {"http://ex.com/a"}
+    plain = [r.new_href for r in X.link_map(pages).orderBy("pos").collect()]
+    ruled = [r.new_href for r in X.link_map(pages, script_rule=True).orderBy("pos").collect()]
+    assert plain[2] == "http://o.org/p.php" and ruled[2] == "http://o.org/p.html"
