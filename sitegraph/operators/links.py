@@ -62,20 +62,21 @@ def extract_links(
     ``strip_fragment`` the ``#fragment`` is dropped from ``url``, so ``/a#x``
     and ``/a#y`` become one URL key (the original keeps them apart).
     """
-    links = raw_links(pages, keep, url, html, resolve=True)
     if domain is None:
-        dom = U.url_netloc(F.col("page_url"))
+        dom_page = U.url_netloc(F.col(url))  # per page, before the explode
     elif isinstance(domain, str) and domain not in pages.columns:
-        dom = F.lit(domain)
+        dom_page = F.lit(domain)
     else:
-        dom = _col(domain)
+        dom_page = _col(domain)
+    links = raw_links(pages.withColumn("_domain", dom_page), [*keep, "_domain"], url, html, resolve=True)
+    dom = F.col("_domain")
     out = links.filter((F.col("href") != "") & ~F.col("href").startswith("#") & F.col("url").isNotNull())
     if strip_fragment:
         out = out.withColumn("url", F.regexp_replace(F.col("url"), "#.*$", ""))
     out = out.filter(U.in_domain(F.col("url"), dom, strict_domain))
     if excluded:
         out = out.filter(~U.is_excluded(F.col("url"), excluded))
-    return out.withColumn("priority", U.url_priority(F.col("url"), weights).cast("int"))
+    return out.withColumn("priority", U.url_priority(F.col("url"), weights).cast("int")).drop("_domain")
 
 
 def extract_images(pages: DataFrame, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
@@ -114,10 +115,12 @@ def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str]
     ``fetched_images(url)``: images downloaded successfully; such an ``img``
     points at its local copy even off-domain (every use, not only the first).
     """
-    links = raw_links(pages, keep, url, html, resolve=True).withColumnRenamed("url", "target").filter(
-        F.col("href") != "")
-    dom = U.url_netloc(F.col("page_url")) if domain is None else domain
-    rel = U.link_target_path(F.col("page_url"), F.col("target"), **path_opts)
+    per_page = pages.withColumn("_domain", U.url_netloc(F.col(url)) if domain is None else domain).withColumn(
+        "_dir", U.dirname(U.local_path(F.col(url), **path_opts)))  # page-level values once per page
+    links = raw_links(per_page, [*keep, "_domain", "_dir"], url, html, resolve=True).withColumnRenamed(
+        "url", "target").filter(F.col("href") != "")
+    dom = F.col("_domain")
+    rel = U.relative_path(U.local_path(F.col("target"), **path_opts), F.col("_dir"))
     if keep_fragment:
         rel = _with_fragment(rel, F.col("target"))
     local = F.col("target").isNotNull() & U.in_domain(F.col("target"), dom)
@@ -126,6 +129,7 @@ def link_map(pages: DataFrame, domain: Column | None = None, keep: Sequence[str]
         links = links.join(got, "target", "left")
         local = local | ((F.col("tag") == "img") & F.coalesce(F.col("_img_ok"), F.lit(False)))
     out = links.withColumn("new_href", F.when(local, rel).otherwise(F.col("href")))
+    out = out.drop("_domain", "_dir")
     if fetched_images is not None:
         out = out.drop("_img_ok")
     if script_rule:
