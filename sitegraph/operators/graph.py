@@ -40,6 +40,7 @@ def graph_nodes(edges: DataFrame, by: Sequence[str] = ("crawl_id",)) -> DataFram
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps the partitioning (computed once: persisted while written)."""
+    checkpoint_dir(df.sparkSession)
     df = df.persist()
     out = df.checkpoint()
     df.unpersist()
@@ -48,6 +49,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Reliable checkpoint (into ``spark.checkpoint.dir``) plus the row count, observed in the same job."""
+    checkpoint_dir(df.sparkSession)
     obs = Observation(f"rows-{uuid.uuid4().hex[:8]}")
     out = df.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint()
     return out, int(obs.get["n"])
