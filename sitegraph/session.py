@@ -34,7 +34,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without the setting (tests, bench) gets a fresh
     temporary folder of its own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -16,8 +16,11 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     rows are redistributed round-robin. A large scan already has many more
     splits than cores and is returned unchanged, so no shuffle is added at scale.
     """
-    want = min_partitions or spark_parallelism(df)
-    n = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or spark_parallelism(df)
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the scan as is
+        return df
     return df.repartition(want) if n < want else df
 
 
