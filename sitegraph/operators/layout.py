@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from sitegraph.functions import urls as U
 
 
+def _rank_struct(order: Sequence[str], url: str):
+    """Writer rank: the order columns, then the URL as tie-break (once)."""
+    cols = [*order] if url in order else [*order, url]
+    return F.struct(*[F.col(c) for c in cols])
+
+
 def with_paths(resources: DataFrame, url: str = "url", **path_opts) -> DataFrame:
     """Add ``path`` (U3) and ``file_key`` (the normalised path two URLs collide on)."""
     return resources.withColumn("path", U.local_path(F.col(url), **path_opts)).withColumn(
@@ -34,7 +40,7 @@ def manifest(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     kind, _, mode = U.content_kind(ct, F.col(url))
     r = r.withColumn("kind", kind).withColumn("mode", mode).withColumn(
         "n_bytes", F.octet_length(F.col(content)).cast("bigint"))
-    win = r.groupBy(*by, "file_key").agg(F.min(F.struct(*[F.col(c) for c in order], F.col(url))).alias("w"))
+    win = r.groupBy(*by, "file_key").agg(F.min(_rank_struct(order, url)).alias("w"))
     win = win.select(*by, "file_key", F.col(f"w.{url}").alias("writer_url"))
     out = r.join(win, [*by, "file_key"])
     return out.select(*by, url, "path", "kind", "mode", "n_bytes", "writer_url",
@@ -48,7 +54,7 @@ def path_collisions(resources: DataFrame, order: Sequence[str], by: Sequence[str
     r = with_paths(resources, url, **path_opts)
     g = r.groupBy(*by, "file_key").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_urls"),
-        F.min(F.struct(*[F.col(c) for c in order], F.col(url))).alias("w"))
+        F.min(_rank_struct(order, url)).alias("w"))
     return g.where(F.col("n_urls") > 1).select(*by, F.col("file_key").alias("path"), "n_urls",
                                                F.col(f"w.{url}").alias("winner_url"))
 
