@@ -107,7 +107,7 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
 
 def _best_first(spark, edges, seeds, weights, k, max_rounds):
     checkpoint_dir(spark)
-    e = G.materialize(edges.repartition("crawl_id", "src"))
+    e = G.materialize(G.partitioned(edges, "crawl_id", "src"), keep_partitioning=True)
     start, _ = G.checkpoint_counted(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
                                                  F.lit(None).cast("string").alias("parent")))
     visited, open_, n_open = start, start, 1

@@ -38,15 +38,38 @@ def graph_nodes(edges: DataFrame, by: Sequence[str] = ("crawl_id",)) -> DataFram
             .unionByName(edges.select(*by, F.col("dst").alias("url"))).distinct())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partitioning (computed once: persisted while written)."""
-    checkpoint_dir(df.sparkSession)
-    df = df.persist()
-    out = df.checkpoint()
-    df.unpersist()
+def materialize(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Reliable checkpoint (computed once: persisted while written).
+
+    With ``keep_partitioning`` the checkpoint records the frame's hash
+    partitioning, so later joins on those keys leave it in place. Spark only
+    records it when the checkpointed plan is not adaptive, so AQE is switched
+    off for this one job (the plan is a repartition with an explicit count,
+    where AQE has nothing to change) and restored afterwards.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    if keep_partitioning:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.persist()
+        out = df.checkpoint()
+        df.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
     return out
 
 
+def partitioned(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition on ``cols`` with an explicit count, so AQE keeps it and a checkpoint records it.
+
+    A join with another side on the same keys then shuffles only that side.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Reliable checkpoint (into ``spark.checkpoint.dir``) plus the row count, observed in the same job."""
     checkpoint_dir(df.sparkSession)
@@ -75,8 +98,8 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     """
     checkpoint_dir(spark)
     by = list(by)
-    e = materialize(edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-                    .repartition(*by, "src"))
+    e = materialize(partitioned(edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct(),
+                                *by, "src"), keep_partitioning=True)
     start = sources.select(*by, "start").distinct().select(
         *by, "start", F.col("start").alias("url"), F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent"))
