@@ -125,21 +125,23 @@ def crawl_summary(url_state: DataFrame, completed: DataFrame, failed: DataFrame
     """Per crawl visited / completed / pending counts and the completion flag.
 
     ``complete`` is true when nothing is pending or every pending URL is a
-    known failure; ``failed`` (crawl_id, url) adds the failure count.
+    known failure; ``failed`` (crawl_id, url) adds the failure count. The three
+    tables are unioned as flag rows and folded per URL, then per crawl: two
+    map-side-combinable aggregations instead of joins.
     """
-    st = url_state.select(*KEY).distinct().join(
-        completed.select(*KEY).distinct().withColumn("is_done", F.lit(True)), KEY, "left")
+    one, zero = F.lit(1), F.lit(0)
+    flags = url_state.select(*KEY, one.alias("v"), zero.alias("d"), zero.alias("f")).unionByName(
+        completed.select(*KEY, zero.alias("v"), one.alias("d"), zero.alias("f")))
     if failed is not None:
-        st = st.join(failed.select(*KEY).distinct().withColumn("is_failed", F.lit(True)), KEY, "left")
-    else:
-        st = st.withColumn("is_failed", F.lit(None).cast("boolean"))
-    done = F.coalesce(F.col("is_done"), F.lit(False))
-    bad = F.coalesce(F.col("is_failed"), F.lit(False)) & ~done
-    agg = st.groupBy("crawl_id").agg(
+        flags = flags.unionByName(failed.select(*KEY, zero.alias("v"), zero.alias("d"), one.alias("f")))
+    per_url = flags.groupBy(*KEY).agg(F.max("v").alias("v"), F.max("d").alias("d"), F.max("f").alias("f")) \
+        .where(F.col("v") == 1)
+    done = F.col("d") == 1
+    agg = per_url.groupBy("crawl_id").agg(
         F.count(F.lit(1)).alias("visited"),
         F.count_if(done).alias("completed"),
         F.count_if(~done).alias("pending"),
-        F.count_if(bad).alias("failed"),
+        F.count_if((F.col("f") == 1) & ~done).alias("failed"),
     )
     return agg.select(
         "crawl_id", *[F.col(c).cast("bigint").alias(c) for c in ("visited", "completed", "pending", "failed")],
