@@ -81,21 +81,23 @@ def _attempt_class(status, error):
     )
 
 
-def fetch_outcome(log: DataFrame, url: str = "url") -> DataFrame:
+def fetch_outcome(log: DataFrame, url: str = "url", by: Sequence[str] = ()) -> DataFrame:
     """Outcome of the retry loop per URL from its attempt log.
 
     Rules: 200 succeeds; 5xx sleeps ``2^(n-1)`` s and retries (also after the
     last attempt); a timeout or payload error sleeps likewise except after the
     last attempt; any other status or error fails at once; five attempts at most.
     Each URL has at most ``MAX_ATTEMPTS`` rows, so its group is bounded.
-    Output: url, outcome, attempts, backoff_s, content_type (of the final attempt).
+    Output: by..., url, outcome, attempts, backoff_s, content_type (of the final attempt);
+    ``by`` (e.g. ``["crawl_id"]``) keeps the logs of many crawls apart.
     """
+    keys = [*by, url]
     # one row per (url, attempt) first (deterministic on duplicates), so a URL's group is at most five rows
-    tries = log.where(F.col("attempt").between(1, MAX_ATTEMPTS)).groupBy(url, F.col("attempt").cast("int").alias("n")) \
+    tries = log.where(F.col("attempt").between(1, MAX_ATTEMPTS)).groupBy(*keys, F.col("attempt").cast("int").alias("n")) \
         .agg(F.min(F.struct(_attempt_class(F.col("status"), F.col("error")).alias("cls"),
                             F.col("content_type").alias("ct"))).alias("t"))
-    rows = tries.select(url, F.struct("n", F.col("t.cls").alias("cls"), F.col("t.ct").alias("ct")).alias("a"))
-    grouped = rows.groupBy(url).agg(F.array_sort(F.collect_list("a")).alias("tries"))
+    rows = tries.select(*keys, F.struct("n", F.col("t.cls").alias("cls"), F.col("t.ct").alias("ct")).alias("a"))
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("a")).alias("tries"))
     stop = F.filter("tries", lambda a: a["cls"].isin("ok", "fail"))
     term = F.when(F.size(stop) > 0, F.element_at(stop, 1)["n"]).otherwise(F.lit(MAX_ATTEMPTS))
     outcome = F.when(F.size(stop) > 0, F.element_at(stop, 1)["cls"]).otherwise(F.lit("fail"))
@@ -109,7 +111,7 @@ def fetch_outcome(log: DataFrame, url: str = "url") -> DataFrame:
     backoff = F.aggregate("tries", F.lit(0), lambda acc, a: acc + delay(a, F.col("term")))
     final_ct = F.element_at(F.filter("tries", lambda a: a["n"] == F.col("term")), 1)["ct"]
     return with_term.select(
-        url,
+        *keys,
         F.when(F.col("outcome_cls") == "ok", F.lit("ok")).otherwise(F.lit("failed")).alias("outcome"),
         F.col("term").cast("bigint").alias("attempts"),
         backoff.cast("bigint").alias("backoff_s"),

@@ -69,3 +69,11 @@ def test_fetch_outcome_schedule(spark):
     assert got == {"ok1": ("ok", 1, 0), "s": ("ok", 3, 3), "t": ("ok", 2, 1), "n": ("failed", 1, 0),
                    "x": ("failed", 1, 0), "f5": ("failed", 5, 31), "to5": ("failed", 5, 15),
                    "mix": ("failed", 5, 15)}
+
+
+def test_fetch_outcome_per_crawl(spark):
+    log = spark.createDataFrame([("a", "u", 1, 404, None), ("b", "u", 1, 200, None)],
+                                "crawl_id string, url string, attempt int, status int, error string") \
+        .withColumn("content_type", F.lit("text/html"))
+    got = {(r.crawl_id, r.outcome) for r in W.fetch_outcome(log, by=["crawl_id"]).collect()}
+    assert got == {("a", "failed"), ("b", "ok")}
