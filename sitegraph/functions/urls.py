@@ -329,7 +329,7 @@ def _components(p: Column) -> Column:
         parts,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
-            (s == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."),
+            (s == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."),
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
@@ -394,7 +394,7 @@ def url_priority_by(u: Column | str, weights: Column | str) -> Column:
     """U5 with per-row weights (``array<string>``, e.g. one list per crawl)."""
     w = _s(weights)
     hit = F.array_position(F.transform(w, lambda x: F.instr(_s(u), x) > 0), True)
-    return F.when(hit > 0, hit - 1).otherwise(F.coalesce(F.size(w), F.lit(0))).cast("int")
+    return F.when(hit > 0, hit - 1).when(w.isNull(), F.lit(0)).otherwise(F.size(w)).cast("int")
 
 
 def is_excluded_by(u: Column | str, excluded: Column | str) -> Column:
@@ -434,4 +434,4 @@ def content_kind(content_type: Column | str, u: Column | str) -> tuple[Column, C
 def escapes_root(p: Column | str) -> Column:
     """True when a relative path climbs above its root (a '..' that cannot pop)."""
     comps = _components(_s(p))
-    return F.coalesce(F.element_at(comps, 1) == "..", F.lit(False)) | _s(p).startswith("/")
+    return F.coalesce(F.try_element_at(comps, F.lit(1)) == "..", F.lit(False)) | _s(p).startswith("/")

@@ -135,3 +135,8 @@ def test_escapes_and_crawl_key(spark):
     assert [r[0] for r in df.select(U.escapes_root("p")).collect()] == [True, False, False]
     k = spark.createDataFrame([("https://ex.com/",)], "u string").select(U.crawl_key("u")).first()[0]
     assert k == hashlib.sha256(b"https://ex.com/").hexdigest()
+
+
+def test_escapes_root_on_empty_paths(spark):
+    df = spark.createDataFrame([(".",), ("",), ("..",), ("a/../..",)], "p string")
+    assert [r[0] for r in df.select(U.escapes_root("p")).collect()] == [False, False, True, True]
