@@ -42,7 +42,11 @@ def main() -> None:
 
     n_pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     total = round(sum(times.values()), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
     out = {
         "metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf,
         "pages": n_pages,
