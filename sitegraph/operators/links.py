@@ -148,7 +148,7 @@ def _escape_attr(v: Column) -> Column:
 
 
 def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict,
-                 keep_fragment: bool = False) -> Column:
+                 keep_fragment: bool = False, fetched_images: bool = False) -> Column:
     """New text of one link tag; ``page`` holds the page's url, domain and folder (bound once per page)."""
     name = H.tag_name(tok)
     is_href = name.isin("a", "link")
@@ -161,7 +161,10 @@ def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict,
             rel = U.relative_path(U.local_path(target, **path_opts), page["dir"])
             if keep_fragment:
                 rel = _with_fragment(rel, target)
-            new = F.when(target.isNotNull() & U.in_domain(target, page["dom"]), rel).otherwise(val)
+            local = target.isNotNull() & U.in_domain(target, page["dom"])
+            if fetched_images:
+                local = local | ((v["name"] == "img") & F.coalesce(F.array_contains(page["imgs"], target), F.lit(False)))
+            new = F.when(local, rel).otherwise(val)
             if script_rule:
                 new = F.when(v["name"] == "a", U.script_link(new)).otherwise(new)
             return U.let(new, finish)
@@ -179,13 +182,16 @@ def _rewrite_tag(tok: Column, page: Column, script_rule: bool, path_opts: dict,
 
 
 def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url", html: str = "html",
-                 script_rule: bool = False, keep_fragment: bool = False, **path_opts) -> DataFrame:
+                 script_rule: bool = False, keep_fragment: bool = False, fetched_images: str | None = None,
+                 **path_opts) -> DataFrame:
     """The page with every in-domain link pointing at the local copy.
 
     The page is split around its link tags (comments and script/style blocks
     are matched too, so links inside them stay untouched); only the tags are
     rewritten and the pieces are joined back, so bytes outside the changed
     attribute values stay as they were. Output column ``html`` replaces the input.
+    ``fetched_images`` names an ``array<string>`` column of the page's images
+    that were downloaded; those point at their local copy even off-domain.
     """
     page_url = F.col(url)
     dom = U.url_netloc(page_url) if domain is None else domain
@@ -194,11 +200,13 @@ def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url
     def body(p):
         tags = F.regexp_extract_all(p["html"], F.lit(pattern), 0)
         gaps = F.split(p["html"], pattern, -1)
-        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts, keep_fragment))
+        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts, keep_fragment,
+                                                            fetched_images is not None))
         tail = F.zip_with(new_tags, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))),
                           lambda t, g: F.concat(t, F.coalesce(g, F.lit(""))))
         return F.concat(F.element_at(gaps, 1), F.array_join(tail, ""))
 
+    extra = {"imgs": F.col(fetched_images)} if fetched_images else {}
     page = U.bind(body, url=page_url, html=F.col(html), dom=dom,
-                  dir=U.dirname(U.local_path(page_url, **path_opts)))
+                  dir=U.dirname(U.local_path(page_url, **path_opts)), **extra)
     return pages.withColumn(html, F.when(F.col(html).isNotNull(), page))

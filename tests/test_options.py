@@ -113,3 +113,11 @@ def test_strip_fragment_and_script_rule_option(spark):
     plain = [r.new_href for r in X.link_map(pages).orderBy("pos").collect()]
     ruled = [r.new_href for r in X.link_map(pages, script_rule=True).orderBy("pos").collect()]
     assert plain[2] == "http://o.org/p.php" and ruled[2] == "http://o.org/p.html"
+
+
+def test_rewrite_fetched_offdomain_images(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://ex.com/a/", "<img src='http://cdn.org/i.png'><img src='http://cdn.org/j.png'>", ["http://cdn.org/i.png"])],
+        "page_id long, url string, html string, imgs array<string>")
+    html = X.rewrite_html(pages, fetched_images="imgs").first().html
+    assert html == "<img src=\"../../cdn.org/i.png\"><img src='http://cdn.org/j.png'>"
