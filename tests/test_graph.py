@@ -107,3 +107,13 @@ def _acyclic(edges):
             if indeg[m] == 0:
                 q.append(m)
     return seen == len(indeg)
+
+
+def test_single_graph_without_crawl_key(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    q = spark.createDataFrame([("a", "d"), ("d", "a"), ("a", "a"), ("zz", "zz")], "start string, end string")
+    got = {(r.start, r.end): r.reachable for r in G.has_path(spark, e, q, by=()).collect()}
+    assert got == {("a", "d"): True, ("d", "a"): False, ("a", "a"): True, ("zz", "zz"): False}
+    tree = {r.url: (r.depth, r.parent) for r in G.discovery_tree(
+        spark, e, spark.createDataFrame([("a",)], "start string"), by=()).collect()}
+    assert tree == {"a": (0, None), "b": (1, "a"), "c": (2, "b"), "d": (3, "c")}
