@@ -78,8 +78,15 @@ def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, int(obs.get["n"])
 
 
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
-        max_depth: int | None = None, prior: DataFrame | None = None) -> DataFrame:
+        max_depth: int | None = None, prior: DataFrame | None = None, compact_every: int = 4) -> DataFrame:
     """Multi-source BFS: every node reached from each source with its shortest depth and a parent.
 
     ``sources(*by, start)`` (a start need not be a node); ``edges(*by, src, dst)``.
@@ -88,8 +95,11 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
 
     Each round: level ⋈ edges on ``(*by, src)`` (the edges stay hash-partitioned
     on that key, so only the level is shuffled), ``min(src)`` per reached node
-    (combined map-side), anti-join with all earlier levels, then the new level
-    is checkpointed into ``spark.checkpoint.dir``. Rounds = graph depth.
+    (combined map-side), anti-join with everything reached so far, then the new
+    level is checkpointed into ``spark.checkpoint.dir``. Rounds = graph depth.
+    Every ``compact_every`` levels the visited levels are folded into one
+    hash-partitioned checkpoint, so the anti-join reads a few partitions per
+    round instead of every partition of every earlier level.
 
     ``prior`` (an earlier, interrupted result) resumes the search: its levels
     are taken as found and its deepest level is expanded next, so an
@@ -105,19 +115,17 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
         F.lit(None).cast("string").alias("parent"))
     if prior is None:
         level, _ = checkpoint_counted(start)
-        levels, depth = [level], 0
+        visited, depth = [level], 0
     else:
         p = prior.select(*by, "start", "url", F.col("depth").cast("int").alias("depth"), "parent")
         p = p.unionByName(start.join(p.select(*by, "start"), [*by, "start"], "left_anti"))
         p, _ = checkpoint_counted(p)
         depth = p.agg(F.max("depth")).first()[0] or 0
-        levels = [p.where(F.col("depth") < depth)]
         level = p.where(F.col("depth") == depth)
-        levels.append(level)
+        visited = [p.where(F.col("depth") < depth), level]
+    fresh = 1  # levels added since the last compaction
     while max_depth is None or depth < max_depth:
-        seen = levels[0]
-        for lv in levels[1:]:
-            seen = seen.unionByName(lv)
+        seen = _union(visited)
         step = (
             level.select(*by, "start", F.col("url").alias("src"))
             .join(e, [*by, "src"])
@@ -129,12 +137,13 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
         level, n = checkpoint_counted(step)
         if n == 0:
             break
-        levels.append(level)
+        visited.append(level)
         depth += 1
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        fresh += 1
+        if compact_every and fresh >= compact_every and len(visited) > 1:
+            folded, _ = checkpoint_counted(partitioned(_union(visited), *by, "start", "url"))
+            visited, fresh = [folded], 0
+    return _union(visited)
 
 
 def has_path(spark: SparkSession, edges: DataFrame, queries: DataFrame, by: Sequence[str] = ("crawl_id",)) -> DataFrame:
