@@ -187,12 +187,30 @@ def _merge_path(bpath: Column, hpath: Column) -> Column:
     return bind(body, b=bpath, h=hpath)
 
 
+# a root-relative href that urljoin returns as scheme://netloc + href unchanged:
+# no netloc, query, fragment, params, dot segments, blanks to strip or tab/CR/LF to drop
+_FAST_HREF = r"^/(?:[^/?#;\t\r\n][^?#;\t\r\n]*)?$"
+_DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
+_FAST_BASE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\[\]\t\r\n\x00-\x20]+)(?:[/?#][^\t\r\n]*)?$"
+
+
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """``urljoin(base, href)`` as one Column expression.
 
     Null where Python raises ``ValueError`` (malformed netloc); such a link is
-    dropped instead of aborting its whole page.
+    dropped instead of aborting its whole page. Plain root-relative hrefs (the
+    common case) take a short path of two regex tests; everything else runs
+    the full resolver (``CASE`` evaluates only the branch it needs).
     """
+    b0, h0 = _s(base), _s(href)
+    scheme = F.lower(F.regexp_extract(b0, _FAST_BASE, 1))
+    fast = (h0.rlike(_FAST_HREF) & ~h0.rlike(_DOT_SEGMENT) & b0.rlike(_FAST_BASE)
+            & scheme.isin(USES_RELATIVE) & (scheme != ""))
+    short = F.concat(scheme, F.lit("://"), F.regexp_extract(b0, _FAST_BASE, 2), h0)
+    return F.when(fast, short).otherwise(_resolve_full(b0, h0))
+
+
+def _resolve_full(base: Column, href: Column) -> Column:
     def body(io):
         def inner(p):
             B, Hh = p["B"], p["H"]
