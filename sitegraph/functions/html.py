@@ -83,14 +83,17 @@ def link_structs(html: Column, tags=tuple(LINK_TAGS)) -> Column:
     Tokens that are comments, script bodies without ``src`` or tags lacking their
     attribute are dropped, so array positions count real link occurrences.
     """
-    toks = F.transform(
-        link_tags(html, tags),
-        lambda t: F.struct(
-            tag_name(t).alias("tag"),
-            F.when(tag_name(t).isin("a", "link"), F.lit("href")).otherwise(F.lit("src")).alias("attr"),
-            F.when(tag_name(t).isin("a", "link"), attr_value(t, "href"))
-            .when(tag_name(t).isin("script", "img"), attr_value(t, "src"))
-            .alias("value"),
-        ),
-    )
+    def one(t):
+        def with_name(name):
+            is_href = name.isin("a", "link")
+            return F.struct(
+                name.alias("tag"),
+                F.when(is_href, F.lit("href")).otherwise(F.lit("src")).alias("attr"),
+                F.when(is_href, attr_value(t, "href")).when(name.isin("script", "img"), attr_value(t, "src"))
+                .alias("value"),
+            )
+        # the element name is computed once per token
+        return F.element_at(F.transform(F.array(tag_name(t)), with_name), 1)
+
+    toks = F.transform(link_tags(html, tags), one)
     return F.filter(toks, lambda s: s["value"].isNotNull() & s["tag"].isin(*tags))
