@@ -73,6 +73,10 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
 
     ``max_rounds`` stops early; ``resume_from`` (the output of a stopped level
     crawl) continues it to the same result an uninterrupted crawl gives.
+
+    Rounds: level mode needs one per link-depth level; best-first mode needs
+    about (pages of the largest crawl) / ``k``, which is the bounded queue's
+    behaviour but many jobs for a big site, so level mode is the one for scale.
     """
     checkpoint_dir(spark)
     seeds = starts
