@@ -15,6 +15,7 @@ bounded group; Spark shuffles the attempts by URL and keeps the state
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -50,7 +51,7 @@ def _classify(status, error) -> str:
     return "retry_network" if error in RETRY_ERRORS else "fail"
 
 
-def _advance(url: str, pdfs, state):
+def _advance(key: dict, pdfs, state):
     next_n, backoff, done, early = (state.get if state.exists else (1, 0, False, "{}"))
     waiting = {int(k): v for k, v in json.loads(early or "{}").items()}
     for pdf in pdfs:
@@ -76,25 +77,35 @@ def _advance(url: str, pdfs, state):
     else:
         state.update((next_n, backoff, done, json.dumps({str(k): v for k, v in waiting.items()})))
     if emitted:
-        yield pd.DataFrame([{"url": url, "outcome": emitted[0], "attempts": emitted[1],
+        yield pd.DataFrame([{**key, "outcome": emitted[0], "attempts": emitted[1],
                              "backoff_s": emitted[2], "content_type": emitted[3]}])
 
 
-def _step(key, pdfs, state):
-    (url,) = key
-    yield from _advance(url, pdfs, state)
+def _stepper(names):
+    def step(key, pdfs, state):
+        yield from _advance(dict(zip(names, key)), pdfs, state)
+    return step
+
+
+def _with_keys(schema: T.StructType, by) -> T.StructType:
+    return T.StructType([*[T.StructField(c, T.StringType()) for c in by], *schema.fields])
 
 
 def start_retry_stream(spark: SparkSession, log_dir: str, sink_dir: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the outcome stream from attempt files in ``log_dir`` into ``sink_dir`` (Parquet)."""
+                       available_now: bool = True, max_files_per_trigger: int | None = None,
+                       by: Sequence[str] = ()) -> StreamingQuery:
+    """Start the outcome stream from attempt files in ``log_dir`` into ``sink_dir`` (Parquet).
+
+    ``by`` (string columns such as ``crawl_id``) keeps the attempts of many crawls apart.
+    """
     use_rocksdb_state(spark)
-    reader = spark.readStream.schema(LOG_SCHEMA)
+    reader = spark.readStream.schema(_with_keys(LOG_SCHEMA, by))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     log = reader.parquet(log_dir)
-    out = log.groupBy("url").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    keys = [*by, "url"]
+    out = log.groupBy(*keys).applyInPandasWithState(
+        _stepper(keys), _with_keys(OUT_SCHEMA, by), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint))
     if available_now:

@@ -74,3 +74,13 @@ def test_interrupted_then_resumed_equals_uninterrupted(spark):
     cols = ["crawl_id", "url", "depth", "parent", "fetched"]
     assert full.select(cols).exceptAll(resumed.select(cols)).count() == 0
     assert resumed.select(cols).exceptAll(full.select(cols)).count() == 0
+
+
+def test_stream_retry_per_crawl(spark):
+    base = f"{checkpoint_dir(spark)}/t-retry-by-{uuid.uuid4().hex[:8]}"
+    log = spark.createDataFrame([("a", "u", 1, 404, None, "x"), ("b", "u", 1, 503, None, "x"), ("b", "u", 2, 200, None, "x")],
+                                "crawl_id string, url string, attempt int, status int, error string, content_type string")
+    log.write.parquet(f"{base}/log")
+    SR.start_retry_stream(spark, f"{base}/log", f"{base}/out", f"{base}/ckpt", by=["crawl_id"]).awaitTermination()
+    got = {(r.crawl_id, r.outcome, r.attempts, r.backoff_s) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {("a", "failed", 1, 0), ("b", "ok", 2, 1)}
