@@ -44,17 +44,37 @@ def discovered_links(pages: DataFrame, weights: Sequence[str] = (), excluded: Se
         .dropDuplicates(["crawl_id", "url"])
 
 
+def state_sink(state_dir: str):
+    """foreachBatch sink: new URLs enter ``url_state`` (path null), one folder per micro-batch.
+
+    A micro-batch replayed after a failure overwrites its own ``batch_id``
+    folder, so the sink is idempotent and the state exact.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("crawl_id", "url", F.lit(None).cast("string").alias("path")) \
+            .write.mode("overwrite").parquet(f"{state_dir}/url_state/batch_id={batch_id}")
+    return write
+
+
 def start_discovery(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                     weights: Sequence[str] = (), excluded: Sequence[str] = (), available_now: bool = True,
-                    processing_time: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the discovery stream from ``source_dir`` (Parquet pages) into ``sink_dir`` (Parquet)."""
+                    processing_time: str | None = None, max_files_per_trigger: int | None = None,
+                    state_dir: str | None = None) -> StreamingQuery:
+    """Start the discovery stream from ``source_dir`` (Parquet pages) into ``sink_dir`` (Parquet).
+
+    With ``state_dir`` the new URLs go to a crawl-state table through
+    ``foreachBatch`` (see ``state_sink``) instead of the plain Parquet sink.
+    """
     use_rocksdb_state(spark)
     reader = spark.readStream.schema(PAGES_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     out = discovered_links(reader.parquet(source_dir), weights, excluded)
-    writer = (out.writeStream.format("parquet").outputMode("append")
-              .option("path", sink_dir).option("checkpointLocation", checkpoint))
+    writer = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if state_dir:
+        writer = writer.foreachBatch(state_sink(state_dir))
+    else:
+        writer = writer.format("parquet").option("path", sink_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

@@ -84,3 +84,15 @@ def test_stream_retry_per_crawl(spark):
     SR.start_retry_stream(spark, f"{base}/log", f"{base}/out", f"{base}/ckpt", by=["crawl_id"]).awaitTermination()
     got = {(r.crawl_id, r.outcome, r.attempts, r.backoff_s) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {("a", "failed", 1, 0), ("b", "ok", 2, 1)}
+
+
+def test_stream_discovery_into_state(spark):
+    base = f"{checkpoint_dir(spark)}/t-state-{uuid.uuid4().hex[:8]}"
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for part in range(2):
+        pages.where(F.col("page_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/pages")
+        SD.start_discovery(spark, f"{base}/pages", "", f"{base}/ckpt", state_dir=f"{base}/state").awaitTermination()
+    st = spark.read.parquet(f"{base}/state/url_state").select("crawl_id", "url", "path")
+    batch = SD.discovered_links(pages).select("crawl_id", "url")
+    assert st.where(F.col("path").isNotNull()).count() == 0
+    assert st.select("crawl_id", "url").exceptAll(batch).count() == 0 and batch.exceptAll(st.select("crawl_id", "url")).count() == 0
