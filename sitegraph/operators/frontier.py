@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegraph.operators.graph import materialize
+
 KEY = ["crawl_id", "url"]
 ORDER = ("priority", "depth", "url")
 
@@ -35,22 +37,26 @@ def frontier_rank(frontier: DataFrame, order: Sequence[str] = ORDER, by: str = "
 def rank_within(frontier: DataFrame, order: Sequence[str], by: str) -> DataFrame:
     """``row_number()`` over ``by`` ordered by ``order`` as column ``rank``, safe for a hot group.
 
-    A full rank is one sort per crawl; it is computed with a range-partitioned
-    global sort, so a crawl holding most rows is spread over many tasks, and
-    per-partition offsets (one small row per crawl and partition) turn local
-    positions into crawl-wide ranks.
+    One range-partitioned sort spreads a group that holds most rows over many
+    tasks. The sorted rows, each with its place in its partition, are written
+    once to the checkpoint folder, and both the offsets (one small row per group
+    and partition) and the ranks are read from that copy: computing the sort
+    twice could choose other range bounds for each. Rows that tie on all of
+    ``order`` get consecutive ranks in any order; null groups rank on their own.
     """
     keys = [by, *order]
-    sorted_ = frontier.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pid = F.spark_partition_id()
-    local = sorted_.withColumn("_pid", pid).withColumn(
-        "_pos", F.row_number().over(Window.partitionBy("_pid", by).orderBy(*order)))
-    counts = local.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(offsets.select(by, "_pid", "_off"), [by, "_pid"]).withColumn(
-        "rank", (F.col("_off") + F.col("_pos")).cast("bigint")).drop("_pid", "_pos", "_off")
+    place = 33  # bits of the row's place below the partition number in monotonically_increasing_id
+    local = materialize(frontier.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                        .withColumn("_at", F.monotonically_increasing_id()))
+    local = local.withColumn("_pid", F.shiftright("_at", place)).withColumn(
+        "_pos", F.col("_at").bitwiseAND(F.lit((1 << place) - 1)))
+    counts = local.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(by).alias("_by"), F.col("_pid").alias("_p"),
+                            (before - F.col("_first") + 1).alias("_off"))
+    return local.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_pid") == F.col("_p"))).withColumn(
+        "rank", (F.col("_off") + F.col("_pos")).cast("bigint")).drop("_at", "_pid", "_pos", "_by", "_p", "_off")
 
 
 def frontier_batch(frontier: DataFrame, k: int, order: Sequence[str] = ORDER, by: str = "crawl_id") -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import re
 from contextlib import redirect_stdout
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitegraph.operators import frontier as W
@@ -31,6 +32,22 @@ def test_hot_crawl_is_spread_by_rank_within(spark):
     assert sorted(r.rank for r in ranked.collect()) == list(range(1, 4501))
 
 
+def test_rank_within_equals_a_plain_window_with_extra_columns(spark):
+    # 600,000 rows, a crawl with a third of them, null groups and ties, and columns beyond the sort keys
+    n = F.col("id")
+    f = spark.range(600_000).select(
+        F.when(n % 3 == 0, F.lit("hot")).when(n % 101 == 1, None).otherwise(F.concat(F.lit("c"), n % 50)).alias("crawl_id"),
+        F.concat(F.lit("u"), n.cast("string")).alias("url"), (F.xxhash64(n) % 7).alias("priority"), (n % 4).alias("depth"),
+        F.concat(F.lit("tag"), n % 5).alias("tag"), F.sha2(n.cast("string"), 256).alias("attr"))
+    ranked = W.frontier_rank(f)
+    w = Window.partitionBy("crawl_id").orderBy("priority", "depth", "url")
+    plain = f.withColumn("want", F.row_number().over(w)).select("url", "want")
+    both = ranked.join(plain, "url", "full")
+    got = both.agg(F.count("rank"), F.count("want"), F.count(F.when(F.col("rank") != F.col("want"), 1))).first()
+    assert tuple(got) == (600_000, 600_000, 0)
+    assert ranked.columns == [*f.columns, "rank"]
+
+
 def test_partial_aggregation_before_the_shuffle(spark):
     links = spark.createDataFrame([("c", f"u{i % 3}", i, 0) for i in range(100)],
                                   "crawl_id string, url string, page_id int, pos int")
