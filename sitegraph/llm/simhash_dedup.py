@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import only, shuffle_partitions, stored, text_of
+from sitegraph.llm.common import only, stored, text_of
 from sitegraph.llm.simhash import block_keys, block_masks, to_hex
 from sitegraph.operators.graph import checkpoint_counted
 
@@ -158,8 +158,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.join(roots, "fp")
     best = named.groupBy("root").agg(F.min("least").alias("best"))
     moved = named.join(best, "root").select("fp", F.col("best"), F.lit(True).alias("linked"))
-    classes = nodes.join(moved, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id"))
+    # stored first: two plain shuffles meet in the last join, and Spark can split a fingerprint of very many copies
+    classes = stored(nodes.join(moved, "fp", "left").select(
+        "fp", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id")), "simhash-classes")
     return marked.join(classes, "fp").select("doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
