@@ -119,7 +119,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     where = texts.select("tid", F.posexplode("h").alias("pos", "x")).select("tid", "pos", "x.hi", "x.lo")
     # stored first: two plain shuffles meet in this join, and Spark can split a line that very many texts share
     settled = stored(runs.settled(), "line-settled")
-    drops = where.join(settled, HASH).groupBy("tid").agg(F.collect_list("pos").alias("_drops"))
+    drops = stored(where.join(settled, HASH).groupBy("tid").agg(F.collect_list("pos").alias("_drops")), "line-drops")
     keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = docs.select(F.struct(*keep).alias("_row") if keep else F.lit(0).alias("_row"), t.alias("_t"), tid.alias("tid"))
     done = rows.join(drops, "tid", "left").select("_row", _without("_t", "_drops").alias("_d"))
