@@ -21,7 +21,7 @@ from sitegraph.llm.common import only, scratch, shuffle_partitions, text_of
 from sitegraph.llm.tokens import default_tokenizer, pieces
 
 MAGIC = b"DAC1"
-BLOCK = 512  # bits per entry of a rank directory
+BLOCK = 64  # bits per entry of a rank directory: one machine word
 SEGMENT = 1 << 18  # ids after which a segment is closed; a document stays in one segment
 
 
@@ -34,7 +34,7 @@ def pack(ids: np.ndarray) -> bytes:
         chunk = (rest & np.uint32(255)).astype(np.uint8).tobytes()
         bitmap = np.packbits(more, bitorder="little")
         bitmap = np.pad(bitmap, (0, -len(bitmap) % (BLOCK // 8)))
-        ones = np.bitwise_count(bitmap.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
+        ones = np.bitwise_count(bitmap.view("<u8")).astype(np.uint32)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes()
         levels.append((len(rest), chunk, bitmap.tobytes(), ranks))
         if not more.any():
@@ -56,7 +56,7 @@ class Dac:
         for k in range(n_levels):
             n, nb, nr = struct.unpack_from("<QQQ", blob, 8 + 24 * k)
             chunk = np.frombuffer(blob, np.uint8, n, at)
-            bitmap = np.frombuffer(blob, np.uint8, nb, at + n)
+            bitmap = np.frombuffer(blob, "<u8", nb // 8, at + n)
             ranks = np.frombuffer(blob, "<u4", nr // 4, at + n + nb)
             self.levels.append((chunk, bitmap, ranks))
             at += n + nb + nr
@@ -71,31 +71,16 @@ class Dac:
         todo, pos = np.arange(len(where)), where
         for level, (chunk, bitmap, ranks) in enumerate(self.levels):
             out[todo] |= chunk[pos].astype(np.uint32) << np.uint32(8 * level)
-            on = (bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
-            todo, pos = todo[on], pos[on]
+            word, bit = bitmap[pos // BLOCK], (pos % BLOCK).astype(np.uint64)
+            on = (word >> bit) & np.uint64(1) == 1
+            below = word & ((np.uint64(1) << bit) - np.uint64(1))
+            nxt = ranks[pos // BLOCK] + np.bitwise_count(below)
+            todo, pos = todo[on], nxt[on].astype(np.int64)
             if not len(pos):
                 break
-            pos = ranks[pos // BLOCK].astype(np.int64) + _ones_before(bitmap, pos)
         return out
 
 
-def _ones_before(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Set bits between the start of a position's block and the position: at most one block of bytes is looked at."""
-    width = BLOCK // 8
-    first = pos // BLOCK * width
-    out = np.zeros(len(pos), dtype=np.int64)
-    for a in range(0, len(pos), 1 << 16):  # bounded memory
-        p, f = pos[a:a + (1 << 16)], first[a:a + (1 << 16)]
-        block = bitmap[f[:, None] + np.arange(width)]
-        whole = np.bitwise_count(block).astype(np.int64)
-        before = np.cumsum(whole, axis=1) - whole
-        byte = (p >> 3) - f
-        row = np.arange(len(p))
-        part = block[row, byte] & ((1 << (p & 7)) - 1).astype(np.uint8)
-        out[a:a + (1 << 16)] = before[row, byte] + np.bitwise_count(part)
-    return out
-
-
 SEGMENTS = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                       ("lengths", pa.list_(pa.int64())), ("blob", pa.binary())])
 SEGMENTS_DDL = "part int, seg int, n_ids long, doc_ids array<long>, lengths array<long>, blob binary"

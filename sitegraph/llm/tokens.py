@@ -18,6 +18,7 @@ import numpy as np
 BLANKS = re.compile("[ \\n]+")
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*%$#&]*)")  # letters, then signs that the pre-tokenizer cuts off
 MAX_PIECES = 600_000  # pieces remembered per process; beyond it the table starts anew
+MAX_WORDS = 1_000_000  # likewise for words without signs and case
 
 
 def default_tokenizer() -> str:
@@ -66,6 +67,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) > MAX_PIECES:
             self.clear()
+        if len(self.words) > MAX_WORDS:
             self.words.clear()
         m = WORD.fullmatch(piece) if len(piece) < 100 else None
         if m:
