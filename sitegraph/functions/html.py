@@ -21,7 +21,9 @@ ENTITIES = [
 ]
 # --- end of fixed values ---
 
-_ATT = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# one attribute: a name, then perhaps "=" with a quoted or bare value; blanks and slashes may stand around it
+_VALUE = r"""(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))?+"""
+_ATT = rf"""(?:[\s/]++|[^\s/>=][^\s/=>]*+{_VALUE})*+[^>]*+"""
 
 
 def tag_pattern(tags=tuple(LINK_TAGS)) -> str:
@@ -29,9 +31,9 @@ def tag_pattern(tags=tuple(LINK_TAGS)) -> str:
     names = "|".join(tags)
     return (
         r"(?is)<!--.*?-->"
-        rf"|<script\b{_ATT}>.*?</script\s*>"
-        rf"|<style\b{_ATT}>.*?</style\s*>"
-        rf"|<(?:{names})\b{_ATT}>"
+        rf"|<script(?=[\s/>]){_ATT}>.*?</script\s*>"
+        rf"|<style(?=[\s/>]){_ATT}>.*?</style\s*>"
+        rf"|<(?:{names})(?=[\s/>]){_ATT}>"
     )
 
 
@@ -54,9 +56,9 @@ def attr_regex(attr: str) -> str:
     tens of thousands of attributes can not overflow a task's stack.
     """
     return (
-        r"(?is)^(<[a-z][a-z0-9]*"
-        rf"""(?:\s++(?!{attr}\s*+=)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
-        rf"""\s++{attr}\s*+=\s*+)("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+        r"(?is)^(<[a-z][a-z0-9]*+"
+        rf"""(?:[\s/]++|(?!{attr}\s*+=)[^\s/>=][^\s/=>]*+{_VALUE})*+"""
+        rf"""{attr}\s*+=++\s*+)("[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
     )
 
 

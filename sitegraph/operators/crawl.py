@@ -78,6 +78,8 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     about (pages of the largest crawl) / ``k``, which is the bounded queue's
     behaviour but many jobs for a big site, so level mode is the one for scale.
     """
+    if batch_size is not None and resume_from is not None:
+        raise ValueError("resume_from continues a level crawl; it cannot be combined with batch_size")
     checkpoint_dir(spark)
     seeds = starts
     if excluded:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sitegraph.functions import html as H
 from sitegraph.operators import links as X
 
 PAGE = "http://ex.com/a/b.html"
@@ -76,3 +77,15 @@ def test_tag_with_many_attributes_does_not_overflow(spark):
     pages = _pages(spark, tag, "http://ex.com/")
     assert [r.href for r in X.raw_links(pages).orderBy("pos").collect()] == ["/deep", "/after"]
     assert X.rewrite_html(pages).first().html.endswith('href="deep.html">d</a><a href="after.html">')
+
+
+def test_links_that_a_lenient_parser_finds(spark):
+    shapes = [
+        ('<script-loader></script-loader><a href="/s">', ["/s"]),
+        ('<a class="x"href="/y">', ["/y"]), ('<a/href="/y">', ["/y"]), ('<img / src="/i.png">', ["/i.png"]),
+        ('<a title="x"" href="/y">', ["/y"]), ("<a title=it's href=\"/u1\">t<a href='/u2'>", ["/u1", "/u2"]),
+        ('<a data-href="/no" href="/yes">', ["/yes"]), ('<style-guide><a href="/g"></style-guide>', ["/g"]),
+    ]
+    df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(shapes)], "k int, html string")
+    got = {r.k: [x["value"] for x in r.v] for r in df.select("k", H.link_structs(F.col("html")).alias("v")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(shapes)}
