@@ -53,6 +53,8 @@ def _classify(status, error) -> str:
 
 def _advance(key: dict, pdfs, state):
     next_n, backoff, done, early = (state.get if state.exists else (1, 0, False, "{}"))
+    if done:  # outcome already emitted: repeated and late attempts change nothing
+        return
     waiting = {int(k): v for k, v in json.loads(early or "{}").items()}
     for pdf in pdfs:
         for a, s, e, ct in zip(pdf["attempt"], pdf["status"], pdf["error"], pdf["content_type"]):
@@ -72,10 +74,8 @@ def _advance(key: dict, pdfs, state):
             done = True
             break
         next_n += 1
-    if done:
-        state.remove()
-    else:
-        state.update((next_n, backoff, done, json.dumps({str(k): v for k, v in waiting.items()})))
+    # a finished URL keeps a marker without attempts, so its outcome is emitted once only
+    state.update((next_n, backoff, done, "{}" if done else json.dumps({str(k): v for k, v in waiting.items()})))
     if emitted:
         yield pd.DataFrame([{**key, "outcome": emitted[0], "attempts": emitted[1],
                              "backoff_s": emitted[2], "content_type": emitted[3]}])
