@@ -4,8 +4,9 @@ Attempts ``(url, attempt, status, error, content_type)`` stream in; state per
 URL holds the next expected attempt, the backoff so far and any attempt that
 arrived early. When an attempt ends the loop (200, a non-retryable status or
 error, or the fifth attempt) the URL's outcome is emitted once, equal to the
-batch operator ``frontier.fetch_outcome``, and its state is dropped, so state
-only holds URLs still in flight (no timers: an ``availableNow`` run ends).
+batch operator ``frontier.fetch_outcome``; of a finished URL only a small marker
+stays, so repeated and late attempts emit nothing (no timers: an
+``availableNow`` run ends). State therefore grows with the URLs seen.
 The per-URL work is a handful of
 rows (five attempts at most), so the pandas step is a small helper on a
 bounded group; Spark shuffles the attempts by URL and keeps the state
