@@ -32,7 +32,6 @@ INDEX_FILE = "index.html"
 HTML_SUFFIX = ".html"
 SCRIPT_SUFFIX_RE = r"\.(php|pl)$"
 MAX_NAME_CHARS = 255
-QUERY_HASH_HEX = 8
 # --- end of fixed values ---
 
 # One pass of Python's urlsplit: optional scheme, optional //netloc, path, ?query, #fragment.
@@ -274,13 +273,17 @@ def split_ext(p: Column) -> Column:
     return let(p, body)
 
 
-def name_hash(text: Column, algo: str = "md5", hex_len: int = QUERY_HASH_HEX) -> Column:
-    """Short hex digest used in file names (JVM built-ins, checkable in DuckDB)."""
-    if algo == "md5":
-        return F.substring(F.md5(F.encode(text, "UTF-8")), 1, hex_len)
-    if algo == "sha256":
-        return F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, hex_len)
-    raise ValueError(f"unknown name hash {algo!r}")
+def name_hash(text: Column, hash_algo: str = "md5", hash_len: int | None = None) -> Column:
+    """Hex digest used in file names (JVM built-ins, checkable in DuckDB).
+
+    The whole digest by default, so that two URLs do not share a file;
+    ``hash_len`` cuts it to short names that may collide on large sites.
+    """
+    if hash_algo not in ("md5", "sha256"):
+        raise ValueError(f"unknown name hash {hash_algo!r}")
+    data = F.encode(text, "UTF-8")
+    digest = F.md5(data) if hash_algo == "md5" else F.sha2(data, 256)
+    return digest if hash_len is None else F.substring(digest, 1, hash_len)
 
 
 def _name_len(x: Column, unit: str) -> Column:
@@ -310,7 +313,7 @@ def _path_steps(u: Column, qhash, lhash, max_name: int, final: bool, name_unit:
     return F.when(u.isNotNull(), let(url_parts(u), body))
 
 
-def local_name(u: Column | str, hash_algo: str = "md5", hash_len: int = QUERY_HASH_HEX) -> Column:
+def local_name(u: Column | str, hash_algo: str = "md5", hash_len: int | None = None) -> Column:
     """The file path inside its host folder before the long-name rule."""
     h = lambda x: name_hash(x, hash_algo, hash_len)
     return _path_steps(_s(u), h, h, MAX_NAME_CHARS, False)
@@ -319,7 +322,7 @@ def local_name(u: Column | str, hash_algo: str = "md5", hash_len: int = QUERY_HA
 def local_path(
     u: Column | str,
     hash_algo: str = "md5",
-    hash_len: int = QUERY_HASH_HEX,
+    hash_len: int | None = None,
     max_name: int = MAX_NAME_CHARS,
     name_unit: str = "chars",
 ) -> Column:

@@ -123,7 +123,7 @@ def _sql_path_steps(u: str) -> tuple[str, str]:
           f"then {path} || '.html' else {path} end)")
     ext = f"regexp_extract(regexp_extract({s1}, '[^/]*$'), '^\\.*[^.].*(\\.[^.]*)$', 1)"
     s2 = (f"(case when {query} <> '' then left({s1}, length({s1}) - length({ext})) || '_' || "
-          f"substr(md5({query}), 1, 8) || {ext} else {s1} end)")
+          f"md5({query}) || {ext} else {s1} end)")
     return s2, net
 
 
@@ -135,7 +135,7 @@ def sql_local_path(u: str) -> str:
     """DuckDB text of the local-path rules for URLs without ``;params`` (enough for the fixtures)."""
     s2, net = _sql_path_steps(u)
     ext2 = f"regexp_extract(regexp_extract({s2}, '[^/]*$'), '^\\.*[^.].*(\\.[^.]*)$', 1)"
-    s3 = f"(case when length(regexp_extract({s2}, '[^/]*$')) > 255 then substr(md5({s2}), 1, 8) || {ext2} else {s2} end)"
+    s3 = f"(case when length(regexp_extract({s2}, '[^/]*$')) > 255 then md5({s2}) || {ext2} else {s2} end)"
     rel = f"ltrim({s3}, '/')"
     return f"(case when {net} <> '' then {net} || '/' || {rel} else {rel} end)"
 

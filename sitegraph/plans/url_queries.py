@@ -123,7 +123,7 @@ def q_script_links(spark, sf_dir):
 @register("path_conflicts", "with " + SQL_BASE.strip() + f""",
 files as (select distinct {FX.sql_local_path('url')} as path from pages
           union select distinct netloc || '/' || {_NAME} from w)
-select a.path, a.path || '_' || substr(md5(a.path), 1, 8) as renamed_path, cast(count(distinct b.path) as bigint) as n_children
+select a.path, a.path || '_' || md5(a.path) as renamed_path, cast(count(distinct b.path) as bigint) as n_children
 from files a join files b on starts_with(b.path, a.path || '/')
 group by a.path""")
 def q_path_conflicts(spark, sf_dir):

@@ -35,7 +35,7 @@ RESOLVE_GOLDEN = [
 
 
 def _md5(s):
-    return hashlib.md5(s.encode()).hexdigest()[:8]
+    return hashlib.md5(s.encode()).hexdigest()
 
 
 PATH_GOLDEN = [
