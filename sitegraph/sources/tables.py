@@ -1,33 +1,23 @@
-"""Table sources: the given Parquet tables, with CPU-heavy scans balanced over the cores."""
+"""Table sources: the given Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+PAGES_PARTITIONS = "sitegraph.pages.partitions"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a small scan over all cores before row-heavy work (HTML parsing).
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages(page_id, url, html)`` as scanned, one task per file split.
 
-    A scan of a few large row groups yields fewer tasks than cores; then the
-    rows are redistributed round-robin. A large scan already has many more
-    splits than cores and is returned unchanged, so no shuffle is added at scale.
+    A session whose files have too few row groups for its cores may set
+    ``sitegraph.pages.partitions`` to a number of partitions to deal the rows to;
+    without the setting no row is moved.
     """
-    try:
-        want = min_partitions or spark_parallelism(df)
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the scan as is
-        return df
-    return df.repartition(want) if n < want else df
-
-
-def spark_parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages(page_id, url, html)``, balanced for the link operators."""
-    return balanced(read_table(spark, sf_dir, "pages"))
+    pages = read_table(spark, sf_dir, "pages")
+    n = spark.conf.get(PAGES_PARTITIONS, None)
+    return pages.repartition(int(n)) if n else pages

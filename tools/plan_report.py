@@ -43,9 +43,7 @@ def main() -> None:
     parts = ["# Physical plans\n",
              f"Generated by `tools/plan_report.py` at `{args.sf_dir}` (AQE decides the final join strategy "
              "at run time; these are the plans before execution). Iterative queries show the plan of their "
-             "final step over checkpointed levels. The `Exchange` right above a page scan is the small-data "
-             "rebalancing of `sources.tables.balanced` (the test file has fewer row groups than cores); a "
-             "scan with at least as many splits as cores has none.\n"]
+             "final step over checkpointed levels.\n"]
     for key, fn in QUERIES.items():
         parts.append(f"## {key}\n\n```\n{condensed(fn(spark, args.sf_dir))}\n```\n")
     with open(args.out, "w") as f:
