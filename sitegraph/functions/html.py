@@ -9,18 +9,22 @@ recursing) through very long tags.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: which tag carries which link attribute (crawler rules) ---
 LINK_TAGS = {"a": "href", "link": "href", "script": "src", "img": "src"}
-# named/numeric entities decoded inside attribute values, in this order ('&amp;' last)
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&nbsp;", " "), ("&amp;", "&"),
-]
 # --- end of fixed values ---
 
+# character references: decimal, hexadecimal, or one of HTML5's names with its semicolon
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;)"
+_NAMES = {k: v for k, v in html5.items() if k.endswith(";")}
+# numeric references 128 to 159 mean the Windows-1252 characters
+_C1 = {chr(c): bytes([c]).decode("cp1252", "ignore") for c in range(128, 160)}
+_C1 = {k: v for k, v in _C1.items() if v}
+
 # one attribute: a name, then perhaps "=" with a quoted or bare value; blanks and slashes may stand around it
 _VALUE = r"""(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))?+"""
 _ATT = rf"""(?:[\s/]++|[^\s/>=][^\s/=>]*+{_VALUE})*+[^>]*+"""
@@ -30,7 +34,7 @@ def tag_pattern(tags=tuple(LINK_TAGS)) -> str:
     """Regex whose matches are comments, skipped element bodies, or start tags of ``tags``."""
     names = "|".join(tags)
     return (
-        r"(?is)<!--.*?-->"
+        r"(?is)<!--.*?(?:-->|\z)"
         rf"|<script(?=[\s/>]){_ATT}>.*?</script\s*>"
         rf"|<style(?=[\s/>]){_ATT}>.*?</style\s*>"
         rf"|<(?:{names})(?=[\s/>]){_ATT}>"
@@ -62,10 +66,31 @@ def attr_regex(attr: str) -> str:
     )
 
 
+def _reference(r: Column) -> Column:
+    """The characters of one character reference; an unknown name stays as written."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in _NAMES.items())), F.lit("\x02"), F.lit("\x01"))
+    digits = F.regexp_extract(r, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    is_hex = F.lower(F.substring(r, 3, 1)) == "x"
+
+    def character(n):
+        bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        utf32 = F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(n)), 8, "0"))
+        return F.translate(F.decode(utf32, "UTF-32"), "".join(_C1), "".join(_C1.values()))
+
+    def number(d):
+        long_ = F.length(F.ltrim(d, F.lit("0"))) > 8  # beyond every code point
+        return F.when(~long_, F.when(is_hex, F.conv(d, 16, 10)).otherwise(F.conv(d, 10, 10)).cast("long"))
+
+    numeric = F.element_at(F.transform(F.array(number(digits)), character), 1)
+    return F.when(r.startswith("&#"), numeric).otherwise(
+        F.coalesce(F.try_element_at(names, F.substring(r, F.lit(2), F.length(r))), r))
+
+
 def decode_entities(v: Column) -> Column:
-    for ent, ch in ENTITIES:
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    return v
+    """Character references decoded once, from left to right; names need their semicolon."""
+    parts = F.regexp_extract_all(v, F.lit(f"{_REFERENCE}|[^&]++|&"), 0)
+    decoded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{_REFERENCE}$"), _reference(p)).otherwise(p)), "")
+    return F.when(v.contains("&"), decoded).otherwise(v)
 
 
 def attr_value(token: Column, attr: str) -> Column:
