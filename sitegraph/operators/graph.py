@@ -86,7 +86,8 @@ def _union(parts):
 
 
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
-        max_depth: int | None = None, prior: DataFrame | None = None, compact_every: int = 4) -> DataFrame:
+        max_depth: int | None = None, prior: DataFrame | None = None, compact_every: int = 4,
+        wanted: DataFrame | None = None) -> DataFrame:
     """Multi-source BFS: every node reached from each source with its shortest depth and a parent.
 
     ``sources(*by, start)`` (a start need not be a node); ``edges(*by, src, dst)``.
@@ -98,8 +99,11 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     (combined map-side), anti-join with everything reached so far, then the new
     level is checkpointed into ``spark.checkpoint.dir``. Rounds = graph depth.
     Every ``compact_every`` levels the visited levels are folded into one
-    hash-partitioned checkpoint, so the anti-join reads a few partitions per
-    round instead of every partition of every earlier level.
+    hash-partitioned checkpoint that later anti-joins read in place; only the
+    few levels since then are shuffled again.
+
+    ``wanted(*by, start, end)``: the nodes looked for. A start whose ends are
+    all found is expanded no further (looked at whenever levels are folded).
 
     ``prior`` (an earlier, interrupted result) resumes the search: its levels
     are taken as found and its deepest level is expanded next, so an
@@ -123,40 +127,59 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
         depth = p.agg(F.max("depth")).first()[0] or 0
         level = p.where(F.col("depth") == depth)
         visited = [p.where(F.col("depth") < depth), level]
-    fresh = 1  # levels added since the last compaction
+    keys = [*by, "start", "url"]
+    folded, fresh = None, visited  # what is reached: the folded levels and those since
     while max_depth is None or depth < max_depth:
-        seen = _union(visited)
         step = (
             level.select(*by, "start", F.col("url").alias("src"))
             .join(e, [*by, "src"])
             .groupBy(*by, "start", F.col("dst").alias("url"))
             .agg(F.min("src").alias("parent"))
-            .join(seen.select(*by, "start", "url"), [*by, "start", "url"], "left_anti")
-            .select(*by, "start", "url", F.lit(depth + 1).alias("depth"), "parent")
         )
-        level, n = checkpoint_counted(step)
+        if folded is not None:
+            step = step.join(folded.select(*keys), keys, "left_anti")
+        if fresh:
+            step = step.join(_union(fresh).select(*keys), keys, "left_anti")
+        level, n = checkpoint_counted(step.select(*keys, F.lit(depth + 1).alias("depth"), "parent"))
         if n == 0:
             break
-        visited.append(level)
+        fresh.append(level)
         depth += 1
-        fresh += 1
-        if compact_every and fresh >= compact_every and len(visited) > 1:
-            folded, _ = checkpoint_counted(partitioned(_union(visited), *by, "start", "url"))
-            visited, fresh = [folded], 0
-    return _union(visited)
-
-
-def has_path(spark: SparkSession, edges: DataFrame, queries: DataFrame, by: Sequence[str] = ("crawl_id",)) -> DataFrame:
+        if compact_every and len(fresh) >= compact_every:
+            reached = fresh if folded is None else [folded, *fresh]
+            folded, fresh = materialize(partitioned(_union(reached), *keys), keep_partitioning=True), []
+            if wanted is not None:
+                found = folded.select(*by, "start", F.col("url").alias("end"))
+                wanted, n_open = checkpoint_counted(wanted.join(found, [*by, "start", "end"], "left_anti"))
+                if n_open == 0:
+                    break
+                level = level.join(wanted.select(*by, "start").distinct(), [*by, "start"], "left_semi")
+    return _union(fresh if folded is None else [folded, *fresh])
+
+
+def has_path(spark: SparkSession, edges: DataFrame, queries: DataFrame, by: Sequence[str] = ("crawl_id",),
+             nodes: DataFrame | None = None) -> DataFrame:
     """For each ``(*by, start, end)`` query, whether ``end`` is reachable from ``start``.
 
     ``start == end`` is true iff the node exists; an unknown node gives false.
+    ``nodes(*by, url)`` names nodes beside the edges' ends (those without links).
+
+    Only open questions are searched: an end that no edge enters needs no
+    search, and a start whose ends are all found is expanded no further.
     """
     by = list(by)
-    nodes = graph_nodes(edges, by)
-    starts = queries.select(*by, "start").distinct().join(
-        nodes.withColumnRenamed("url", "start"), [*by, "start"], "left_semi")
-    reach = bfs(spark, edges, starts, by).select(*by, "start", F.col("url").alias("end"), F.lit(True).alias("hit"))
-    return queries.join(reach, [*by, "start", "end"], "left").select(
+    known = graph_nodes(edges, by)
+    if nodes is not None:
+        known = known.unionByName(nodes.select(*by, "url")).distinct()
+    asked = queries.select(*by, "start", "end").distinct().join(
+        known.withColumnRenamed("url", "start"), [*by, "start"], "left_semi")
+    itself = asked.where(F.col("start") == F.col("end"))
+    entered = edges.where(F.col("src") != F.col("dst")).select(*by, F.col("dst").alias("end")).distinct()
+    wanted, _ = checkpoint_counted(asked.where(F.col("start") != F.col("end")).join(entered, [*by, "end"], "left_semi"))
+    reach = bfs(spark, edges, wanted.select(*by, "start"), by, wanted=wanted).select(
+        *by, "start", F.col("url").alias("end")).join(wanted, [*by, "start", "end"], "left_semi")
+    hits = reach.unionByName(itself.select(*by, "start", "end")).withColumn("hit", F.lit(True))
+    return queries.join(hits, [*by, "start", "end"], "left").select(
         *queries.columns, F.coalesce(F.col("hit"), F.lit(False)).alias("reachable"))
 
 
