@@ -49,9 +49,19 @@ def load_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_state(url_state: DataFrame, completed: DataFrame, root: str) -> None:
-    """S4 sink: one new snapshot folder per round (never rewritten in place), partitioned by crawl."""
-    url_state.write.mode("overwrite").partitionBy("crawl_id").parquet(f"{root}/url_state")
-    completed.write.mode("overwrite").partitionBy("crawl_id").parquet(f"{root}/completed")
+    """S4 sink: a new snapshot folder (one that exists is refused), laid out by key.
+
+    A crawl's rows stand together in few files, found by the files' key
+    statistics; a large crawl is spread over many, small ones share one.
+    """
+    clustered(url_state).write.parquet(f"{root}/url_state")
+    clustered(completed).write.parquet(f"{root}/completed")
+
+
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to key ranges and sorted in them (default key: crawl and URL)."""
+    keys = keys or tuple(KEY)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def path_map(url_state: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def _site(spark: SparkSession, sf_dir: str):
     Fixture derivation is test-data preparation, not an operator under test;
     building it once keeps every query from re-deriving it several times.
     """
-    key = (id(spark), sf_dir, "site")
+    key = (spark.sparkContext.applicationId, sf_dir, "site")
     if key not in _FIXTURE_CACHE:
         pages = read_pages(spark, sf_dir)
         site, edges = FX.closed_site(pages)
@@ -75,7 +77,7 @@ select crawl_id, url, path from url_state where path is not null and path <> ''"
 def q_state_load(spark, sf_dir):
     """Write the F5 state as a snapshot, load it back, keep the path map (saved URLs)."""
     url_state, completed, _ = _state(spark, sf_dir)
-    root = f"{checkpoint_dir(spark)}/state-snapshot-{abs(hash(sf_dir))}"
+    root = f"{checkpoint_dir(spark)}/state-snapshot-{uuid.uuid4().hex}"
     S.save_state(url_state, completed, root)
     loaded, _ = S.load_state(spark, root)
     return S.path_map(loaded).select("crawl_id", "url", "path")
