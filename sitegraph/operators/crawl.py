@@ -62,7 +62,8 @@ def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
 
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                  excluded: Sequence[str] = (), batch_size: int | None = None, strict_domain: bool = False,
-                 max_rounds: int | None = None, resume_from: DataFrame | None = None) -> DataFrame:
+                 max_rounds: int | None = None, resume_from: DataFrame | None = None,
+                 content: DataFrame | None = None) -> DataFrame:
     """Crawl every start URL over the captured pages until the frontier is empty.
 
     ``batch_size=None`` pops whole BFS levels (depth = shortest link distance);
@@ -71,8 +72,12 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     discovery depth). Output: every discovered URL with ``depth``, ``priority``,
     ``parent`` (first discoverer) and ``fetched``.
 
+    ``pages`` are parsed for links; ``content(crawl_id, url)`` names everything
+    that can be fetched if that is more (style sheets, images).
+
     ``max_rounds`` stops early; ``resume_from`` (the output of a stopped level
-    crawl) continues it to the same result an uninterrupted crawl gives.
+    crawl) continues it to the same result an uninterrupted crawl gives, since
+    its deepest level holds the URLs not expanded yet.
 
     Rounds: level mode needs one per link-depth level; best-first mode needs
     about (pages of the largest crawl) / ``k``, which is the bounded queue's
@@ -105,7 +110,7 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
         found = found.withColumn("priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(prio))
     else:
         found = _best_first(spark, edges, seeds, weights, batch_size, max_rounds)
-    captured = pages.select(*KEY).distinct().withColumn("fetched", F.lit(True))
+    captured = (pages if content is None else content).select(*KEY).distinct().withColumn("fetched", F.lit(True))
     return found.join(captured, KEY, "left").select(
         *KEY, F.col("depth").cast("int").alias("depth"), F.col("priority").cast("int").alias("priority"),
         "parent", F.coalesce(F.col("fetched"), F.lit(False)).alias("fetched"))

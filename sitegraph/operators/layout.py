@@ -1,7 +1,7 @@
 """Mirror layout: manifest, collisions, file/folder conflicts, escapes.
 
-Files are not written one by one; a mirror is a Parquet manifest
-``(crawl_id, url, path, kind, mode, n_bytes, content)`` partitioned by crawl.
+Files are not written one by one; a mirror is a Parquet table
+``(crawl_id, url, path, kind, mode, content)`` clustered by crawl and path.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegraph.functions import urls as U
+from sitegraph.operators.state import clustered
 
 
 def _rank_struct(order: Sequence[str], url: str):
@@ -27,7 +28,7 @@ def with_paths(resources: DataFrame, url: str = "url", **path_opts) -> DataFrame
 
 
 def manifest(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (), url: str = "url",
-             content: str = "html", content_type: str | None = None, **path_opts) -> DataFrame:
+             content: str = "html", content_type: str | None = None, body: str | None = None, **path_opts) -> DataFrame:
     """S3 + K2: what the mirror holds, first writer per file wins.
 
     ``order`` ranks writers (earliest first). The winner per file is a
@@ -38,8 +39,10 @@ def manifest(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     r = with_paths(resources, url, **path_opts)
     ct = F.col(content_type) if content_type else F.lit("text/html")
     kind, _, mode = U.content_kind(ct, F.col(url))
-    r = r.withColumn("kind", kind).withColumn("mode", mode).withColumn(
-        "n_bytes", F.octet_length(F.col(content)).cast("bigint"))
+    size = F.octet_length(F.col(content))
+    if body:
+        size = F.when(mode == "binary", F.octet_length(F.col(body))).otherwise(size)
+    r = r.withColumn("kind", kind).withColumn("mode", mode).withColumn("n_bytes", size.cast("bigint"))
     win = r.groupBy(*by, "file_key").agg(F.min(_rank_struct(order, url)).alias("w"))
     win = win.select(*by, "file_key", F.col(f"w.{url}").alias("writer_url"))
     out = r.join(win, [*by, "file_key"])
@@ -99,23 +102,26 @@ def apply_renames(m: DataFrame, by: Sequence[str] = (), **hash_opts) -> DataFram
 
 def write_mirror(resources: DataFrame, out_dir: str, order: Sequence[str], by: Sequence[str] = ("crawl_id",),
                  url: str = "url", content: str = "html", content_type: str | None = None,
-                 mode: str = "overwrite", quarantine: bool = True, **path_opts) -> DataFrame:
+                 mode: str = "overwrite", quarantine: bool = True, body: str | None = None, **path_opts) -> DataFrame:
     """S3 sink: the written files of a mirror as Parquet ``(by..., path, url, kind, mode, content)``.
 
-    One row per file (the first writer wins), partitioned by crawl, instead of
-    millions of small files. Files needed as folders are renamed (K1); with
-    ``quarantine`` a path escaping the output folder is not written (K3).
-    Returns the manifest with ``final_path``, ``renamed`` and ``unsafe``.
+    One row per file (the first writer wins), clustered by crawl and path,
+    instead of millions of small files. Files needed as folders are renamed (K1);
+    with ``quarantine`` a path escaping the output folder is not written (K3).
+    ``body`` names a binary column, written beside ``content`` for files of mode
+    "binary". Returns the manifest with ``final_path``, ``renamed`` and ``unsafe``.
     """
     by = list(by)
-    m = manifest(resources, order, by, url, content, content_type, **path_opts)
-    m = apply_renames(m.withColumn("file_key", U.norm_path(F.col("path"))), by).withColumn(
+    m = manifest(resources, order, by, url, content, content_type, body, **path_opts)
+    hash_opts = {k: v for k, v in path_opts.items() if k in ("hash_algo", "hash_len")}
+    m = apply_renames(m.withColumn("file_key", U.norm_path(F.col("path"))), by, **hash_opts).withColumn(
         "unsafe", U.escapes_root(F.col("path")))
     keep = F.col("written") & (~F.col("unsafe") if quarantine else F.lit(True))
+    bodies = [F.col(body).alias("body")] if body else []
     files = m.where(keep).select(*by, url, F.col("final_path").alias("path"), "kind", "mode").join(
-        resources.select(*by, url, F.col(content).alias("content")), [*by, url])
-    writer = files.write.mode(mode)
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(out_dir)
+        resources.select(*by, url, F.col(content).alias("content"), *bodies), [*by, url])
+    if body:
+        files = files.withColumn("body", F.when(F.col("mode") == "binary", F.col("body"))).withColumn(
+            "content", F.when(F.col("mode") == "text", F.col("content")))
+    clustered(files, *by, "path").write.mode(mode).parquet(out_dir)
     return m.drop("file_key")

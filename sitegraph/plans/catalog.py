@@ -26,6 +26,19 @@ from sitegraph.plans.registry import EXCLUDED, ORACLES, QUERIES, WEIGHTS, regist
 RFC = r"'^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?'"
 
 
+LONGER = 260  # characters added to a link to pass the file-name limit
+# every third page again under a URL that differs in its fragment only: both claim one file
+SQL_TWICE = """
+pv as (select page_id, url, html from pages
+       union all select page_id + 1000000000, url || '#top', html from pages where page_id % 3 = 0)"""
+
+
+def _twice(pages: DataFrame) -> DataFrame:
+    again = pages.where(F.col("page_id") % 3 == 0).select(
+        (F.col("page_id") + 1000000000).alias("page_id"), F.concat("url", F.lit("#top")).alias("url"), "html")
+    return pages.select("page_id", "url", "html").unionByName(again)
+
+
 def sql_part(u: str, g: int) -> str:
     return f"regexp_extract({u}, {RFC}, {g})"
 
@@ -90,14 +103,15 @@ def q_local_path(spark, sf_dir):
 
 @register("long_paths", f"""
 with {SQL_LINKS.strip()},
-u as (select distinct link as url from rl)
+u as (select link as url from rl union select link || repeat('x', {LONGER}) from rl)
 select url, {FX.sql_local_path('url')} as path,
        cast(length(regexp_extract({FX.sql_local_name('url')}, '[^/]*$')) as bigint) as name_chars,
        length(regexp_extract({FX.sql_local_name('url')}, '[^/]*$')) > 255 as is_long
 from u""")
 def q_long_paths(spark, sf_dir):
-    """U3d: file-name length of every linked URL and whether the long-name rule replaced it."""
-    u = _resolved_raw(spark, sf_dir).select("url").distinct()
+    """U3d: file-name length of every linked URL, as it is and drawn out, and whether the long-name rule replaced it."""
+    u = _resolved_raw(spark, sf_dir).select(F.explode(F.array(
+        F.col("url"), F.concat(F.col("url"), F.lit("x" * LONGER)))).alias("url")).distinct()
     name = U.basename(U.local_name(F.col("url")))
     return u.select("url", U.local_path(F.col("url")).alias("path"),
                     F.length(name).cast("bigint").alias("name_chars"),
@@ -202,23 +216,25 @@ def q_rewrite_links(spark, sf_dir):
 
 
 @register("path_collisions", f"""
-with f as (select page_id, url, {FX.sql_local_path('url')} as path from pages),
+with {SQL_TWICE.strip()},
+f as (select page_id, url, {FX.sql_local_path('url')} as path from pv),
 g as (select path, count(*) as n_urls, arg_min(url, page_id) as winner_url from f group by path)
 select path, cast(n_urls as bigint) as n_urls, winner_url from g where n_urls > 1""")
 def q_path_collisions(spark, sf_dir):
     """K2: files claimed by several page URLs (fragment or '.html' variants), first page wins."""
-    return K.path_collisions(_pages(spark, sf_dir), order=["page_id"])
+    return K.path_collisions(_twice(_pages(spark, sf_dir)), order=["page_id"])
 
 
 @register("mirror_manifest", f"""
-with f as (select page_id, url, html, {FX.sql_local_path('url')} as path from pages),
+with {SQL_TWICE.strip()},
+f as (select page_id, url, html, {FX.sql_local_path('url')} as path from pv),
 w as (select path, arg_min(url, page_id) as writer_url from f group by path)
 select f.url, f.path, 'text/html' as kind, 'text' as mode, cast(octet_length(encode(f.html)) as bigint) as n_bytes,
        w.writer_url, w.writer_url = f.url as written
 from f join w on f.path = w.path""")
 def q_mirror_manifest(spark, sf_dir):
-    """S3 + K2: what a mirror of all pages holds; the first page per file is written."""
-    return K.manifest(_pages(spark, sf_dir), order=["page_id"])
+    """S3 + K2: what a mirror of all pages and their fragment variants holds; the first page per file is written."""
+    return K.manifest(_twice(_pages(spark, sf_dir)), order=["page_id"])
 
 
 # registering the other query families

@@ -13,6 +13,7 @@ from sitegraph.operators import frontier as W
 from sitegraph.operators import graph as G
 from sitegraph.operators import state as S
 from sitegraph.plans import fixtures as FX
+from sitegraph.plans.mirror_job import site_resources
 from sitegraph.plans.registry import BATCH, EXCLUDED, WEIGHTS, register
 from sitegraph.session import checkpoint_dir
 from sitegraph.sources.tables import read_pages
@@ -356,6 +357,22 @@ def q_replay_crawl(spark, sf_dir):
     return _replay(spark, sf_dir)
 
 
+@register("mirror_site", F5R + _REPLAY_SQL + f""",
+saved as (select c.crawl_id, c.url, p.html from crawl c join site s on s.crawl_id = c.crawl_id and s.url = c.url
+          join pages p on p.page_id = s.page_id where c.fetched)
+select crawl_id, url, {FX.sql_local_path('url')} as path,
+       regexp_replace(regexp_replace(html, '<a href="/([^"./]*)"', '<a href="\\1.html"', 'g'),
+                      '<a href="/([^"/]*)"', '<a href="\\1"', 'g') as html
+from saved""")
+def q_mirror_site(spark, sf_dir):
+    """G8 + X4 + U3: every page that the crawls reach, with its file and its links pointing at the local copies."""
+    pages, site, _ = _site(spark, sf_dir)
+    captured = FX.site_pages(pages, site).select("crawl_id", *[
+        F.col("url"), F.col("html"), F.lit("text/html").alias("content_type"), F.lit(None).cast("binary").alias("body")])
+    _, resources = site_resources(spark, captured, FX.roots(site).select("crawl_id", "url"), WEIGHTS)
+    return resources.select("crawl_id", "url", U.local_path(F.col("url")).alias("path"), "html")
+
+
 @register("dead_links", F5R + _REPLAY_SQL + "select crawl_id, url, depth, parent from crawl where not fetched")
 def q_dead_links(spark, sf_dir):
     """URLs the crawl discovered but could not fetch."""

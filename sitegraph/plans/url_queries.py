@@ -122,41 +122,57 @@ def q_script_links(spark, sf_dir):
 
 @register("path_conflicts", "with " + SQL_BASE.strip() + f""",
 files as (select distinct {FX.sql_local_path('url')} as path from pages
-          union select distinct netloc || '/' || {_NAME} from w)
+          union select distinct netloc || '/' || {_NAME} from w
+          union select netloc || '/' || word || '.css' from w
+          union select netloc || '/' || word || '.css/x.html' from w)
 select a.path, a.path || '_' || md5(a.path) as renamed_path, cast(count(distinct b.path) as bigint) as n_children
 from files a join files b on starts_with(b.path, a.path || '/')
 group by a.path""")
 def q_path_conflicts(spark, sf_dir):
-    """K1: saved files that another file needs as a folder (the older file gets renamed)."""
+    """K1: saved files that another file needs as a folder (the older file gets renamed).
+
+    Every link also counts as a style sheet ``<link>.css`` and a page ``<link>.css/x`` below it.
+    """
     pages = read_pages(spark, sf_dir)
     page_paths = pages.select(U.local_path(F.col("url")).alias("path"))
-    link_paths = _root_links(spark, sf_dir).select(
-        U.local_path(U.resolve_url(F.col("page_url"), F.col("href"))).alias("path"))
+    hrefs = _root_links(spark, sf_dir).select("page_url", F.explode(F.array(
+        F.col("href"), F.concat("href", F.lit(".css")), F.concat("href", F.lit(".css/x")))).alias("href"))
+    link_paths = hrefs.select(U.local_path(U.resolve_url(F.col("page_url"), F.col("href"))).alias("path"))
     return K.path_conflicts(page_paths.unionByName(link_paths))
 
 
 SQL_IMG = rf"""
 with p as (select page_id, url, html, lower(regexp_extract(url, {RFC}, 2)) as scheme, regexp_extract(url, {RFC}, 4) as netloc
            from pages),
-i as (select page_id, scheme, netloc, cast(generate_subscripts(s, 1) - 1 as bigint) as pos, unnest(s) as href
-      from (select *, regexp_extract_all(html, '<img[^>]*? src="([^"]*)"', 1) as s from p) q)
+h as (select page_id, scheme, netloc, generate_subscripts(s, 1) - 1 as k, unnest(s) as link
+      from (select *, regexp_extract_all(html, '<a[^>]*? href="(/[^"/][^"]*)"', 1) as s from p) q),
+i as (select page_id, netloc, cast(2 * k as bigint) as pos, link as href, scheme || '://' || netloc || link as url from h
+      union all
+      select page_id, netloc, cast(2 * k + 1 as bigint), '//{CDN_HOST}' || link, scheme || '://{CDN_HOST}' || link from h)
 """
 
 
+def _with_images(pages: DataFrame) -> DataFrame:
+    """Every page with two images per link at its end, one on its own host, one on another."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a[^>]*? href="(/[^"/][^"]*)"'), 1)
+    tags = F.transform(hrefs, lambda h: F.concat(
+        F.lit('<img alt="" src="'), h, F.lit(f'"><IMG src="//{CDN_HOST}'), h, F.lit('"/>')))
+    return pages.withColumn("html", F.concat("html", F.array_join(tags, "")))
+
+
 @register("extract_images", SQL_IMG + """
-select page_id, pos, href, scheme || '://' || netloc || href as url from i where href <> ''""")
+select page_id, pos, href, url from i""")
 def q_extract_images(spark, sf_dir):
     """Every image of every page, whatever its domain."""
-    return X.extract_images(read_pages(spark, sf_dir)).select("page_id", "pos", "href", "url")
+    return X.extract_images(_with_images(read_pages(spark, sf_dir))).select("page_id", "pos", "href", "url")
 
 
 @register("image_routing", SQL_IMG + """
-select page_id, pos, scheme || '://' || netloc || href as url,
-       case when contains(scheme || '://' || netloc || href, netloc)
-             and not (""" + " or ".join(f"contains(scheme || '://' || netloc || href, '{x}')" for x in EXCLUDED) + """)
+select page_id, pos, url,
+       case when contains(url, netloc) and not (""" + " or ".join(f"contains(url, '{x}')" for x in EXCLUDED) + """)
             then 'queue' else 'image' end as route
-from i where href <> ''""")
+from i""")
 def q_image_routing(spark, sf_dir):
     """Images inside the crawl domain and not excluded join the queue; the rest are fetched as images."""
-    imgs = X.extract_images(read_pages(spark, sf_dir))
+    imgs = X.extract_images(_with_images(read_pages(spark, sf_dir)))
     return X.image_routing(imgs, U.url_netloc(F.col("page_url")), EXCLUDED).select("page_id", "pos", "url", "route")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitegraph.plans import fixtures as FX
-from sitegraph.plans.mirror_job import run_mirror
+from sitegraph.plans.mirror_job import assign_pages, run_mirror
 from sitegraph.session import checkpoint_dir
 
 
@@ -36,3 +36,42 @@ def test_run_mirror_then_gate_and_force(spark):
     # ... unless forced
     s3 = {r.crawl_id: r for r in run_mirror(spark, captured, roots, out, connections=5, force=True).collect()}
     assert {k: (r.visited, r.completed) for k, r in s3.items()} == {k: (r.visited, r.completed) for k, r in s1.items()}
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "url string, html string, content_type string, body binary")
+
+
+def test_mirror_rewrites_fetches_images_and_saves_only_what_was_pending(spark):
+    root = "https://ex.com/"
+    html = ('<a href="/a">a</a><a href="/gone?x=1">g</a><img src="https://cdn.org/i.png"><img src="https://cdn.org/no.png">'
+            '<link href="/s.css"><img src="/own.png">')
+    first = [(root, html, "text/html; charset=utf-8", None), ("https://ex.com/a", '<a href="/">up</a>', "text/html", None),
+             ("https://ex.com/s.css", "a{}<a href='/not-a-link'>", "text/css", None),
+             ("https://ex.com/own.png", None, "image/png", b"\x89own"), ("https://cdn.org/i.png", None, "image/png", b"\x89cdn"),
+             ("https://other.org/", '<a href="/z">z</a>', "text/html", None)]
+    out = f"{checkpoint_dir(spark)}/mirror-job-{uuid.uuid4().hex[:8]}"
+    s1 = run_mirror(spark, _pages(spark, first), [root], out).first()
+    files = {r.url: r for r in spark.read.parquet(f"{out}/mirror/v=1").collect()}
+    assert set(files) == {root, "https://ex.com/a", "https://ex.com/s.css", "https://ex.com/own.png", "https://cdn.org/i.png"}
+    saved = files[root]
+    assert saved.path == "ex.com/index.html" and '<a href="a.html">' in saved.content
+    assert '<img src="../cdn.org/i.png">' in saved.content and '<img src="https://cdn.org/no.png">' in saved.content
+    assert files["https://ex.com/s.css"].mode == "text" or files["https://ex.com/s.css"].kind == "text/html"
+    own = files["https://ex.com/own.png"]
+    assert own.mode == "binary" and bytes(own.body) == b"\x89own" and own.content is None
+    assert s1.failed >= 1 and s1.complete
+    # the missing page is captured now; a forced run saves it and what it leads to, nothing else
+    more = [*first, ("https://ex.com/gone?x=1", '<a href="/new">n</a>', "text/html", None),
+            ("https://ex.com/new", "new", "text/html", None)]
+    run_mirror(spark, _pages(spark, more), [root], out, force=True)
+    second = {r.url for r in spark.read.parquet(f"{out}/mirror/v=2").select("url").collect()}
+    assert second == {"https://ex.com/gone?x=1", "https://ex.com/new"}
+
+
+def test_pages_are_assigned_without_a_join(spark):
+    pages = _pages(spark, [("https://ex.com/a", "x", None, None), ("https://b.org/", "y", None, None)])
+    got = assign_pages(pages, ["https://ex.com/", "https://b.org/", "https://ex.com/a"])
+    assert sorted(r.url for r in got.collect()) == ["https://b.org/", "https://ex.com/a", "https://ex.com/a"]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert assign_pages(pages, []).count() == 0
