@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sitegraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -25,7 +26,9 @@ def test_entry_runs(spark):
 
 
 def test_every_survey_key_registered():
-    assert sorted(entry.queries()) == sorted(SURVEY_KEYS)
+    assert sorted(catalog.QUERIES) == sorted([*SURVEY_KEYS, "mirror_site"])
+    assert set(catalog.QUERIES) <= set(entry.queries())  # the rest are those of the llm subpackage, if present
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
