@@ -117,3 +117,24 @@ def test_single_graph_without_crawl_key(spark):
     tree = {r.url: (r.depth, r.parent) for r in G.discovery_tree(
         spark, e, spark.createDataFrame([("a",)], "start string"), by=()).collect()}
     assert tree == {"a": (0, None), "b": (1, "a"), "c": (2, "b"), "d": (3, "c")}
+
+
+def test_has_path_of_a_node_without_links(spark):
+    edges = spark.createDataFrame([("c", "a", "b")], "crawl_id string, src string, dst string")
+    asked = spark.createDataFrame([("c", "z", "z"), ("c", "a", "z"), ("c", "a", "b"), ("c", "b", "b")],
+                                  "crawl_id string, start string, end string")
+    nodes = spark.createDataFrame([("c", "z")], "crawl_id string, url string")
+    def found(**kw):
+        return {(r.start, r.end): r.reachable for r in G.has_path(spark, edges, asked, **kw).collect()}
+    assert found(nodes=nodes) == {("z", "z"): True, ("a", "z"): False, ("a", "b"): True, ("b", "b"): True}
+    assert found()[("z", "z")] is False
+
+
+def test_has_path_over_many_levels_stops_and_agrees(spark):
+    chain = [("c", f"n{i:02}", f"n{i + 1:02}") for i in range(14)] + [("c", "n14", "n03")]
+    edges = spark.createDataFrame(chain, "crawl_id string, src string, dst string")
+    asked = spark.createDataFrame([("c", "n00", "n02"), ("c", "n00", "n14"), ("c", "n05", "n03"), ("c", "n05", "n01"),
+                                   ("c", "n14", "n14")], "crawl_id string, start string, end string")
+    got = {(r.start, r.end): r.reachable for r in G.has_path(spark, edges, asked).collect()}
+    assert got == {("n00", "n02"): True, ("n00", "n14"): True, ("n05", "n03"): True, ("n05", "n01"): False,
+                   ("n14", "n14"): True}

@@ -89,3 +89,22 @@ def test_links_that_a_lenient_parser_finds(spark):
     df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(shapes)], "k int, html string")
     got = {r.k: [x["value"] for x in r.v] for r in df.select("k", H.link_structs(F.col("html")).alias("v")).collect()}
     assert got == {k: want for k, (_, want) in enumerate(shapes)}
+
+
+def test_character_references_match_the_standard_library(spark):
+    import html
+
+    from sitegraph.functions import html as H
+
+    values = ["a&b", "&#038;x", "&#38;", "&eacute;&#233;", "&amp;lt;", "&nope;", "&", "&&amp;", "&#x1F600;", "&#0;", "&#xD800;",
+              "&#99999999999;", "&#150;", "/a?x=1&y=2", "&#65b", "&NotEqualTilde;", "", "&lt;&gt;&quot;"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(H.decode_entities(F.col("v"))).collect()] == [html.unescape(v) for v in values]
+
+
+def test_unclosed_comment_hides_later_links(spark):
+    from sitegraph.operators import links as X
+
+    page = spark.createDataFrame([(1, "http://ex.com/", '<a href="/a">a</a><!-- <a href="/b">b</a>')],
+                                 "page_id long, url string, html string")
+    assert [r.href for r in X.raw_links(page).collect()] == ["/a"]
