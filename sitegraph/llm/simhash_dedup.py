@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import only, stored, text_of
@@ -19,6 +19,7 @@ from sitegraph.operators.graph import checkpoint_counted
 
 SLICE = 1024  # members of a bucket that are compared with one another in one go
 HASHES = 1 << 16  # shingle hashes unpacked to bits at a time
+SALTS = 64  # keys over which the rows of one group are spread
 
 
 def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -112,6 +113,29 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     return alone.unionByName(across).mapInArrow(_stars(radius), "a long, b long").distinct()
 
 
+def _salt(col: str) -> Column:
+    return F.pmod(F.xxhash64(col, F.lit("salt")), F.lit(SALTS))
+
+
+def with_least(rows: DataFrame, by: str, value: str, name: str, salt: str) -> DataFrame:
+    """``rows`` with the least ``value`` of their ``by`` as ``name``; no task gets a whole large group.
+
+    Each group is spread by ``salt`` over ``SALTS`` keys; only the least value of
+    every such key meets its group's others.
+    """
+    spread = rows.withColumn("_salt", _salt(salt))
+    least = spread.groupBy(by, "_salt").agg(F.min(value).alias("_least"))
+    least = least.select(by, "_salt", F.min("_least").over(Window.partitionBy(by)).alias(name))
+    return spread.join(least, [by, "_salt"]).drop("_salt")
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows`` joined with the one row that ``classes`` has for their ``key``, a frequent key spread by ``salt``."""
+    spread = rows.withColumn("_salt", _salt(salt))
+    keys = spread.select(key, "_salt").distinct().join(classes, key)
+    return spread.join(keys, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(fp, root)`` for every end of an edge: all connected ones share a root (large-star, small-star rounds).
 
@@ -123,10 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
     cur, n = checkpoint_counted(both)
     while n:
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = with_least(sym, "u", "v", "m", "v").where("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        joined = with_least(large, "u", "v", "m", "v")
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         nxt, n_next = checkpoint_counted(small)
@@ -156,12 +179,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius, blocks))
     named = nodes.join(roots, "fp")
-    best = named.groupBy("root").agg(F.min("least").alias("best"))
-    moved = named.join(best, "root").select("fp", F.col("best"), F.lit(True).alias("linked"))
-    # stored first: two plain shuffles meet in the last join, and Spark can split a fingerprint of very many copies
+    moved = with_least(named, "root", "least", "best", "fp").select("fp", "best", F.lit(True).alias("linked"))
     classes = stored(nodes.join(moved, "fp", "left").select(
         "fp", F.when(F.col("linked"), F.col("best")).otherwise(F.col("least")).alias("component_id")), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return spread_join(marked, classes, "fp", "doc_id").select(
+        "doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

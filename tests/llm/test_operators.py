@@ -286,6 +286,23 @@ def test_links_of_chains_and_a_bucket_of_many_slices(spark, monkeypatch):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_hubs_and_chains(spark):
+    hub = [(0, k) for k in range(1, 400)] + [(-5, k) for k in range(300, 320)]  # a least and a middle hub, joined
+    high = [(10_000, k) for k in range(5_000, 5_300)]  # the hub is the greatest
+    chain = [(k, k + 1) for k in range(20_000, 20_040)]
+    edges = spark.createDataFrame(hub + high + chain + [(7, 7)], "a long, b long")
+    got = {r.fp: r.root for r in simhash_dedup.components(edges).collect()}
+    want = {k: -5 for k in [-5, *range(400)]} | {k: 5_000 for k in [10_000, *range(5_000, 5_300)]}
+    assert got == want | {k: 20_000 for k in range(20_000, 20_041)}
+
+
+def test_spread_join_of_a_frequent_key(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, None), (2, None)], "k long, i long")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, name string")
+    got = collections.Counter((r.k, r.i, r.name) for r in simhash_dedup.spread_join(rows, names, "k", "i").collect())
+    assert got == collections.Counter([(1, i, "a") for i in range(500)] + [(2, None, "b")] * 2)
+
+
 def test_pieces_encode_as_the_library():
     p = tokens.pieces(tokens.default_tokenizer())
     extra = ["Σίσυφος ΟΔΟΣ", "ﬁx İstanbul", "a b c\x1cd", "it's I'LL 'sup", "x<|startoftext|>y", "ÀÉ'd, q!!'s", "́a ¼ ²"]
