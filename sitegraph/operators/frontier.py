@@ -94,8 +94,8 @@ def fetch_outcome(log: DataFrame, url: str = "url", by: Sequence[str] = ()) -> D
     last attempt); a timeout or payload error sleeps likewise except after the
     last attempt; any other status or error fails at once; five attempts at most.
     Each URL has at most ``MAX_ATTEMPTS`` rows, so its group is bounded.
-    A log that ends without a terminal attempt counts as failed at the last
-    allowed attempt (the streaming form waits for more attempts instead).
+    A log that ends before the last allowed attempt without a terminal one is
+    ``pending`` (the streaming form emits nothing for it yet).
     Output: by..., url, outcome, attempts, backoff_s, content_type (of the final attempt);
     ``by`` (e.g. ``["crawl_id"]``) keeps the logs of many crawls apart.
     """
@@ -107,8 +107,8 @@ def fetch_outcome(log: DataFrame, url: str = "url", by: Sequence[str] = ()) -> D
     rows = tries.select(*keys, F.struct("n", F.col("t.cls").alias("cls"), F.col("t.ct").alias("ct")).alias("a"))
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("a")).alias("tries"))
     stop = F.filter("tries", lambda a: a["cls"].isin("ok", "fail"))
-    term = F.when(F.size(stop) > 0, F.try_element_at(stop, F.lit(1))["n"]).otherwise(F.lit(MAX_ATTEMPTS))
-    outcome = F.when(F.size(stop) > 0, F.try_element_at(stop, F.lit(1))["cls"]).otherwise(F.lit("fail"))
+    term = F.when(F.size(stop) > 0, F.try_element_at(stop, F.lit(1))["n"]).otherwise(F.array_max("tries")["n"])
+    outcome = F.when(F.size(stop) > 0, F.try_element_at(stop, F.lit(1))["cls"])
 
     def delay(a, t):
         sleeps = (a["n"] <= t) & (
@@ -120,7 +120,9 @@ def fetch_outcome(log: DataFrame, url: str = "url", by: Sequence[str] = ()) -> D
     final_ct = F.try_element_at(F.filter("tries", lambda a: a["n"] == F.col("term")), F.lit(1))["ct"]
     return with_term.select(
         *keys,
-        F.when(F.col("outcome_cls") == "ok", F.lit("ok")).otherwise(F.lit("failed")).alias("outcome"),
+        F.when(F.col("outcome_cls") == "ok", F.lit("ok"))
+        .when((F.col("outcome_cls") == "fail") | (F.col("term") == MAX_ATTEMPTS), F.lit("failed"))
+        .otherwise(F.lit("pending")).alias("outcome"),
         F.col("term").cast("bigint").alias("attempts"),
         backoff.cast("bigint").alias("backoff_s"),
         final_ct.alias("content_type"),

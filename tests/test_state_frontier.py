@@ -83,4 +83,4 @@ def test_fetch_outcome_incomplete_log(spark):
     log = spark.createDataFrame([("u", 1, 503, None), ("u", 2, 503, None)],
                                 "url string, attempt int, status int, error string").withColumn("content_type", F.lit("x"))
     r = W.fetch_outcome(log).first()
-    assert (r.outcome, r.attempts, r.backoff_s, r.content_type) == ("failed", 5, 3, None)
+    assert (r.outcome, r.attempts, r.backoff_s, r.content_type) == ("pending", 2, 3, "x")
