@@ -9,6 +9,7 @@ by the narrow X1 stage, so the crawl loop joins small key tables only and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ def replay_fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                excluded: Sequence[str] = (), strict_domain: bool = False) -> DataFrame:
-    """X1 over every captured page with its crawl's domain: ``(crawl_id, src, dst, priority)``.
+    """X1 over every captured page with its crawl's domain: ``(crawl_id, src, dst, priority, rank)``.
+
+    ``priority`` is the target's, ``rank`` the source's.
 
     ``starts`` may carry per-crawl knobs as ``weights`` / ``excluded``
     (``array<string>``) columns; they take the place of the shared lists.
@@ -55,15 +58,17 @@ def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
         out = out.where(~U.is_excluded(F.col("dst"), excluded))
     if "excluded" in knobs:
         out = out.where(~U.is_excluded_by(F.col("dst"), F.col("excluded")))
-    prio = U.url_priority_by(F.col("dst"), F.col("weights")) if "weights" in knobs else U.url_priority(
-        F.col("dst"), weights)
-    return out.select("crawl_id", "src", "dst", prio.cast("int").alias("priority"))
+
+    def prio(url):
+        return (U.url_priority_by(F.col(url), F.col("weights")) if "weights" in knobs else U.url_priority(
+            F.col(url), weights)).cast("int")
+    return out.select("crawl_id", "src", "dst", prio("dst").alias("priority"), prio("src").alias("rank"))
 
 
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                  excluded: Sequence[str] = (), batch_size: int | None = None, strict_domain: bool = False,
                  max_rounds: int | None = None, resume_from: DataFrame | None = None,
-                 content: DataFrame | None = None) -> DataFrame:
+                 content: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
     """Crawl every start URL over the captured pages until the frontier is empty.
 
     ``batch_size=None`` pops whole BFS levels (depth = shortest link distance);
@@ -73,9 +78,11 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     ``parent`` (first discoverer) and ``fetched``.
 
     ``pages`` are parsed for links; ``content(crawl_id, url)`` names everything
-    that can be fetched if that is more (style sheets, images).
+    that can be fetched if that is more (style sheets, images). ``outcomes``
+    (``url, outcome`` and perhaps ``crawl_id``, as ``fetch_outcome`` gives them)
+    names fetches that did not end ``ok``: those URLs count as not captured.
 
-    ``max_rounds`` stops early; ``resume_from`` (the output of a stopped level
+    ``max_rounds`` (level mode only) stops early; ``resume_from`` (the output of a stopped level
     crawl) continues it to the same result an uninterrupted crawl gives, since
     its deepest level holds the URLs not expanded yet.
 
@@ -83,9 +90,14 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     about (pages of the largest crawl) / ``k``, which is the bounded queue's
     behaviour but many jobs for a big site, so level mode is the one for scale.
     """
-    if batch_size is not None and resume_from is not None:
-        raise ValueError("resume_from continues a level crawl; it cannot be combined with batch_size")
+    if batch_size is not None and not (resume_from is None and max_rounds is None):
+        raise ValueError("max_rounds and resume_from stop and continue level crawls; they cannot be combined with batch_size")
     checkpoint_dir(spark)
+    if outcomes is not None:
+        on = [c for c in KEY if c in outcomes.columns]
+        failed = outcomes.where(F.col("outcome") != "ok").select(*on).distinct()
+        pages = pages.join(failed, on, "left_anti")
+        content = None if content is None else content.join(failed, on, "left_anti")
     seeds = starts
     if excluded:
         seeds = seeds.where(~U.is_excluded(F.col("url"), excluded))
@@ -109,37 +121,46 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
             prio = U.url_priority(F.col("url"), weights)
         found = found.withColumn("priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(prio))
     else:
-        found = _best_first(spark, edges, seeds, weights, batch_size, max_rounds)
+        found = _best_first(spark, edges, seeds, batch_size)
     captured = (pages if content is None else content).select(*KEY).distinct().withColumn("fetched", F.lit(True))
     return found.join(captured, KEY, "left").select(
         *KEY, F.col("depth").cast("int").alias("depth"), F.col("priority").cast("int").alias("priority"),
         "parent", F.coalesce(F.col("fetched"), F.lit(False)).alias("fetched"))
 
 
-def _best_first(spark, edges, seeds, weights, k, max_rounds):
-    checkpoint_dir(spark)
+def _best_first(spark, edges, seeds, k, fold_every=4):
+    """Rounds of the best ``k`` open entries per crawl.
+
+    What is found is only appended (``Pieces``); the open entries are rewritten
+    without the popped ones every ``fold_every`` rounds.
+    """
     e = G.materialize(G.partitioned(edges, "crawl_id", "src"), keep_partitioning=True)
-    start, _ = G.checkpoint_counted(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
-                                                 F.lit(None).cast("string").alias("parent")))
-    visited, open_, n_open = start, start, 1
-    rounds = 0
-    while n_open > 0 and (max_rounds is None or rounds < max_rounds):
-        batch, _ = G.checkpoint_counted(W.frontier_batch(open_, k).drop("rank"))
+    visited = G.Pieces(*KEY)
+    fresh = [visited.add(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
+                                      F.lit(None).cast("string").alias("parent")).distinct())]
+    popped = []
+
+    def still_open():
+        rows = reduce(DataFrame.unionByName, fresh)
+        return rows.join(reduce(DataFrame.unionByName, popped), KEY, "left_anti") if popped else rows
+
+    while True:
+        batch, n = G.checkpoint_counted(W.frontier_batch(still_open(), k).drop("rank"))
+        if n == 0:
+            return visited.rows()
         found = (
             batch.select("crawl_id", F.col("url").alias("src"), F.col("depth").alias("pdepth"),
                          F.col("priority").alias("ppri"))
-            .join(e, ["crawl_id", "src"])
+            .join(e.drop("rank"), ["crawl_id", "src"])
             .groupBy("crawl_id", F.col("dst").alias("url"))
             .agg(F.min(F.struct("pdepth", "ppri", "src", "priority")).alias("f"))
             .select("crawl_id", "url", F.col("f.priority").alias("priority"),
                     (F.col("f.pdepth") + 1).alias("depth"), F.col("f.src").alias("parent"))
-            .join(visited.select(*KEY), KEY, "left_anti")
         )
-        found, _ = G.checkpoint_counted(found)
-        visited, _ = G.checkpoint_counted(visited.unionByName(found))
-        open_, n_open = G.checkpoint_counted(open_.join(batch.select(*KEY), KEY, "left_anti").unionByName(found))
-        rounds += 1
-    return visited
+        popped.append(batch.select(*KEY))
+        fresh.append(visited.add(visited.missing(found)))
+        if len(popped) >= fold_every:
+            fresh, popped = [G.materialize(still_open())], []
 
 
 def dead_links(crawl: DataFrame) -> DataFrame:

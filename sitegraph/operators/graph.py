@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sitegraph.functions.urls import url_priority
 from sitegraph.session import checkpoint_dir
 
 
@@ -85,14 +86,46 @@ def _union(parts):
     return out
 
 
+class Pieces:
+    """Append-only table of hash-partitioned checkpoints.
+
+    Pieces that have been merged equally often are merged, so a row is written
+    again about log2(additions) times and the table has about as many pieces.
+    """
+
+    def __init__(self, *keys: str):
+        self.keys, self.pieces = list(keys), []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Append ``rows``; returns their checkpoint."""
+        added = materialize(partitioned(rows, *self.keys), keep_partitioning=True)
+        merges, piece = 0, added
+        while self.pieces and self.pieces[-1][0] == merges:
+            piece, merges = self.pieces.pop()[1].unionByName(piece), merges + 1
+        if merges:
+            piece = materialize(partitioned(piece, *self.keys), keep_partitioning=True)
+        self.pieces.append((merges, piece))
+        return added
+
+    def rows(self) -> DataFrame:
+        return _union([piece for _, piece in self.pieces])
+
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """The ``rows`` whose keys no piece holds; only ``rows`` are shuffled."""
+        for _, piece in self.pieces:
+            rows = rows.join(piece.select(*self.keys), self.keys, "left_anti")
+        return rows
+
+
 def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[str] = ("crawl_id",),
         max_depth: int | None = None, prior: DataFrame | None = None, compact_every: int = 4,
         wanted: DataFrame | None = None) -> DataFrame:
     """Multi-source BFS: every node reached from each source with its shortest depth and a parent.
 
     ``sources(*by, start)`` (a start need not be a node); ``edges(*by, src, dst)``.
-    Output ``(*by, start, url, depth, parent)``; ``parent`` is the smallest
-    URL of the previous level that links to the node (null for the start).
+    Output ``(*by, start, url, depth, parent)``; ``parent`` is the node of the
+    previous level that links to the node and comes first by ``(rank, src)``
+    (null for the start); ``rank``, the source's priority, may be a column of ``edges``.
 
     Each round: level ⋈ edges on ``(*by, src)`` (the edges stay hash-partitioned
     on that key, so only the level is shuffled), ``min(src)`` per reached node
@@ -112,7 +145,8 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
     """
     checkpoint_dir(spark)
     by = list(by)
-    e = materialize(partitioned(edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct(),
+    order = ["rank", "src"] if "rank" in edges.columns else ["src"]
+    e = materialize(partitioned(edges.select(*by, *order, "dst").where(F.col("src") != F.col("dst")).distinct(),
                                 *by, "src"), keep_partitioning=True)
     start = sources.select(*by, "start").distinct().select(
         *by, "start", F.col("start").alias("url"), F.lit(0).alias("depth"),
@@ -134,7 +168,7 @@ def bfs(spark: SparkSession, edges: DataFrame, sources: DataFrame, by: Sequence[
             level.select(*by, "start", F.col("url").alias("src"))
             .join(e, [*by, "src"])
             .groupBy(*by, "start", F.col("dst").alias("url"))
-            .agg(F.min("src").alias("parent"))
+            .agg(F.min(F.struct(*order))["src"].alias("parent"))
         )
         if folded is not None:
             step = step.join(folded.select(*keys), keys, "left_anti")
@@ -196,9 +230,14 @@ def cycle_check(spark: SparkSession, edges: DataFrame, candidates: DataFrame,
     return r.unionByName(loops).select(*by, "src", "dst", F.col("reachable").alias("creates_cycle"))
 
 
-def discovery_tree(spark: SparkSession, edges: DataFrame, starts: DataFrame,
-                   by: Sequence[str] = ("crawl_id",)) -> DataFrame:
-    """G1: one parent per reached URL (a forest): the first discoverer at the previous BFS level."""
+def discovery_tree(spark: SparkSession, edges: DataFrame, starts: DataFrame, by: Sequence[str] = ("crawl_id",),
+                   weights: Sequence[str] | None = None) -> DataFrame:
+    """G1: one parent per reached URL (a forest): its first discoverer by (depth, priority, url).
+
+    Priorities follow ``weights``; without them, a column ``rank`` of ``edges`` (the source's priority) or none.
+    """
+    if weights is not None:
+        edges = edges.withColumn("rank", url_priority(F.col("src"), weights))
     return bfs(spark, edges, starts, by)
 
 

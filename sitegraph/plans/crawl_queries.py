@@ -270,7 +270,7 @@ bfs(crawl_id, url, depth) using key (crawl_id, url) as (
   where e.src <> e.dst and not exists (select 1 from recurring.bfs x where x.crawl_id = e.crawl_id and x.url = e.dst)
   group by e.crawl_id, e.dst),
 tree as (select b.crawl_id, b.url, b.depth,
-           (select min(e.src) from edges e join bfs p on p.crawl_id = e.crawl_id and p.url = e.src and p.depth = b.depth - 1
+           (select arg_min(e.src, ({_prio_sql('e.src')}, e.src)) from edges e join bfs p on p.crawl_id = e.crawl_id and p.url = e.src and p.depth = b.depth - 1
             where e.crawl_id = b.crawl_id and e.dst = b.url and e.src <> e.dst) as parent
          from bfs b)
 """
@@ -321,7 +321,7 @@ def q_discovery_tree(spark, sf_dir):
     """G1: BFS discovery forest from every start: depth and first discoverer."""
     _, site, edges = _site(spark, sf_dir)
     starts = FX.roots(site).select("crawl_id", F.col("url").alias("start"))
-    t = G.discovery_tree(spark, edges.select("crawl_id", "src", "dst"), starts)
+    t = G.discovery_tree(spark, edges.select("crawl_id", "src", "dst"), starts, weights=WEIGHTS)
     return t.select("crawl_id", "url", "depth", "parent")
 
 
@@ -346,9 +346,9 @@ crawl as (select t.crawl_id, t.url, cast(t.depth as integer) as depth,
 """
 
 
-def _replay(spark, sf_dir):
+def _replay(spark, sf_dir, **options):
     pages, site, _ = _site(spark, sf_dir)
-    return C.replay_crawl(spark, FX.site_pages(pages, site), FX.roots(site).select("crawl_id", "url"), WEIGHTS)
+    return C.replay_crawl(spark, FX.site_pages(pages, site), FX.roots(site).select("crawl_id", "url"), WEIGHTS, **options)
 
 
 @register("replay_crawl", F5R + _REPLAY_SQL + "select crawl_id, url, depth, priority, parent, fetched from crawl")
@@ -357,6 +357,12 @@ def q_replay_crawl(spark, sf_dir):
     return _replay(spark, sf_dir)
 
 
+@register("replay_crawl_batch", F5R + _REPLAY_SQL + "select crawl_id, url, priority, fetched from crawl")
+def q_replay_crawl_batch(spark, sf_dir):
+    """G8 best-first: the best BATCH open URLs of every crawl a round; depth and parent depend on the order, the rest not."""
+    return _replay(spark, sf_dir, batch_size=BATCH).select("crawl_id", "url", "priority", "fetched")
+
+
 @register("mirror_site", F5R + _REPLAY_SQL + f""",
 saved as (select c.crawl_id, c.url, p.html from crawl c join site s on s.crawl_id = c.crawl_id and s.url = c.url
           join pages p on p.page_id = s.page_id where c.fetched)

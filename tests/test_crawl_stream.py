@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegraph.operators import crawl as C
@@ -37,6 +38,31 @@ def test_batch_size_does_not_change_the_reached_set(spark):
         assert got == full
 
 
+def test_many_small_rounds_find_the_best_first_order(spark):
+    links = {"/": ["b", "a", "blog1"], "/blog1": ["blog2", "c"], "/a": ["d"], "/b": ["d"], "/c": ["e"], "/e": ["f"], "/f": ["g"]}
+    html = [("c", f"http://h{u}", "".join(f'<a href="/{x}">' for x in to)) for u, to in links.items()]
+    pages = spark.createDataFrame(html, "crawl_id string, url string, html string")
+    starts = spark.createDataFrame([("c", "http://h/")], "crawl_id string, url string")
+    got = C.replay_crawl(spark, pages, starts, weights=["/blog"], batch_size=1).collect()
+    assert {(r.url[8:], r.depth, r.priority, (r.parent or "")[8:]) for r in got} == {
+        ("/", 0, 0, ""), ("/a", 1, 1, "/"), ("/b", 1, 1, "/"), ("/blog1", 1, 0, "/"), ("/blog2", 2, 0, "/blog1"),
+        ("/c", 2, 1, "/blog1"), ("/d", 2, 1, "/a"), ("/e", 3, 1, "/c"), ("/f", 4, 1, "/e"), ("/g", 5, 1, "/f")}
+    assert {r.url[8:] for r in got if r.fetched} == set(links)
+    with pytest.raises(ValueError):
+        C.replay_crawl(spark, pages, starts, batch_size=1, max_rounds=2)
+
+
+def test_failed_fetches_are_not_expanded_and_parents_follow_priority(spark):
+    links = {"/": ["a", "z-blog", "x"], "/a": ["t"], "/z-blog": ["t"], "/x": ["y"]}
+    html = [("c", f"http://h{u}", "".join(f'<a href="/{x}">' for x in to)) for u, to in links.items()]
+    pages = spark.createDataFrame(html, "crawl_id string, url string, html string")
+    starts = spark.createDataFrame([("c", "http://h/")], "crawl_id string, url string")
+    outcomes = spark.createDataFrame([("http://h/x", "failed"), ("http://h/a", "ok")], "url string, outcome string")
+    got = {r.url[8:]: ((r.parent or "")[8:], r.fetched)
+           for r in C.replay_crawl(spark, pages, starts, weights=["blog"], outcomes=outcomes).collect()}
+    assert got == {"/": ("", True), "/a": ("/", True), "/z-blog": ("/", True), "/x": ("/", False), "/t": ("/z-blog", False)}
+
+
 def test_excluded_start_is_not_crawled(spark):
     sp, starts = _inputs(spark)
     one = starts.orderBy("url").limit(1).first().url

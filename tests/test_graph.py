@@ -138,3 +138,13 @@ def test_has_path_over_many_levels_stops_and_agrees(spark):
     got = {(r.start, r.end): r.reachable for r in G.has_path(spark, edges, asked).collect()}
     assert got == {("n00", "n02"): True, ("n00", "n14"): True, ("n05", "n03"): True, ("n05", "n01"): False,
                    ("n14", "n14"): True}
+
+
+def test_pieces_append_and_merge(spark):
+    table = G.Pieces("crawl_id", "url")
+    for n in range(6):
+        table.add(_keys(spark, [f"u{n}"]))
+    assert sorted(r.url for r in table.rows().collect()) == [f"u{n}" for n in range(6)]
+    assert [m for m, _ in table.pieces] == [2, 1]  # of 4 and of 2 additions
+    missing = table.missing(G.partitioned(_keys(spark, ["u3", "new"]), "crawl_id", "url"))
+    assert [r.url for r in missing.collect()] == ["new"]
