@@ -5,6 +5,9 @@ Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,16 @@ COPYRIGHT_LINE = "(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*"
 PUNCTUATION = "[^0-9a-z\\x{80}-\\x{10FFFF}]+"
 # --- end of fixed values ---
 
+# full texts in license_texts/<license>.txt; those without a title of their own get each of these, or none
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+}
+FULL_TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0",
+              "MIT", "MPL-2.0"]
+
 
 def canonical(text: Column) -> Column:
     """Lower case (A-Z), copyright lines dropped, punctuation and blanks as one blank, spellings unified."""
@@ -53,11 +66,37 @@ def known_notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license string, text string")
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of whole licences in the forms they are passed on in.
+
+    With and without title, "All rights reserved." line, clause numbers and
+    (Apache) appendix; wrapped as published, or one line a paragraph.
+    """
+    forms = []
+    for name in FULL_TEXTS:
+        text = resources.files(__package__).joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
+        bodies = [text]
+        if name == "Apache-2.0":
+            end = "END OF TERMS AND CONDITIONS"
+            bodies.append(text[:text.index(end) + len(end)])
+        if name.startswith("BSD"):
+            bodies.append(re.sub(r"(?m)^\d\. ", "* ", text))
+            bodies += ["All rights reserved.\n\n" + b for b in bodies]
+        heads = ["", *(t + "\n\n" for t in TITLES.get(name, []))]
+        for form in (h + b for h in heads for b in bodies):
+            forms += [(name, form), (name, re.sub(r"(?<=\S)[ \t]*\n(?=[ \t]*\S)", " ", form))]
+    return forms
+
+
+def known_licenses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NOTICES + full_texts(), "license string, text string")
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
                  broadcast_rows: int = 100_000) -> DataFrame:
     """Known licences that a whole text, or one of its whole lines, is canonically equal to.
 
-    ``known`` has ``license, text`` (default: common notices); licences that
+    ``known`` has ``license, text`` (default: common notices and full texts); licences that
     share a canonical form are all reported. Returns one row per input row:
     ``doc_id, text_digest, text_license`` (comma-joined, sorted; null if none),
     ``line_licenses`` (likewise over all lines) and ``n_license_lines``.
@@ -68,7 +107,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     at most ``broadcast_rows`` rows; beyond that it is joined by shuffles.
     """
     spark = docs.sparkSession
-    known = known if known is not None else known_notices(spark)
+    known = known if known is not None else known_licenses(spark)
     table = known.select(F.col("license").cast("string").alias("license"), canonical(F.col("text").cast("string")).alias("c")) \
         .where(F.col("c") != "").select("license", F.sha2("c", 256).alias("digest")).distinct()
     small = table.limit(broadcast_rows + 1).count() <= broadcast_rows

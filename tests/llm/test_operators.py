@@ -197,6 +197,31 @@ def test_license_scan(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_knows_whole_licences(spark):
+    """Whole licence files, wrapped or not, with a copyright line between title and text."""
+    mit = """The MIT License (MIT)
+
+Copyright (c) 2015 Some One and the authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+    texts = {name: [] for name in licenses.FULL_TEXTS}
+    for name, text in licenses.full_texts():
+        texts[name].append(text)
+    assert len(texts["GPL-3.0"][0]) > 30_000 and "MERCHANTABILITY" in texts["BSD-2-Clause"][0]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2024, A\nAll rights reserved.\n\n" + texts["BSD-3-Clause"][0]
+    isc = "ISC License\n\nCopyright 2020 B\n\n" + texts["ISC"][0].upper()
+    apache = texts["Apache-2.0"][0]
+    docs = spark.createDataFrame([(1, mit), (2, bsd), (3, isc), (4, apache), (5, mit + "and more"), (6, texts["GPL-3.0"][0])],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in licenses.license_scan(docs).collect()}
+    assert got == {1: "MIT", 2: "BSD-3-Clause", 3: "ISC", 4: "Apache-2.0", 5: None, 6: "GPL-3.0"}
+
+
 def test_targets_and_flow():
     assert mixing.targets([100, 100, 10], [1, 1, 2], 3) == [90.0, 90.0, 30.0]
     assert mixing.targets([0, 5], [1, 1]) == [0.0, 5.0] and mixing.targets([], []) == []
