@@ -22,8 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share; ``n_chars`` follows the text."""
-    kept = line_dedup.line_dedup(docs, min_docs=MIN_DOCS)
+    """Documents without the lines that many different texts share; ``n_chars`` follows the text.
+
+    Copies are left to the next stage: counted here, ten of them would lose every line.
+    """
+    kept = line_dedup.line_dedup(docs, min_docs=MIN_DOCS, copies_count=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -84,7 +84,7 @@ def _without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4,
-               runs: LineRuns | None = None) -> DataFrame:
+               runs: LineRuns | None = None, copies_count: bool = True) -> DataFrame:
     """Drop every line whose key occurs in at least ``min_docs`` documents, in all of them.
 
     Returns the input rows and columns with ``text_col`` replaced by the kept
@@ -96,10 +96,12 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     A null or empty text is one empty line; keys shorter than ``min_chars`` code
     points are never dropped; a document that loses all lines keeps the empty
     text. Every row is a document, repeated rows too; a key counts once a
-    document. An empty table gives an empty result.
+    document. With ``copies_count=False`` rows of equal text count as one
+    document, so copies alone do not empty one another. An empty table gives an
+    empty result.
 
     Equal texts lose the same lines, so line work is done once per distinct
-    text, counted with its number of rows, and only hashes and line numbers are
+    text, counted with its number of rows (or as one), and only hashes and line numbers are
     shuffled before the one join that brings each text its dropped lines.
     """
     spark = docs.sparkSession
@@ -108,7 +110,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     keys = F.transform(F.split(t, "\n"), line_key)
     hashes = F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, line_hash(k)))
     seen = docs.select(tid.alias("tid"), hashes.alias("h"))
-    texts = stored(seen.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h")), "line-texts")
+    n = F.count(F.lit(1)) if copies_count else F.lit(1).cast("long")
+    texts = stored(seen.groupBy("tid").agg(n.alias("n"), F.first("h").alias("h")), "line-texts")
     per_batch = texts.select(F.pmod(F.col("tid.a"), F.lit(batches)).alias("batch"), "n", F.explode(
         F.array_distinct(F.filter("h", lambda x: x.isNotNull()))).alias("x")).groupBy("batch", "x.hi", "x.lo").agg(
         F.sum("n").alias("n_docs"))

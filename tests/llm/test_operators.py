@@ -430,6 +430,16 @@ def test_crf_marginals_and_gradient_match_enumeration():
     assert np.allclose(m.marginals(np.exp(u).tolist()), want)
 
 
+def test_line_stage_leaves_the_text_of_copies(spark):
+    texts = ["only copies\nhave this"] * 12 + [f"text {k}\nin ten texts" for k in range(10)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    want = [t.removesuffix("\nin ten texts") for t in texts]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+    by_rows = line_dedup.line_dedup(docs, min_docs=10).collect()  # op3's rule stays: every row is a document
+    assert {r.text for r in by_rows if r.doc_id < 12} == {""}
+
+
 def test_pipeline_stages(spark, tmp_path):
     train_docs, labels, rows = _labelled(spark, 120)
     docs = train_docs.select("doc_id", F.concat(F.lit("A line that all pages share\n"), "text").alias("text"),
