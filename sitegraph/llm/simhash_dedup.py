@@ -49,15 +49,17 @@ def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                     seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (signed long) of every row."""
+                     seed: int = 42, **carry: Column) -> DataFrame:
+    """``doc_id, fp`` (signed long) of every row, and the long columns ``carry``."""
     def run(batches):
         for b in batches:
             fps = np.array([simhash(t, shingle, seed) for t in b.column("t").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *map(b.column, names)],
+                                             ["doc_id", "fp", *names])
 
-    rows = only(docs, doc_id=F.col(id_col).cast("long"), t=text_of(text_col))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    names = list(carry)
+    rows = only(docs, doc_id=F.col(id_col).cast("long"), t=text_of(text_col), **carry)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
 
 
 def _stars(batches_radius: int):
@@ -186,8 +188,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all columns; rows that repeat an id all stay."""
-    found = simhash_dedup(docs, id_col, text_col, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3,
+             blocks: int = 6, seed: int = 42) -> DataFrame:
+    """Exactly one row of every near-duplicate component, with all columns.
+
+    It is the row of the smallest id, null ids last; of rows that share the id,
+    the one of the smallest text hash; of equal ones any. Rows are told apart by
+    a number stored with them, so a table that was loaded twice leaves no copy.
+    """
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                              F.monotonically_increasing_id().alias("_n")), "simhash-rows")
+    marked = with_fingerprint(rows.select("_n", F.col(f"_doc.`{id_col}`").alias("id"), F.col(f"_doc.`{text_col}`").alias("text")),
+                              "id", "text", shingle, seed, n=F.col("_n"), h=F.xxhash64(text_of()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n")).alias("first")
+    nodes = stored(marked.groupBy("fp").agg(first), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius, blocks))
+    best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(best.select(F.col("first.n").alias("_n")), "_n", "left_semi").select("_doc.*")

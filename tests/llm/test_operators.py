@@ -290,6 +290,19 @@ def test_simhash_dedup(docs, rows, empty):
     assert simhash_dedup.simhash_dedup(empty).count() == 0
 
 
+def test_keep_one_row_of_a_component(spark):
+    long, other, third = (" ".join(f"{w}{k}" for k in range(80)) for w in ("a", "b", "c"))
+    rows = [(1, long), (2, long), (3, other), (3, third), (None, third + "  "), (None, "no id here"), (None, "no id  here"),
+            (5, None), (6, "")]
+    rows += rows  # the table was loaded twice
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _n string").repartition(4)
+    assert docs.count() == 18
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r.doc_id, " ".join((r.text or "").split()), r._n) for r in kept.collect())
+    assert got == {(1, long, "x"): 1, (3, other, "x"): 1, (3, third, "x"): 1, (None, "no id here", "x"): 1, (5, "", "x"): 1}
+
+
 def test_links_of_chains_and_a_bucket_of_many_slices(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "SLICE", 8)
     rnd = random.Random(3)
