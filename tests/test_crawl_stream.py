@@ -78,6 +78,16 @@ def test_stream_discovery_equals_batch_and_survives_restart(spark):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_stream_discovery_streams_pages_of_any_id(spark, tmp_path):
+    from sitegraph.plans.catalog import QUERIES
+
+    ids = [0, 1, 2, 3, -1, -2, -3, -4, None]
+    pages = [(i, f"https://h.org/p{k}", f'<a href="/l{k}">x</a>') for k, i in enumerate(ids)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.url for r in QUERIES["stream_discovery"](spark, str(tmp_path)).collect()}
+    assert got == {f"https://h.org/l{k}" for k in range(len(ids))}
+
+
 def test_stream_retry_equals_batch(spark):
     base = f"{checkpoint_dir(spark)}/t-retry-{uuid.uuid4().hex[:8]}"
     log = FX.fetch_log(spark.read.parquet(f"{SF}/pages.parquet"))
