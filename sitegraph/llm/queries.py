@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, quality, sharding, simhash_dedup
-from sitegraph.llm import token_files
+from sitegraph.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, merkle, mixing, quality, sharding
+from sitegraph.llm import oracles, simhash_dedup, token_files
 from sitegraph.llm.common import LOWER, UPPER, text_of
 from sitegraph.llm.tokens import default_tokenizer
 from sitegraph.sources.tables import read_table
@@ -72,6 +72,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(documents(spark, sf_dir), tampered={"text": F.translate("text", UPPER, LOWER)},
+                           tamper_where=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_exact_dedup, op3_line_dedup, op4_sharding, op5_license_scan, op6_mixing, op7_simhash_dedup,
-    op8_bpe, op9_token_files, op10_quality, pipeline)}
+    op8_bpe, op9_token_files, op10_quality, op11_merkle, pipeline)}
 
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -125,4 +132,5 @@ ORACLES = {
         select w.doc_id, sha256(w.c) as text_digest, text_license, line_licenses,
                coalesce(n_license_lines, 0) as n_license_lines
         from w left join h on w.doc_id = h.doc_id left join g on w.c = g.c""",
+    "op11_merkle": oracles.merkle_sql(),
 }
