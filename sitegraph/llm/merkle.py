@@ -43,8 +43,8 @@ def group_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """``df`` plus ``name``: the sum of ``value`` over the rows of its group before it in ``order``.
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], totals: dict[str, str]) -> DataFrame:
+    """``df`` plus, per entry ``name: column``, the sum of the column over the rows of its group before it in ``order``.
 
     Rows are dealt to key ranges, so a group that holds most rows is spread; the
     ranges are written once and both sums, within and before a range, read them.
@@ -55,10 +55,14 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
         "_range", F.spark_partition_id()), "running-total")
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = local.groupBy(*by, "_range").agg(F.sum(value).alias("_sum")).select(
-        *by, "_range", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"))
-    return local.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*by, "_range"]).withColumn(
-        name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+    def summed(c, w):
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    sums = local.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()]).select(
+        *by, "_range", *[summed(f"_sum_{n}", across).alias(f"_before_{n}") for n in totals])
+    met = local.select("*", *[summed(c, inside).alias(f"_inside_{n}") for n, c in totals.items()]).join(sums, [*by, "_range"])
+    return met.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_inside_{n}")).alias(n) for n in totals])
 
 
 def bitmap(rows: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def coordinates(rows: DataFrame) -> DataFrame:
     if words.where(~alone).isEmpty():
         return out
     counted = found.where(~alone).groupBy("tree", "word", "before", "size", "id", "leaf", "other").agg(F.count(F.lit(1)).alias("m"))
-    placed = running_total(counted, ["tree", "word"], ["id", "leaf"], "m", "earlier")
+    placed = running_total(counted, ["tree", "word"], ["id", "leaf"], {"earlier": "m"})
     runs = placed.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("m") - 1, REPEATS))))
     first = F.shiftleft("r", REPEATS)
     each = runs.withColumn("k", F.explode(F.sequence(first, F.least(F.col("m"), first + (1 << REPEATS)) - 1)))

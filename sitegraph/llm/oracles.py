@@ -45,3 +45,29 @@ q0 as (select rid, 0 as tree, s0.pos, proof, cur from p{levels} p join s0 on p.t
     return "with " + ", ".join(out) + f"""
 select d.doc_id, d.leaf, s0.h as subroot, r.h as root, sha256(q.proof) as proof_sha256, q.cur as folded_root, q.cur = r.h as verified
 from d join q{crown_levels} q on d.rid = q.rid join s0 on d.source is not distinct from s0.source cross join s{crown_levels} r"""
+
+
+def trie_sql(heads: int = 6, every: int = 100) -> str:
+    """Rebuilt conversations as lists of turns, every prefix as text, subtree sums over the prefixes of a node's least member."""
+    return f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                  row_number() over (partition by conv_id order by turn nulls first,
+                    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+           from conversations where conv_id is not null),
+l as (select conv_id, list(sha256(strlen(role) || ':' || role || text) order by place) as turns, list(length(text) order by place) as lens
+      from t group by conv_id),
+c as (select l.conv_id, {crc32_sql('cast(l.conv_id as varchar)')} % {heads} as h, l.turns, l.lens, b.turns as bt, b.lens as bl
+      from l left join l b on b.conv_id = l.conv_id - l.conv_id % {every}),
+r as (select conv_id, list_concat(coalesce(bt, [])[1:h], turns[h + 1:]) as turns, list_concat(coalesce(bl, [])[1:h], lens[h + 1:]) as lens from c),
+m as (select conv_id, len(turns) as n, d, sha256(array_to_string(turns[1:d], ',')) as key, sha256(array_to_string(turns[1:d - 1], ',')) as up,
+             coalesce(lens[d], 0) as len from (select *, unnest(range(len(turns) + 1)) as d from r)),
+u as (select key, d, min(conv_id) as conv_id, any_value(up) as up, any_value(len) as len, count(*) as n_convs,
+             sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = d), '')) as ends
+      from m group by key, d),
+k as (select up as key, d - 1 as d, count(*) as n_children from u where d > 0 group by up, d),
+s as (select m.key, m.d, count(*) filter (where k.n_children is null) as n_leaves, sum((u.n_convs - 1) * u.len) as saved
+      from u left join k on u.key = k.key and u.d = k.d join m on m.conv_id = u.conv_id and m.d <= u.d group by m.key, m.d)
+select u.conv_id, cast(u.d as bigint) as depth, p.conv_id as parent_conv_id, u.n_convs, coalesce(k.n_children, 0) as n_children, s.n_leaves,
+       cast(s.saved as bigint) as saved_tokens, u.ends as ends_sha256
+from u join s on u.key = s.key and u.d = s.d left join k on u.key = k.key and u.d = k.d
+     left join u p on u.d > 0 and p.key = u.up and p.d = u.d - 1"""

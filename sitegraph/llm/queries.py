@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, merkle, mixing, quality, sharding
-from sitegraph.llm import oracles, simhash_dedup, token_files
+from sitegraph.llm import bpe, conversation_trie, exact_dedup, fingerprints, licenses, line_dedup, merkle, mixing
+from sitegraph.llm import oracles, quality, sharding, simhash_dedup, token_files
 from sitegraph.llm.common import LOWER, UPPER, text_of
 from sitegraph.llm.tokens import default_tokenizer
 from sitegraph.sources.tables import read_table
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("folded").alias("folded_root"), "verified")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_exact_dedup, op3_line_dedup, op4_sharding, op5_license_scan, op6_mixing, op7_simhash_dedup,
-    op8_bpe, op9_token_files, op10_quality, op11_merkle, pipeline)}
+    op8_bpe, op9_token_files, op10_quality, op11_merkle, op13_conversation_trie, pipeline)}
 
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -133,4 +137,5 @@ ORACLES = {
                coalesce(n_license_lines, 0) as n_license_lines
         from w left join h on w.doc_id = h.doc_id left join g on w.c = g.c""",
     "op11_merkle": oracles.merkle_sql(),
+    "op13_conversation_trie": oracles.trie_sql(),
 }
