@@ -71,3 +71,19 @@ select u.conv_id, cast(u.d as bigint) as depth, p.conv_id as parent_conv_id, u.n
        cast(s.saved as bigint) as saved_tokens, u.ends as ends_sha256
 from u join s on u.key = s.key and u.d = s.d left join k on u.key = k.key and u.d = k.d
      left join u p on u.d > 0 and p.key = u.up and p.d = u.d - 1"""
+
+
+def substring_sql(length: int = 35) -> str:
+    """Every window as the digest of its words; words that a repeated one covers go."""
+    return f"""
+with w as (select doc_id, row_number() over () as rid,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select rid, ws, unnest(range(1, len(ws) - {length} + 2)) as p from w),
+h as (select rid, p, md5(array_to_string(ws[p:p + {length - 1}], ' ')) as h from s),
+r as (select rid, p from (select *, count(*) over (partition by h) as n from h) where n > 1),
+g as (select distinct rid, p + unnest(range({length})) as p from r),
+k as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+a as (select k.rid, count(*) filter (where g.p is not null) as n_removed, string_agg(word, ' ' order by k.p) filter (where g.p is null) as kept
+      from k left join g on k.rid = g.rid and k.p = g.p group by k.rid)
+select w.doc_id, cast(len(w.ws) as bigint) as n_words, coalesce(a.n_removed, 0) as n_removed, sha256(coalesce(a.kept, '')) as kept_sha256
+from w left join a on w.rid = a.rid"""

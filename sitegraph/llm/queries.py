@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.llm import bpe, conversation_trie, exact_dedup, fingerprints, licenses, line_dedup, merkle, mixing
-from sitegraph.llm import oracles, quality, sharding, simhash_dedup, token_files
+from sitegraph.llm import oracles, quality, sharding, simhash_dedup, substrings, token_files
 from sitegraph.llm.common import LOWER, UPPER, text_of
 from sitegraph.llm.tokens import default_tokenizer
 from sitegraph.sources.tables import read_table
@@ -15,6 +15,7 @@ MIN_DOCS = 10  # documents in which a line is dropped everywhere
 SHARDS = 40
 REPEATS = 3
 SHINGLE, RADIUS = 3, 3
+WINDOW = 35  # words
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("folded").alias("folded_root"), "verified")
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(documents(spark, sf_dir), WINDOW, finish=lambda kept: F.sha2(kept, 256)).select(
+        "doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_exact_dedup, op3_line_dedup, op4_sharding, op5_license_scan, op6_mixing, op7_simhash_dedup,
-    op8_bpe, op9_token_files, op10_quality, op11_merkle, op13_conversation_trie, pipeline)}
+    op8_bpe, op9_token_files, op10_quality, op11_merkle, op12_substrings, op13_conversation_trie, pipeline)}
 
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -137,5 +143,6 @@ ORACLES = {
                coalesce(n_license_lines, 0) as n_license_lines
         from w left join h on w.doc_id = h.doc_id left join g on w.c = g.c""",
     "op11_merkle": oracles.merkle_sql(),
+    "op12_substrings": oracles.substring_sql(WINDOW),
     "op13_conversation_trie": oracles.trie_sql(),
 }
