@@ -55,6 +55,17 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(name: str, of: str | None = None) -> Column:
+    """The column of exactly this name (or field of the struct column ``of``), whatever signs it holds."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def row_struct(df: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of it can clash with those an operator adds."""
+    return F.struct(*[named(c).alias(c) for c in df.columns])
+
+
 def only(df: DataFrame, **cols: Column | str) -> DataFrame:
     """Just the named columns, so that further columns of the input cannot clash."""
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in cols.items()])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegraph.llm.common import WS, ascii_lower, scratch, shuffle_partitions, stored, text_of
+from sitegraph.llm.common import WS, ascii_lower, named, scratch, shuffle_partitions, stored, text_of
 
 LINES = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
                       T.StructField("kept", T.StringType())])
@@ -124,8 +124,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     settled = stored(runs.settled(), "line-settled")
     drops = stored(where.join(settled, HASH).groupBy("tid").agg(F.collect_list("pos").alias("_drops")), "line-drops")
     keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = docs.select(F.struct(*keep).alias("_row") if keep else F.lit(0).alias("_row"), t.alias("_t"), tid.alias("tid"))
+    rows = docs.select(F.struct(*[named(c).alias(c) for c in keep]).alias("_row") if keep else F.lit(0).alias("_row"), t.alias("_t"), tid.alias("tid"))
     done = rows.join(drops, "tid", "left").select("_row", _without("_t", "_drops").alias("_d"))
-    back = [F.col(f"_row.`{c}`") if c in keep else F.col("_d.kept").alias(c)
+    back = [named(c, "_row").alias(c) if c in keep else F.col("_d.kept").alias(c)
             for c in docs.columns if c in keep or c == text_col]
     return done.select(*back, F.col("_d.n_lines").alias("n_lines"), F.col("_d.n_dropped").alias("n_dropped"))

@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegraph.llm.common import only, stored, text_of, words
+from sitegraph.llm.merkle import running_total
 
 BITS = 12  # of the seeded order's hash, for each of the two histograms
 
 
-def targets(sizes: list[int], weights: list[float], repeats: int = 3) -> list[float]:
-    """Share of the total size per source by weight, none above ``repeats`` times its size, the excess reshared."""
-    left, open_, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
+def targets(sizes: list[int], weights: list[float], repeats: int = 3, total: int | None = None) -> list[float]:
+    """Share of the total size per source by weight, none above ``repeats`` times its size, the excess reshared.
+
+    The total is that of the sources unless given (documents of overlapping sources count once).
+    """
+    left, open_, out = float(sum(sizes) if total is None else total), set(range(len(sizes))), [0.0] * len(sizes)
     while open_:
         unit = left / sum(weights[i] for i in open_)
         over = {i for i in open_ if weights[i] * unit > repeats * sizes[i]}
@@ -108,16 +112,21 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
 
     Documents come whole: in the seeded order as many as fit, then the one whose
     size comes nearest to what is still open. A row of size 0 is taken as
-    often as its pattern's rows are taken whole. Equal rows may differ in
-    ``copies`` only at the cut; reruns give equal results. An empty table gives
+    often as its pattern's rows are taken whole. Rows that share a key are
+    ordered by what ``carry`` holds and their size; rows equal in that, too, may
+    differ in ``copies`` only at the cut, so reruns give equal results however
+    the table is dealt. The targets share the documents' total, each counted
+    once however many sources it has. An empty table gives
     an empty result. The driver sees one row per membership pattern; more than
     ``max_patterns`` of them is an error, not a cut.
     """
     spark = docs.sparkSession
     cols = carry or {}
-    h = F.xxhash64(F.lit(seed), key)
+    size = F.coalesce(size, F.lit(0)).cast("long")
+    tie = F.xxhash64(F.lit("tie"), *cols.values(), size)
+    h = F.xxhash64(F.lit(seed), key, tie)  # rows of one key are spread over the order, too
     low = F.lit((1 << BITS) - 1)
-    rows = only(docs, **cols, size=F.coalesce(size, F.lit(0)).cast("long"), _src=F.array_distinct(F.array_sort(sources)), _h=h)
+    rows = only(docs, **cols, size=size, _src=F.array_distinct(F.array_sort(sources)), _h=h, _t=tie)
     rows = stored(rows.select(
         "*", F.monotonically_increasing_id().alias("_uid"), F.call_function("shiftrightunsigned", "_h", F.lit(64 - BITS)).cast("int").alias("_b1"),
         F.call_function("shiftrightunsigned", "_h", F.lit(64 - 2 * BITS)).bitwiseAND(low).cast("int").alias("_b2")), "mix")
@@ -129,7 +138,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
     names = sorted({s for p, _, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
     at = {s: k for k, s in enumerate(names)}
     sizes = [sum(w for p, w, _ in patterns if s in p) for s in names]
-    goal = targets(sizes, weights(names), repeats)
+    goal = targets(sizes, weights(names), repeats, sum(w for p, w, _ in patterns if p))
     flow = min_cost_flow([w for _, w, _ in patterns], [[at[s] for s in p] for p, _, _ in patterns],
                          [round(g) for g in goal], repeats)
     plan = []
@@ -152,15 +161,14 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
     marked = cut(joined, "_b1", "_c1", "_s1")
     at_cut = cut(marked.where(F.col("_b1") == F.col("_c1")).withColumn("_rest", F.col("_rest") - F.col("_s1")),
                  "_b2", "_c2", "_s2")
-    w = Window.partitionBy("_k").orderBy("_h", "_uid").rowsBetween(Window.unboundedPreceding, 0)
-    border = at_cut.where(F.col("_b2") == F.col("_c2")).withColumn(
-        "_extra", (F.col("_s2") + F.sum("size").over(w)) <= F.col("_rest"))
+    border = running_total(at_cut.where(F.col("_b2") == F.col("_c2")), ["_k"], ["_h", "_t", "_uid"], {"_sum": "size"}).withColumn(
+        "_extra", (F.col("_s2") + F.col("_sum") + F.col("size")) <= F.col("_rest"))
     parts = [marked.where(F.col("_c1").isNull() | (F.col("_b1") != F.col("_c1"))).withColumn(
                  "_extra", F.col("_b1") < F.coalesce("_c1", F.lit(1 << BITS))),
              at_cut.where(F.col("_c2").isNull() | (F.col("_b2") != F.col("_c2"))).withColumn(
                  "_extra", F.col("_b2") < F.coalesce("_c2", F.lit(1 << BITS))),
              border]
-    out = [*cols, "size", "source_size", "target", "_k", "_h", "_uid", "_whole", "_extra"]
+    out = [*cols, "size", "source_size", "target", "_k", "_h", "_t", "_uid", "_whole", "_extra"]
     chosen = reduce(DataFrame.unionByName, [p.select(*out) for p in parts])
     # what the whole documents before the cut leave open goes to the one document whose size comes nearest
     taken = chosen.groupBy("_k").agg(F.sum(F.when(F.col("_extra"), F.col("size")).otherwise(0)).alias("t"))
@@ -168,7 +176,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
     gap = F.broadcast(spark.createDataFrame(open_, "_k int, gap long"))
     fits = chosen.where(~F.col("_extra")).join(gap, "_k").where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
     best = [(r._k, r.m["_uid"]) for r in fits.groupBy("_k").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "_h", "_uid")).alias("m")).collect()]
+        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "_h", "_t", "_uid")).alias("m")).collect()]
     pick = F.broadcast(spark.createDataFrame(best, "_k int, _pick long"))
     extra = F.col("_extra") | (F.col("_uid") == F.coalesce("_pick", F.lit(-1)))
     return chosen.join(pick, "_k", "left").select(*cols, "size", "source_size", "target",

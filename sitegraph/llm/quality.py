@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,12 +271,9 @@ def score_documents(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: Crf, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, with all columns."""
-    schema = docs.schema
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all columns; only the text is sent to Python."""
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(text.tolist()))
 
-    def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
-            yield b.filter(pa.array(model.score(texts) >= threshold, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    return docs.where(score(text_of(text_col)) >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import only, text_of
+from sitegraph.llm.common import only, shuffle_partitions, text_of
 from sitegraph.operators.frontier import rank_within
 
 
@@ -29,6 +29,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.transform(F.array(*[F.lit(float(w)) for w in weights]), score))["shard"]
 
 
+def record_key(id_col: str, text_col: str) -> Column:
+    """Stable key of a row: the hash of its id, for a null id of its text."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("text"), text_of(text_col))).otherwise(
+        F.xxhash64(F.col(id_col).cast("string")))
+
+
 def shard(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text",
           new_weight: float = 1.0) -> DataFrame:
     """Shard and slot of every row, and the shard it would have with one shard more (of ``new_weight``).
@@ -41,15 +47,27 @@ def shard(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", tex
     columns are ignored.
     """
     t = text_of(text_col)
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("text"), t)).otherwise(F.xxhash64(F.col(id_col).cast("string")))
-    rows = only(docs, doc_id=id_col, size=(F.octet_length(t) + 16).cast("long"), text_crc32=F.crc32(t), _key=key)
+    rows = only(docs, doc_id=id_col, size=(F.octet_length(t) + 16).cast("long"), text_crc32=F.crc32(t), _key=record_key(id_col, text_col))
     dealt = rows.select("doc_id", "size", "text_crc32", rendezvous(F.col("_key"), list(weights)).alias("shard"),
                         rendezvous(F.col("_key"), [*weights, new_weight]).alias("grown_shard"))
     return rank_within(dealt, ["doc_id", "text_crc32", "size"], "shard").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("rank") - 1).alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id") -> None:
-    """Write the whole rows as Parquet, one folder ``shard=<k>`` each; a shard is spread over several tasks."""
-    out = docs.withColumn("shard", rendezvous(F.xxhash64(F.col(id_col).cast("string")), list(weights)))
-    out.write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write the whole rows as Parquet, one folder a shard, with the shards that ``shard`` gives; returns the folders' name.
+
+    The folders are ``shard=<k>``; where the input has a column of that name,
+    underscores are added. A shard's rows are dealt to as many tasks as there
+    are shuffle partitions for each shard, so a shard has that many files at
+    most and no task holds a whole one. An empty table writes no folder.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    n = shuffle_partitions(docs.sparkSession)
+    tasks = -(-n // len(weights))
+    deal = F.pmod(F.xxhash64(F.lit("task"), id_col, text_of(text_col)), F.lit(tasks))
+    out = docs.withColumn(name, rendezvous(record_key(id_col, text_col), list(weights)))
+    out.repartition(n, name, deal).write.partitionBy(name).parquet(path)
+    return name

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import only, stored, text_of
+from sitegraph.llm.common import named, only, row_struct, stored, text_of
 from sitegraph.llm.simhash import block_keys, block_masks, to_hex
 from sitegraph.operators.graph import checkpoint_counted
 
@@ -196,9 +196,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the one of the smallest text hash; of equal ones any. Rows are told apart by
     a number stored with them, so a table that was loaded twice leaves no copy.
     """
-    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+    rows = stored(docs.select(row_struct(docs).alias("_doc"),
                               F.monotonically_increasing_id().alias("_n")), "simhash-rows")
-    marked = with_fingerprint(rows.select("_n", F.col(f"_doc.`{id_col}`").alias("id"), F.col(f"_doc.`{text_col}`").alias("text")),
+    marked = with_fingerprint(rows.select("_n", named(id_col, "_doc").alias("id"), named(text_col, "_doc").alias("text")),
                               "id", "text", shingle, seed, n=F.col("_n"), h=F.xxhash64(text_of()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n")).alias("first")
     nodes = stored(marked.groupBy("fp").agg(first), "simhash-nodes")

@@ -1,0 +1,160 @@
+"""Mixing and sharding against plain versions; pipeline stages on tables with clashing columns."""
+
+import collections
+import math
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sitegraph.llm import mixing, sharding
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def mixed(df, sources=None, **kw):
+    return mixing.mix(df, F.array("source") if sources is None else sources, mixing.word_count(F.coalesce("text", F.lit(""))), F.col("doc_id"), 3,
+                      carry={"doc_id": F.col("doc_id"), "text": F.col("text"), "source": F.col("source")}, **kw)
+
+
+def null_ids():
+    rnd = random.Random(8)
+    return [(None, "w " * rnd.randint(0, 60), f"s{i % 3}") for i in range(400)]
+
+
+def test_rows_that_share_an_id_mix_alike_however_they_are_dealt(spark):
+    df = spark.createDataFrame(null_ids(), SCHEMA)
+    runs = [sorted(map(tuple, mixed(d).collect()), key=repr) for d in (df.repartition(2), df.repartition(7), df.coalesce(1).sortWithinPartitions("text"))]
+    assert runs[0] == runs[1] == runs[2]
+    assert any(r[-1] > 0 for r in runs[0])
+
+
+def plain_copies(spark, rows, seed=42):
+    """Every row's copies by the rule of the docstring, the seeded order taken from Spark's hash function."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    size = mixing.word_count(F.coalesce("text", F.lit("")))
+    tie = F.xxhash64(F.lit("tie"), "doc_id", "text", "source", size)
+    keyed = [tuple(r) for r in df.select("doc_id", "text", "source", size, F.xxhash64(F.lit(seed), F.col("doc_id"), tie), tie).collect()]
+    by = collections.defaultdict(list)
+    for r in keyed:
+        by[r[2]].append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[3] for r in by[s]) for s in names]
+    goals = mixing.targets(sizes, mixing.in_turn(names))
+    for s, words, goal in zip(names, sizes, goals, strict=True):
+        whole, rest = divmod(min(round(goal), 3 * words), words) if words else (0, 0)
+        order = sorted(by[s], key=lambda r: (r[4] % 2**64, r[5]))
+        sofar, extra = 0, set()
+        for k, r in enumerate(order):
+            sofar += r[3]
+            if sofar > rest:
+                break
+            extra.add(k)
+        gap = rest - sum(order[k][3] for k in extra)
+        near = [(abs(r[3] - gap), r[4], r[5], k) for k, r in enumerate(order) if k not in extra and abs(r[3] - gap) < gap]
+        extra |= {min(near)[3]} if near else set()
+        yield from ((*r[:4], whole + (k in extra)) for k, r in enumerate(order))
+
+
+def test_copies_match_a_plain_version(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([i, i, None, 5]), "w " * rnd.randint(1, 80), rnd.choice(["a", "b", "c", "d", None])) for i in range(700)]
+    got = [(r.doc_id, r.text, r.source, r.size, r.copies) for r in mixed(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()]
+    assert sorted(got, key=repr) == sorted(plain_copies(spark, rows), key=repr)
+
+
+def test_equal_rows_are_spread_and_counted(spark):
+    df = spark.range(0, 30_000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("three short words").alias("text"), F.lit("t").alias("source"))
+    got = {r.source: r for r in mixed(df.unionByName(other)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"),
+                                                                               F.first("target").alias("g"), F.count("*").alias("n")).collect()}
+    assert (got["s"].n, got["t"].n) == (30_000, 2000) and all(abs(r.t - r.g) <= 3 for r in got.values())
+
+
+def test_overlapping_sources_share_the_documents_total(spark):
+    rnd = random.Random(10)
+    rows = [(i, "w " * rnd.randint(1, 60), ",".join(rnd.sample("abc", rnd.randint(1, 3)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixed(df, F.split("source", ",")).collect()
+    total, taken = sum(r.size for r in got), sum(r.size * r.copies for r in got)
+    assert len(got) == 3000 and abs(taken - total) < 200
+    sizes = {s: sum(r.size for r in got if s in r.source) for s in "abc"}
+    goal = dict(zip("abc", mixing.targets([sizes[s] for s in "abc"], [1.0, 2.0, 3.0], 3, total), strict=True))
+    assert all(abs(r.target - sum(goal[s] for s in r.source.split(","))) < 1e-6 for r in got)
+    patterns = collections.Counter()
+    for r in got:
+        patterns[",".join(sorted(r.source.split(",")))] += r.size
+    names = sorted(patterns)
+    flow = mixing.min_cost_flow([patterns[p] for p in names], [["abc".index(s) for s in p.split(",")] for p in names], [round(goal[s]) for s in "abc"])
+    routed = [sum(f[k] for f in flow) for k in range(3)]
+    assert all(abs(a - goal[s]) <= 1 for a, s in zip(routed, "abc", strict=True))
+    for p, f in zip(names, flow, strict=True):
+        assert abs(sum(f) - sum(r.size * r.copies for r in got if sorted(r.source.split(",")) == p.split(","))) <= 60
+
+
+def plain_shard(key, weights):
+    """Least of -ln(u) / weight over the shards, u from the hash of (key, shard)."""
+    def score(k, w):
+        h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42))
+        return -math.log(((h >> 11) + .5) / 2**53) / w, k
+
+    return min(score(k, w) for k, w in enumerate(weights))[1]
+
+
+def test_shards_match_a_plain_score(spark):
+    rows = [(None if i % 9 == 0 else i, f"text {i % 50}", "s") for i in range(500)]
+    weights = [1.0, 2.5, .5, 1.0]
+    for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), weights, new_weight=3.0).collect():
+        if r.doc_id is not None:
+            key = xxhash.xxh64_intdigest(str(r.doc_id).encode(), 42)
+            assert r.shard == plain_shard(key, weights) and r.grown_shard == plain_shard(key, [*weights, 3.0])
+
+
+def test_written_shards_are_those_of_shard(spark, tmp_path):
+    rows = [(None if i < 200 else i % 150, f"text {i}", "s") for i in range(400)] + [(None, None, None), (3, "", "s")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("mine"))
+    name = sharding.write_shards(df, str(tmp_path / "out"), [1.0] * 8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "shard_" and set(back.columns) == {*df.columns, name} and {r.shard for r in back.collect()} == {"mine"}
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    written = sorted(((r.doc_id, r.c, r[name]) for r in back.select("doc_id", crc.alias("c"), name).collect()), key=repr)
+    assert written == sorted(((r.doc_id, r.text_crc32, r.shard) for r in sharding.shard(df, [1.0] * 8).collect()), key=repr)
+    assert len({r[name] for r in back.where("doc_id is null").collect()}) == 8
+    files = [p for p in (tmp_path / "out").rglob("*.parquet")]
+    assert len(files) <= 2 * 8
+    assert sharding.write_shards(df.where("false"), str(tmp_path / "none"), [1.0]) == "shard_"
+
+
+# ------------------------------------------------------------------ pipeline stages
+
+EXTRA = ["size", "target", "copies", "_h", "_t", "_copy", "_row", "a.b", "n_lines", "n_dropped", "back`tick", "fp", "_doc"]
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    vocab = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rnd = random.Random(2)
+    rows = [(i if i % 10 else None, "\n".join(" ".join(rnd.choices(vocab, k=9)) for _ in range(4)), "en", f"s{i % 3}", i * 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in EXTRA])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[1:-1]])
+def test_stage_keeps_columns_of_any_name(spark, wide, name):
+    out = dict(corpus_pipeline.STAGES)[name](spark, wide, "/root/testdata/sf0.001")
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert got
+    for r in got:
+        for c in EXTRA:
+            assert r[wide.columns.index(c)] == f"{c}-{'none' if r.doc_id is None else r.doc_id}"
+
+
+def test_quality_stage_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.select("*", *[F.lit(f"{c}!").alias(c) for c in EXTRA])
+    out = corpus_pipeline.quality_stage(spark, wide, "/root/testdata/sf0.001")
+    assert out.columns == wide.columns and out.count() == corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001").count()
+    assert all(tuple(r)[-len(EXTRA):] == tuple(f"{c}!" for c in EXTRA) for r in out.collect())
