@@ -6,11 +6,11 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegraph.llm import bpe, line_dedup, mixing, quality, simhash_dedup
-from sitegraph.llm.common import stored, text_of
+from sitegraph.llm.common import named, row_struct, stored, text_of
 from sitegraph.llm.queries import MIN_DOCS, RADIUS, REPEATS, SHINGLE, token_digests
 from sitegraph.llm.tokens import default_tokenizer
 from sitegraph.sources.tables import read_table
@@ -21,13 +21,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns a stage reads, and the whole row as the struct ``_row``: no further column can clash."""
+    return docs.select("doc_id", "source", "text", row_struct(docs).alias("_row"))
+
+
+def _unpacked(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` again, those in ``new`` replaced."""
+    return rows.select(*[new.get(c, named(c, "_row")).alias(c) for c in like.columns])
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many different texts share; ``n_chars`` follows the text.
 
     Copies are left to the next stage: counted here, ten of them would lose every line.
     """
-    kept = line_dedup.line_dedup(docs, min_docs=MIN_DOCS, copies_count=False)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = line_dedup.line_dedup(_packed(docs), min_docs=MIN_DOCS, copies_count=False)
+    return _unpacked(kept, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +47,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: left out, once, or repeated rows."""
-    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(text_of()), F.col("doc_id"), REPEATS,
-                       carry={c: F.col(c) for c in docs.columns})
-    taken = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(*docs.columns)
+    rows = _packed(docs)
+    mixed = mixing.mix(rows, F.array("source"), mixing.word_count(text_of()), F.col("doc_id"), REPEATS, carry={"_row": F.col("_row")})
+    return _unpacked(mixed.where(F.col("copies") > 0).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
