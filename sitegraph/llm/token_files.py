@@ -80,6 +80,23 @@ class Dac:
                 break
         return out
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop``, one after the other: the directory is asked once a level, for the run's first id."""
+        out = np.zeros(stop - start, dtype=np.uint32)
+        todo, a, b = slice(None), start, stop
+        for level, (chunk, bitmap, ranks) in enumerate(self.levels):
+            out[todo] |= chunk[a:b].astype(np.uint32) << np.uint32(8 * level)
+            first = a // BLOCK
+            bits = np.unpackbits(bitmap[first:-(-b // BLOCK)].view(np.uint8), bitorder="little")
+            skipped = int(bits[:a - first * BLOCK].sum())
+            on = np.flatnonzero(bits[a - first * BLOCK:b - first * BLOCK])
+            if not len(on):
+                break
+            todo = on if level == 0 else todo[on]
+            a = int(ranks[first]) + skipped
+            b = a + len(on)
+        return out
+
 
 SEGMENTS = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                       ("lengths", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -130,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 def read_tokens(spark: SparkSession, path: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Documents of the files: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids`` (little-endian bytes).
 
-    Each document's ids are fetched by position from its segment. The segments'
+    A segment's ids are read in one run and cut at its documents' ends. The segments'
     offsets are broadcast if there are at most ``broadcast_rows``, else joined.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -138,14 +155,12 @@ def read_tokens(spark: SparkSession, path: str, broadcast_rows: int = 1_000_000)
     def run(batches):
         for b in batches:
             for base, names, lengths, blob in zip(*(b.column(c).to_pylist() for c in ("base", "doc_ids", "lengths", "blob")), strict=True):
-                dac, at = Dac(blob), 0
-                starts, found = [], []
-                for n in lengths:
-                    starts.append(base + at)
-                    found.append(dac.get(np.arange(at, at + n)).astype("<u4").tobytes())
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(
-                    (names, starts, lengths, found), schema, strict=True)], schema=schema)
+                dac, ends = Dac(blob), np.cumsum(lengths, dtype=np.int64)
+                ids = pa.py_buffer(dac.run(0, len(dac)).astype("<u4"))
+                offsets = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64))
+                found = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, offsets, ids]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(base + ends - lengths), pa.array(lengths, pa.int64()), found],
+                                                 schema=schema)
 
     files = spark.read.schema(SEGMENTS_DDL).parquet(path)
     sizes = files.select("part", "seg", "n_ids")

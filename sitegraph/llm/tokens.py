@@ -52,13 +52,15 @@ class Pieces(dict):
         #: the word route holds for files that lower the case, cut letters from signs and drop white space
         self.by_piece = norm == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
         self.table = _byte_table()
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
         self.words: dict[str, bytes] = {}
 
     def _word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            tokens = self.tok.model.tokenize(w.encode().decode("latin1").translate(self.table))
-            got = self.words[w] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            plain = w if w.isascii() else w.encode().decode("latin1").translate(self.table)  # printable ASCII stands for itself
+            of = self.bytes_of
+            got = self.words[w] = b"".join([of[t.id] for t in self.tok.model.tokenize(plain)])
         return got
 
     def _library(self, text: str) -> bytes:
