@@ -197,22 +197,17 @@ def has_path(spark: SparkSession, edges: DataFrame, queries: DataFrame, by: Sequ
 
     ``start == end`` is true iff the node exists; an unknown node gives false.
     ``nodes(*by, url)`` names nodes beside the edges' ends (those without links).
-
-    Only open questions are searched: an end that no edge enters needs no
-    search, and a start whose ends are all found is expanded no further.
+    Starts may be as many as nodes: see ``reach.reach_pairs``.
     """
+    from sitegraph.operators.reach import reach_pairs
+
     by = list(by)
     known = graph_nodes(edges, by)
     if nodes is not None:
         known = known.unionByName(nodes.select(*by, "url")).distinct()
-    asked = queries.select(*by, "start", "end").distinct().join(
+    itself = queries.select(*by, "start", "end").where(F.col("start") == F.col("end")).distinct().join(
         known.withColumnRenamed("url", "start"), [*by, "start"], "left_semi")
-    itself = asked.where(F.col("start") == F.col("end"))
-    entered = edges.where(F.col("src") != F.col("dst")).select(*by, F.col("dst").alias("end")).distinct()
-    wanted, _ = checkpoint_counted(asked.where(F.col("start") != F.col("end")).join(entered, [*by, "end"], "left_semi"))
-    reach = bfs(spark, edges, wanted.select(*by, "start"), by, wanted=wanted).select(
-        *by, "start", F.col("url").alias("end")).join(wanted, [*by, "start", "end"], "left_semi")
-    hits = reach.unionByName(itself.select(*by, "start", "end")).withColumn("hit", F.lit(True))
+    hits = reach_pairs(spark, edges, queries, by).unionByName(itself.select(*by, "start", "end")).withColumn("hit", F.lit(True))
     return queries.join(hits, [*by, "start", "end"], "left").select(
         *queries.columns, F.coalesce(F.col("hit"), F.lit(False)).alias("reachable"))
 
@@ -221,7 +216,8 @@ def cycle_check(spark: SparkSession, edges: DataFrame, candidates: DataFrame,
                 by: Sequence[str] = ("crawl_id",)) -> DataFrame:
     """Would adding ``src -> dst`` close a cycle, i.e. does ``dst`` already reach ``src``?
 
-    A self-loop always does; candidates are checked as one batch against the fixed graph.
+    A self-loop always does; candidates are checked as one batch against the
+    fixed graph and may be as many as its edges.
     """
     by = list(by)
     q = candidates.select(*by, "src", "dst", F.col("dst").alias("start"), F.col("src").alias("end"))

@@ -222,7 +222,7 @@ def q_resume_frontier(spark, sf_dir):
 @register("relative_path_state", F5 + """
 select e.crawl_id, e.src, e.dst, a.path as src_path, b.path as dst_path,
        case when a.path is not null and a.path <> '' and b.path is not null and b.path <> ''
-            then regexp_extract(b.path, '[^/]*$') end as rel_path
+            then """ + FX.sql_relpath("b.path", FX.sql_dirname("a.path")) + """ end as rel_path
 from edges e
 left join url_state a on a.crawl_id = e.crawl_id and a.url = e.src and a.path is not null and a.path <> ''
 left join url_state b on b.crawl_id = e.crawl_id and b.url = e.dst and b.path is not null and b.path <> ''""")
@@ -237,8 +237,7 @@ def q_relative_path_state(spark, sf_dir):
 @register("replay_fetch", F5 + SQL_FRONTIER + f""",
 batch as (select * from (select crawl_id, url, priority, depth,
           row_number() over (partition by crawl_id order by priority, depth, url) as rank from frontier) x
-          where rank <= {BATCH}),
-content as (select s.crawl_id, s.url, p.html from site s join pages p on p.page_id = s.page_id)
+          where rank <= {BATCH})
 select b.crawl_id, b.url, c.html is not null as fetched, cast(length(c.html) as bigint) as n_chars
 from batch b left join content c on c.crawl_id = b.crawl_id and c.url = b.url""")
 def q_replay_fetch(spark, sf_dir):
@@ -276,33 +275,43 @@ tree as (select b.crawl_id, b.url, b.depth,
 """
 
 
-_NODE_FILTER = ("where exists (select 1 from edges e where e.crawl_id = r.crawl_id "
-                "and (e.src = r.url or e.dst = r.url))")
+_REACH_SQL = """,
+links as (select distinct crawl_id, src, dst from edges where src <> dst),
+reach(crawl_id, start, url) as (
+  select crawl_id, src, dst from links
+  union select r.crawl_id, r.start, l.dst from reach r join links l on l.crawl_id = r.crawl_id and l.src = r.url)
+"""
 
 
-@register("has_path", F5R + _bfs_sql(_NODE_FILTER) + """
-select s.crawl_id, r.url as start, s.url as "end", b.url is not null as reachable
-from url_state s join roots r on r.crawl_id = s.crawl_id
-left join bfs b on b.crawl_id = s.crawl_id and b.url = s.url""")
+@register("has_path", F5R + _REACH_SQL + """,
+asked as (select s.crawl_id, r.url as start, s.url as "end" from url_state s join roots r on r.crawl_id = s.crawl_id
+          union select crawl_id, dst, src from edges)
+select a.crawl_id, a.start, a."end", a.start = a."end" or r.url is not null as reachable
+from asked a left join reach r on r.crawl_id = a.crawl_id and r.start = a.start and r.url = a."end" """)
 def q_has_path(spark, sf_dir):
-    """Is each known URL reachable from its crawl's start?"""
+    """From its crawl's start to each known URL, and from each link's target back to its page."""
     _, site, edges = _site(spark, sf_dir)
     url_state, _, _ = _state(spark, sf_dir)
     q = url_state.select("crawl_id", F.col("url").alias("end")).join(
-        FX.roots(site).select("crawl_id", F.col("url").alias("start")), "crawl_id")
-    return G.has_path(spark, edges.select("crawl_id", "src", "dst"), q).select("crawl_id", "start", "end", "reachable")
+        FX.roots(site).select("crawl_id", F.col("url").alias("start")), "crawl_id").select("crawl_id", "start", "end")
+    q = q.unionByName(edges.select("crawl_id", F.col("dst").alias("start"), F.col("src").alias("end"))).distinct()
+    return G.has_path(spark, edges.select("crawl_id", "src", "dst"), q, nodes=site.select("crawl_id", "url"))
 
 
-@register("cycle_check", F5R + _bfs_sql(_NODE_FILTER) + """
-select distinct e.crawl_id, e.dst as src, r.url as dst,
-       (e.dst = r.url) or exists (select 1 from bfs b where b.crawl_id = e.crawl_id and b.url = e.dst) as creates_cycle
-from edges e join roots r on r.crawl_id = e.crawl_id""")
+@register("cycle_check", F5R + _REACH_SQL + """,
+asked as (select crawl_id, src, dst from edges union select crawl_id, dst, src from edges
+          union select s.crawl_id, s.url, r.url from url_state s join roots r on r.crawl_id = s.crawl_id)
+select a.crawl_id, a.src, a.dst, a.src = a.dst or r.url is not null as creates_cycle
+from asked a left join reach r on r.crawl_id = a.crawl_id and r.start = a.dst and r.url = a.src""")
 def q_cycle_check(spark, sf_dir):
-    """Would a link from each discovered URL back to its start close a cycle?"""
+    """Would a link close a cycle, asked for every link, for every link reversed, and for a link from every URL to its start?"""
     _, site, edges = _site(spark, sf_dir)
-    cand = edges.select("crawl_id", F.col("dst").alias("src")).distinct().join(
-        FX.roots(site).select("crawl_id", F.col("url").alias("dst")), "crawl_id")
-    return G.cycle_check(spark, edges.select("crawl_id", "src", "dst"), cand)
+    url_state, _, _ = _state(spark, sf_dir)
+    links = edges.select("crawl_id", "src", "dst")
+    home = url_state.select("crawl_id", F.col("url").alias("src")).join(
+        FX.roots(site).select("crawl_id", F.col("url").alias("dst")), "crawl_id").select("crawl_id", "src", "dst")
+    asked = links.unionByName(edges.select("crawl_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(home).distinct()
+    return G.cycle_check(spark, links, asked)
 
 
 @register("graph_remove", F5 + """
@@ -364,12 +373,12 @@ def q_replay_crawl_batch(spark, sf_dir):
 
 
 @register("mirror_site", F5R + _REPLAY_SQL + f""",
-saved as (select c.crawl_id, c.url, p.html from crawl c join site s on s.crawl_id = c.crawl_id and s.url = c.url
-          join pages p on p.page_id = s.page_id where c.fetched)
+saved as (select c.crawl_id, c.url, p.html from crawl c join content p on p.crawl_id = c.crawl_id and p.url = c.url where c.fetched)
 select crawl_id, url, {FX.sql_local_path('url')} as path,
-       regexp_replace(regexp_replace(html, '<a href="/([^"./]*)"', '<a href="\\1.html"', 'g'),
-                      '<a href="/([^"/]*)"', '<a href="\\1"', 'g') as html
-from saved""")
+       regexp_replace(regexp_replace(regexp_replace(html, '<a href="/p/([0-9]+)"', '<a href="' || case when up = '' then 'p/' else '' end || '\\1.html"', 'g'),
+                                     '<a href="/([^"./]*)"', '<a href="' || up || '\\1.html"', 'g'),
+                      '<a href="/([^"/]*)"', '<a href="' || up || '\\1"', 'g') as html
+from (select *, case when regexp_matches(url, '/p/[0-9]+$') then '../' else '' end as up from saved)""")
 def q_mirror_site(spark, sf_dir):
     """G8 + X4 + U3: every page that the crawls reach, with its file and its links pointing at the local copies."""
     pages, site, _ = _site(spark, sf_dir)

@@ -17,6 +17,7 @@ from sitegraph.operators.frontier import rank_within
 # --- fixed values of the fixtures (FIXTURES.md) ---
 FIXTURE_HREF_RE = r'<a[^>]*? href="([^"]*)"'
 RFC3986_RE = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+SURPLUS_LINKS = 8
 CONTENT_TYPES = ["text/html; charset=utf-8", "text/css", "application/javascript", "image/png", ""]
 # --- end of fixed values ---
 
@@ -37,34 +38,42 @@ def fixture_links(pages: DataFrame) -> DataFrame:
 
 
 def closed_site(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``site(crawl_id, netloc, page_id, url)`` and ``edges(crawl_id, netloc, src, dst)``."""
+    """``site(crawl_id, netloc, page_id, url, k, surplus)`` and ``edges(crawl_id, netloc, src, dst)``.
+
+    ``k`` numbers a host's pages from 0, the root. A host has more pages than
+    distinct links at times: such a surplus page gets the URL ``/p/<page_id>``
+    and a link from the page numbered ``k / 8``.
+    """
     p = pages.select("page_id", F.regexp_extract("url", RFC3986_RE, 4).alias("netloc"))
     links = fixture_links(pages)
     # numbering within a host with the skew-safe rank (a host may hold a third of all pages)
     t = rank_within(links.select("netloc", "href").distinct(), ["href"], "netloc").withColumnRenamed("rank", "k")
     r = rank_within(p, ["page_id"], "netloc").select("page_id", "netloc", (F.col("rank") - 1).alias("k"))
-    site = (
-        r.join(t, ["netloc", "k"], "left")
-        .where((F.col("k") == 0) | F.col("href").isNotNull())
-        .select(
-            "netloc", "page_id",
-            F.when(F.col("k") == 0, F.concat(F.lit("https://"), "netloc", F.lit("/")))
-            .otherwise(F.concat(F.lit("https://"), "netloc", "href")).alias("url"),
-        )
-        .withColumn("crawl_id", U.crawl_key(F.concat(F.lit("https://"), "netloc", F.lit("/"))))
-    )
-    edges = (
-        site.join(links.select("page_id", "href"), "page_id")
-        .select("crawl_id", "netloc", F.col("url").alias("src"),
-                F.concat(F.lit("https://"), "netloc", "href").alias("dst"))
-        .distinct()
-    )
-    return site, edges
+    home = F.concat(F.lit("https://"), "netloc", F.lit("/"))
+    site = r.join(t, ["netloc", "k"], "left").select(
+        "netloc", "page_id", "k", ((F.col("k") > 0) & F.col("href").isNull()).alias("surplus"),
+        F.when(F.col("k") == 0, home).when(F.col("href").isNotNull(), F.concat(F.lit("https://"), "netloc", "href"))
+        .otherwise(F.concat(home, F.lit("p/"), F.col("page_id").cast("string"))).alias("url"),
+    ).withColumn("crawl_id", U.crawl_key(home))
+    found = site.join(links.select("page_id", "href"), "page_id").select(
+        "crawl_id", "netloc", F.col("url").alias("src"), F.concat(F.lit("https://"), "netloc", "href").alias("dst"))
+    added = _surplus_links(site).select("crawl_id", "netloc", "src", "dst")
+    return site, found.unionByName(added).distinct()
+
+
+def _surplus_links(site: DataFrame) -> DataFrame:
+    """``crawl_id, netloc, src, src_id, dst, dst_id`` of the links to surplus pages: at most eight from a page."""
+    below = site.where("surplus").select("netloc", F.expr(f"k div {SURPLUS_LINKS}").alias("k"), F.col("url").alias("dst"), F.col("page_id").alias("dst_id"))
+    return site.select("crawl_id", "netloc", "k", F.col("url").alias("src"), F.col("page_id").alias("src_id")).join(below, ["netloc", "k"])
 
 
 def site_pages(pages: DataFrame, site: DataFrame) -> DataFrame:
-    """Captured content of the closed site: (crawl_id, url, html)."""
-    return site.join(pages.select("page_id", "html"), "page_id").select("crawl_id", "url", "html")
+    """Captured content of the closed site, links to surplus pages at its end: (crawl_id, url, html)."""
+    tags = F.array_join(F.transform(F.array_sort(F.collect_list("dst_id")), lambda i: F.concat(
+        F.lit('<a href="/p/'), i.cast("string"), F.lit('"></a>'))), "")
+    more = _surplus_links(site).groupBy(F.col("src_id").alias("page_id")).agg(tags.alias("more"))
+    return site.join(more, "page_id", "left").select("crawl_id", "url", "page_id", "more").join(
+        pages.select("page_id", "html"), "page_id").select("crawl_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
 
 
 def roots(site: DataFrame) -> DataFrame:
@@ -83,12 +92,18 @@ t as (select netloc, href, row_number() over (partition by netloc order by href)
       from (select distinct netloc, href from l) x),
 r as (select page_id, netloc, row_number() over (partition by netloc order by page_id) - 1 as k from p),
 site as (select r.netloc, r.page_id,
-           case when r.k = 0 then concat('https://', r.netloc, '/') else concat('https://', r.netloc, t.href) end as url,
-           sha256(concat('https://', r.netloc, '/')) as crawl_id
-         from r left join t on r.netloc = t.netloc and r.k = t.k
-         where r.k = 0 or t.href is not null),
-edges as (select distinct s.crawl_id, s.netloc, s.url as src, concat('https://', s.netloc, l.href) as dst
-          from site s join l on s.page_id = l.page_id),
+           case when r.k = 0 then concat('https://', r.netloc, '/') when t.href is not null then concat('https://', r.netloc, t.href)
+                else concat('https://', r.netloc, '/p/', r.page_id) end as url,
+           sha256(concat('https://', r.netloc, '/')) as crawl_id, r.k, r.k > 0 and t.href is null as surplus
+         from r left join t on r.netloc = t.netloc and r.k = t.k),
+more as (select s.crawl_id, s.netloc, s.url as src, s.page_id as src_id, c.url as dst, c.page_id as dst_id
+         from site s join site c on c.surplus and c.netloc = s.netloc and c.k // 8 = s.k),
+edges as (select s.crawl_id, s.netloc, s.url as src, concat('https://', s.netloc, l.href) as dst
+          from site s join l on s.page_id = l.page_id
+          union select crawl_id, netloc, src, dst from more),
+content as (select s.crawl_id, s.url, p.html || coalesce(m.tags, '') as html from site s join p on p.page_id = s.page_id
+            left join (select src_id, string_agg('<a href="/p/' || dst_id || '"></a>', '' order by dst_id) as tags from more group by src_id) m
+              on m.src_id = s.page_id),
 roots as (select crawl_id, netloc, url from site where url = concat('https://', netloc, '/'))
 """
 
@@ -140,6 +155,18 @@ def sql_local_path(u: str) -> str:
     return f"(case when {net} <> '' then {net} || '/' || {rel} else {rel} end)"
 
 
+def sql_relpath(path: str, start: str) -> str:
+    """DuckDB text of the relative path from folder ``start`` to ``path``, neither with dot segments."""
+    a, b = f"(case when {start} = '' then [] else string_split({start}, '/') end)", f"string_split({path}, '/')"
+    same = (f"coalesce(list_min(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] <> {b}[i])) - 1, "
+            f"least(len({a}), len({b})))")
+    return f"(repeat('../', len({a}) - {same}) || array_to_string({b}[{same} + 1:], '/'))"
+
+
+def sql_dirname(path: str) -> str:
+    return f"regexp_extract({path}, '^(.*)/[^/]*$', 1)"
+
+
 SQL_F5 = SQL_F3 + f""",
 completed as (select crawl_id, url from site where page_id % 3 <> 0),
 active as (select crawl_id, url from site where page_id % 5 = 0),

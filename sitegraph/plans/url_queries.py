@@ -2,10 +2,11 @@
 
 The given pages only hold root-relative ``<a href="/word">`` links. To run the
 resolver, the script-link rule and the path checks over data that grows with
-the table, every link is also written in the other shapes an href can take
+the table, every such link is also written in the other shapes an href can take
 (relative, parent, dot, query-only, fragment-only, scheme-relative, absolute
-with dot segments). Each oracle states the expected result of a shape
-directly from the page URL's parts; the full rule tables live in the tests.
+with dot segments); links of any other form are taken as they are. Each oracle
+states the expected result of a shape directly from the page URL's parts; the
+full rule tables live in the tests.
 """
 
 from __future__ import annotations
@@ -42,29 +43,39 @@ def _shapes(href, word, page_url):
     ]
 
 
-def _root_links(spark, sf_dir) -> DataFrame:
-    raw = X.raw_links(read_pages(spark, sf_dir))
-    return raw.where(F.col("href").rlike("^/[^/]")).withColumn("word", F.substring(F.col("href"), 2, 1 << 30))
+def _links(spark, sf_dir) -> DataFrame:
+    """Every link of every page; ``word`` is what follows the slash of a root-relative one, else null."""
+    raw = X.raw_links(read_pages(spark, sf_dir)).where(F.col("href") != "")
+    return raw.withColumn("word", F.when(F.col("href").rlike("^/[^/]"), F.substring(F.col("href"), 2, 1 << 30)))
 
 
 def _variants(spark, sf_dir) -> DataFrame:
-    r = _root_links(spark, sf_dir)
-    v = r.select("page_id", "pos", "page_url",
-                 F.posexplode(F.array(*_shapes(F.col("href"), F.col("word"), F.col("page_url")))).alias("variant", "href"))
+    shapes = F.array(*_shapes(F.col("href"), F.col("word"), F.col("page_url")))
+    v = _links(spark, sf_dir).select("page_id", "pos", "page_url", F.posexplode(
+        F.when(F.col("word").isNull(), F.array("href")).otherwise(shapes)).alias("variant", "href"))
     return v.select("page_id", "pos", "page_url", F.col("variant").cast("int").alias("variant"), "href",
                     U.resolve_url(F.col("page_url"), F.col("href")).alias("url"))
 
 
+def _sql_resolve(h: str) -> str:
+    """DuckDB text of the resolver for hrefs without dot segments, from the page URL's parts."""
+    query = "(case when uquery <> '' then '?' || uquery else '' end)"
+    return f"""(case when regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {h} when starts_with({h}, '//') then scheme || ':' || {h}
+      when starts_with({h}, '/') then origin || {h} when starts_with({h}, '?') then origin || upath || {h}
+      when starts_with({h}, '#') then origin || upath || {query} || {h} else origin || dir || {h} end)"""
+
+
 SQL_BASE = rf"""
 p as (select page_id, url, html, lower(regexp_extract(url, {RFC}, 2)) as scheme, regexp_extract(url, {RFC}, 4) as netloc,
              regexp_extract(url, {RFC}, 5) as upath, regexp_extract(url, {RFC}, 7) as uquery from pages),
 l as (select page_id, url as page_url, scheme, netloc, upath, uquery, cast(generate_subscripts(hs, 1) - 1 as bigint) as pos,
              unnest(hs) as href
       from (select *, regexp_extract_all(html, '<a[^>]*? href="([^"]*)"', 1) as hs from p) q),
-w as (select *, substr(href, 2) as word, regexp_replace(upath, '[^/]*$', '') as dir,
-             scheme || '://' || netloc as origin from l where regexp_matches(href, '^/[^/]')),
+a as (select *, regexp_replace(upath, '[^/]*$', '') as dir, scheme || '://' || netloc as origin from l where href <> ''),
+w as (select *, substr(href, 2) as word from a where regexp_matches(href, '^/[^/]')),
 v as (
-  select page_id, pos, 0 as variant, href, origin || href as url, netloc, word from w
+  select page_id, pos, 0 as variant, href, {_sql_resolve('href')} as url, netloc, '' as word from a where not regexp_matches(href, '^/[^/]')
+  union all select page_id, pos, 0, href, origin || href, netloc, word from w
   union all select page_id, pos, 1, word, origin || dir || word, netloc, word from w
   union all select page_id, pos, 2, '../' || word,
          origin || (case when dir = '/' then '/' else regexp_replace(dir, '[^/]*/$', '') end) || word, netloc, word from w
@@ -83,48 +94,43 @@ def q_resolve_url(spark, sf_dir):
     return _variants(spark, sf_dir).select("page_id", "pos", "variant", "href", "url")
 
 
-_NAME = "(case when contains(word, '.') then word else word || '.html' end)"
-
-
 @register("unsafe_paths", "with " + SQL_BASE.strip() + f"""
-select page_id, pos, variant, url, netloc || '/../../' || {_NAME} as path from v where variant = 7""")
+select page_id, pos, variant, url, {FX.sql_local_path('url')} as path from v where variant = 7 or regexp_matches(url, '^[^:]*://[^/]*/\\.\\.(/|$)')""")
 def q_unsafe_paths(spark, sf_dir):
     """K3: resolved links whose file would land outside the output folder."""
     v = _variants(spark, sf_dir).withColumn("path", U.local_path(F.col("url")))
     return K.unsafe_paths(v).select("page_id", "pos", "variant", "url", "path")
 
 
-@register("relative_path", "with " + SQL_BASE.strip() + f"""
-select page_id, pos, netloc || '/' || {_NAME} as from_path, {FX.sql_local_path('page_url')} as to_path,
-       substr({FX.sql_local_path('page_url')}, length(netloc) + 2) as rel_path
-from w""")
+@register("relative_path", "with " + SQL_BASE.strip() + f""",
+f as (select v.page_id, v.pos, v.variant, {FX.sql_local_path('v.url')} as from_path, {FX.sql_local_path('p.url')} as to_path
+      from v join p on v.page_id = p.page_id where v.variant < 7)
+select page_id, pos, variant, from_path, to_path, {FX.sql_relpath('to_path', FX.sql_dirname('from_path'))} as rel_path from f""")
 def q_relative_path(spark, sf_dir):
-    """U4: from every link target's file back to its page's file, as a relative path."""
-    r = _root_links(spark, sf_dir).withColumn("target", U.resolve_url(F.col("page_url"), F.col("href")))
-    r = r.select("page_id", "pos", U.local_path(F.col("target")).alias("from_path"),
-                 U.local_path(F.col("page_url")).alias("to_path"))
+    """U4: from every link target's file back to its page's file, as a relative path, for all shapes that stay below the root."""
+    r = _variants(spark, sf_dir).where(F.col("variant") < 7)
+    r = r.select("page_id", "pos", "variant", U.local_path(F.col("url")).alias("from_path"), U.local_path(F.col("page_url")).alias("to_path"))
     return r.withColumn("rel_path", U.relative_path(F.col("to_path"), U.dirname(F.col("from_path"))))
 
 
 @register("script_links", "with " + SQL_BASE.strip() + """
-select page_id, pos, 0 as variant, href || '.php' as href, href || '.html' as new_href from w
-union all select page_id, pos, 1, href || '.pl', href || '.html' from w
-union all select page_id, pos, 2, href || '.php.bak', href || '.php.bak' from w
-union all select page_id, pos, 3, href || '.PHP', href || '.PHP' from w""")
+select page_id, pos, 0 as variant, href || '.php' as href, href || '.html' as new_href from a
+union all select page_id, pos, 1, href || '.pl', href || '.html' from a
+union all select page_id, pos, 2, href || '.php.bak', href || '.php.bak' from a
+union all select page_id, pos, 3, href || '.PHP', href || '.PHP' from a""")
 def q_script_links(spark, sf_dir):
     """The '.php'/'.pl' link rule on every link with script suffixes attached."""
-    r = _root_links(spark, sf_dir)
-    v = r.select("page_id", "pos", F.posexplode(F.array(
+    v = _links(spark, sf_dir).select("page_id", "pos", F.posexplode(F.array(
         *[F.concat(F.col("href"), F.lit(sfx)) for sfx in SCRIPT_SUFFIXES])).alias("variant", "href"))
     return v.select("page_id", "pos", F.col("variant").cast("int").alias("variant"), "href",
                     U.script_link(F.col("href")).alias("new_href"))
 
 
+_FILES = " union ".join(f"select {FX.sql_local_path(_sql_resolve(h))} from a" for h in ("href", "(href || '.css')", "(href || '.css/x')"))
+
+
 @register("path_conflicts", "with " + SQL_BASE.strip() + f""",
-files as (select distinct {FX.sql_local_path('url')} as path from pages
-          union select distinct netloc || '/' || {_NAME} from w
-          union select netloc || '/' || word || '.css' from w
-          union select netloc || '/' || word || '.css/x.html' from w)
+files as (select distinct {FX.sql_local_path('url')} as path from pages union {_FILES})
 select a.path, a.path || '_' || md5(a.path) as renamed_path, cast(count(distinct b.path) as bigint) as n_children
 from files a join files b on starts_with(b.path, a.path || '/')
 group by a.path""")
@@ -135,28 +141,25 @@ def q_path_conflicts(spark, sf_dir):
     """
     pages = read_pages(spark, sf_dir)
     page_paths = pages.select(U.local_path(F.col("url")).alias("path"))
-    hrefs = _root_links(spark, sf_dir).select("page_url", F.explode(F.array(
+    hrefs = _links(spark, sf_dir).select("page_url", F.explode(F.array(
         F.col("href"), F.concat("href", F.lit(".css")), F.concat("href", F.lit(".css/x")))).alias("href"))
     link_paths = hrefs.select(U.local_path(U.resolve_url(F.col("page_url"), F.col("href"))).alias("path"))
     return K.path_conflicts(page_paths.unionByName(link_paths))
 
 
-SQL_IMG = rf"""
-with p as (select page_id, url, html, lower(regexp_extract(url, {RFC}, 2)) as scheme, regexp_extract(url, {RFC}, 4) as netloc
-           from pages),
-h as (select page_id, scheme, netloc, generate_subscripts(s, 1) - 1 as k, unnest(s) as link
-      from (select *, regexp_extract_all(html, '<a[^>]*? href="(/[^"/][^"]*)"', 1) as s from p) q),
-i as (select page_id, netloc, cast(2 * k as bigint) as pos, link as href, scheme || '://' || netloc || link as url from h
+SQL_IMG = "with " + SQL_BASE.strip() + f""",
+h as (select *, row_number() over (partition by page_id order by pos) - 1 as k from a),
+i as (select page_id, netloc, cast(2 * k as bigint) as pos, href, {_sql_resolve('href')} as url from h
       union all
-      select page_id, netloc, cast(2 * k + 1 as bigint), '//{CDN_HOST}' || link, scheme || '://{CDN_HOST}' || link from h)
+      select page_id, netloc, cast(2 * k + 1 as bigint), '//{CDN_HOST}/' || ltrim(href, '/'), scheme || '://{CDN_HOST}/' || ltrim(href, '/') from h)
 """
 
 
 def _with_images(pages: DataFrame) -> DataFrame:
-    """Every page with two images per link at its end, one on its own host, one on another."""
-    hrefs = F.regexp_extract_all("html", F.lit('<a[^>]*? href="(/[^"/][^"]*)"'), 1)
+    """Every page with two images per link at its end, one of the link's URL, one on another host."""
+    hrefs = F.filter(F.regexp_extract_all("html", F.lit(FX.FIXTURE_HREF_RE), 1), lambda h: h != "")
     tags = F.transform(hrefs, lambda h: F.concat(
-        F.lit('<img alt="" src="'), h, F.lit(f'"><IMG src="//{CDN_HOST}'), h, F.lit('"/>')))
+        F.lit('<img alt="" src="'), h, F.lit(f'"><IMG src="//{CDN_HOST}/'), F.ltrim(h, F.lit("/")), F.lit('"/>')))
     return pages.withColumn("html", F.concat("html", F.array_join(tags, "")))
 
 
