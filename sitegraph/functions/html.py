@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 LINK_TAGS = {"a": "href", "link": "href", "script": "src", "img": "src"}
 # --- end of fixed values ---
 
-# character references: decimal, hexadecimal, or one of HTML5's names with its semicolon
-_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;)"
+# character references: decimal, hexadecimal, or what may be one of HTML5's names
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][^\t\n\f <&#;]{0,31}+;?)"
 _NAMES = {k: v for k, v in html5.items() if k.endswith(";")}
+# the older names need no semicolon: the longest one that a reference starts with counts
+_OLD_NAMES = {k: v for k, v in html5.items() if not k.endswith(";")}
+_OLD_NAME = "^&(" + "|".join(sorted(_OLD_NAMES, key=len, reverse=True)) + ")"
 # numeric references 128 to 159 mean the Windows-1252 characters
 _C1 = {chr(c): bytes([c]).decode("cp1252", "ignore") for c in range(128, 160)}
 _C1 = {k: v for k, v in _C1.items() if v}
@@ -31,10 +34,12 @@ _ATT = rf"""(?:[\s/]++|[^\s/>=][^\s/=>]*+{_VALUE})*+[^>]*+"""
 
 
 def tag_pattern(tags=tuple(LINK_TAGS)) -> str:
-    """Regex whose matches are comments, skipped element bodies, or start tags of ``tags``."""
+    """Regex whose matches are comments, other markup without links, skipped element bodies, or start tags of ``tags``."""
     names = "|".join(tags)
     return (
-        r"(?is)<!--.*?(?:-->|\z)"
+        r"(?is)<!--.*?(?:--!?\s*+>|\z)"
+        r"|<!\[(?:temp|cdata|ignore|include|rcdata)\[.*?\]\s*+\]\s*+>"
+        r"|<[!?/][^<>]*+<[^>]*+>"  # declarations, instructions and end tags run to their first '>'
         rf"|<script(?=[\s/>]){_ATT}>.*?</script\s*>"
         rf"|<style(?=[\s/>]){_ATT}>.*?</style\s*>"
         rf"|<(?:{names})(?=[\s/>]){_ATT}>"
@@ -66,28 +71,56 @@ def attr_regex(attr: str) -> str:
     )
 
 
+def last_only(token: Column) -> Column:
+    """A start tag of ``a``, ``link`` or ``img`` without the earlier ones of a repeated link attribute: the last one counts."""
+    def without_earlier(attr):
+        atts = F.regexp_extract_all(token, F.lit(rf"(?is)^<[a-z][a-z0-9]*+|[^\s/>=][^\s/=>]*+{_VALUE}"), 0)
+
+        def kept(xs):
+            def is_it(x):
+                return x.rlike(rf"(?is)^{attr}(?:\s*+=.*)?$")
+            last = F.array_max(F.transform(xs, lambda x, i: F.when(is_it(x), i).otherwise(-1)))
+            return F.filter(xs, lambda x, i: ~is_it(x) | (i == last))
+        return F.concat(F.array_join(F.element_at(F.transform(F.array(atts), kept), 1), " "), F.lit(">"))
+
+    out = token
+    for attr, names in (("href", "a|link"), ("src", "img")):
+        again = rf"""(?is)^<(?:{names})(?=[\s/])[^>]*[\s/"']{attr}[\s=/>].*[\s/"']{attr}[\s=/>]"""
+        out = F.when(token.rlike(again), without_earlier(attr)).otherwise(out)
+    return out
+
+
+def _named(r: Column) -> Column:
+    """A reference by name: the whole name, else the longest older name it starts with; any other stays as written."""
+    def table(names):
+        return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in names.items())), F.lit("\x02"), F.lit("\x01"))
+
+    old = F.regexp_extract(r, _OLD_NAME, 1)
+    by_old = F.when(old != "", F.concat(F.try_element_at(table(_OLD_NAMES), old), F.substring(r, F.length(old) + 2, F.length(r))))
+    return F.coalesce(F.try_element_at(table(_NAMES), F.substring(r, F.lit(2), F.length(r))), by_old, r)
+
+
 def _reference(r: Column) -> Column:
     """The characters of one character reference; an unknown name stays as written."""
-    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in _NAMES.items())), F.lit("\x02"), F.lit("\x01"))
     digits = F.regexp_extract(r, "^&#[xX]?([0-9a-fA-F]+)", 1)
     is_hex = F.lower(F.substring(r, 3, 1)) == "x"
 
     def character(n):
         bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
         utf32 = F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(n)), 8, "0"))
-        return F.translate(F.decode(utf32, "UTF-32"), "".join(_C1), "".join(_C1.values()))
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        return F.when(~bad & none, F.lit("")).otherwise(F.translate(F.decode(utf32, "UTF-32"), "".join(_C1), "".join(_C1.values())))
 
     def number(d):
         long_ = F.length(F.ltrim(d, F.lit("0"))) > 8  # beyond every code point
         return F.when(~long_, F.when(is_hex, F.conv(d, 16, 10)).otherwise(F.conv(d, 10, 10)).cast("long"))
 
     numeric = F.element_at(F.transform(F.array(number(digits)), character), 1)
-    return F.when(r.startswith("&#"), numeric).otherwise(
-        F.coalesce(F.try_element_at(names, F.substring(r, F.lit(2), F.length(r))), r))
+    return F.when(r.startswith("&#"), numeric).otherwise(_named(r))
 
 
 def decode_entities(v: Column) -> Column:
-    """Character references decoded once, from left to right; names need their semicolon."""
+    """Character references decoded once, from left to right."""
     parts = F.regexp_extract_all(v, F.lit(f"{_REFERENCE}|[^&]++|&"), 0)
     decoded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{_REFERENCE}$"), _reference(p)).otherwise(p)), "")
     return F.when(v.contains("&"), decoded).otherwise(v)
@@ -122,5 +155,5 @@ def link_structs(html: Column, tags=tuple(LINK_TAGS)) -> Column:
         # the element name is computed once per token
         return F.element_at(F.transform(F.array(tag_name(t)), with_name), 1)
 
-    toks = F.transform(link_tags(html, tags), one)
+    toks = F.transform(F.transform(link_tags(html, tags), last_only), one)
     return F.filter(toks, lambda s: s["value"].isNotNull() & s["tag"].isin(*tags))

@@ -200,7 +200,7 @@ def rewrite_html(pages: DataFrame, domain: Column | None = None, url: str = "url
     def body(p):
         tags = F.regexp_extract_all(p["html"], F.lit(pattern), 0)
         gaps = F.split(p["html"], pattern, -1)
-        new_tags = F.transform(tags, lambda t: _rewrite_tag(t, p, script_rule, path_opts, keep_fragment,
+        new_tags = F.transform(F.transform(tags, H.last_only), lambda t: _rewrite_tag(t, p, script_rule, path_opts, keep_fragment,
                                                             fetched_images is not None))
         tail = F.zip_with(new_tags, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))),
                           lambda t, g: F.concat(t, F.coalesce(g, F.lit(""))))

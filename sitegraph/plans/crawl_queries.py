@@ -17,6 +17,7 @@ from sitegraph.plans.mirror_job import site_resources
 from sitegraph.plans.registry import BATCH, EXCLUDED, WEIGHTS, register
 from sitegraph.session import checkpoint_dir
 from sitegraph.sources.tables import read_pages
+from sitegraph.streaming import crawl as SC
 
 
 def _prio_sql(u: str) -> str:
@@ -372,6 +373,24 @@ def q_replay_crawl_batch(spark, sf_dir):
     return _replay(spark, sf_dir, batch_size=BATCH).select("crawl_id", "url", "priority", "fetched")
 
 
+@register("stream_crawl", F5R + _REPLAY_SQL + "select crawl_id, url, depth, priority, parent, fetched from crawl")
+def q_stream_crawl(spark, sf_dir):
+    """The crawl as a stream whose found URLs are its own input; stopped after the starts and continued from its checkpoint."""
+    pages, site, _ = _site(spark, sf_dir)
+    captured, starts = FX.site_pages(pages, site), FX.roots(site).select("crawl_id", "url")
+    links = G.materialize(C.page_links(captured, starts, WEIGHTS))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-crawl-{uuid.uuid4().hex}"
+    SC.start_crawl(spark, links, starts, f"{folder}/found", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    stream = SC.start_crawl(spark, links, starts, f"{folder}/found", f"{folder}/checkpoint")
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    there = site.select("crawl_id", "url").distinct().withColumn("there", F.lit(True))
+    return SC.found(spark, f"{folder}/found").join(there, ["crawl_id", "url"], "left").select(
+        "crawl_id", "url", "depth", "priority", "parent", F.coalesce("there", F.lit(False)).alias("fetched"))
+
+
 @register("mirror_site", F5R + _REPLAY_SQL + f""",
 saved as (select c.crawl_id, c.url, p.html from crawl c join content p on p.crawl_id = c.crawl_id and p.url = c.url where c.fetched)
 select crawl_id, url, {FX.sql_local_path('url')} as path,

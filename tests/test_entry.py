@@ -17,7 +17,7 @@ relative_path script_links unsafe_paths path_conflicts extract_images image_rout
 state_lookup state_delete crawl_seeds new_links frontier_open frontier_rank frontier_batch pending_urls
 resume_frontier relative_path_state replay_fetch claim_urls crawl_summary has_path cycle_check graph_remove
 discovery_tree acyclic_edges replay_crawl replay_crawl_batch dead_links content_kind fetch_outcome stream_retry
-stream_discovery""".split()
+stream_discovery stream_crawl""".split()
 
 
 def test_entry_runs(spark):
