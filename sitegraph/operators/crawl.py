@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def page_links(pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
 def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                  excluded: Sequence[str] = (), batch_size: int | None = None, strict_domain: bool = False,
                  max_rounds: int | None = None, resume_from: DataFrame | None = None,
-                 content: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+                 content: DataFrame | None = None, outcomes: DataFrame | None = None,
+                 state_dir: str | None = None) -> DataFrame:
     """Crawl every start URL over the captured pages until the frontier is empty.
 
     ``batch_size=None`` pops whole BFS levels (depth = shortest link distance);
@@ -82,16 +84,22 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
     (``url, outcome`` and perhaps ``crawl_id``, as ``fetch_outcome`` gives them)
     names fetches that did not end ``ok``: those URLs count as not captured.
 
-    ``max_rounds`` (level mode only) stops early; ``resume_from`` (the output of a stopped level
-    crawl) continues it to the same result an uninterrupted crawl gives, since
-    its deepest level holds the URLs not expanded yet.
+    ``max_rounds`` stops after so many rounds in all; the output then has one
+    more column ``open``, true for URLs that are found but not popped yet.
+    ``resume_from`` (the output of a stopped level crawl) continues a level
+    crawl. A best-first crawl is continued from ``state_dir``, a shared folder
+    in which every finished round leaves what it popped and found: called again
+    with it, the crawl goes on behind the last finished round. Either way the
+    result is that of an uninterrupted crawl.
 
     Rounds: level mode needs one per link-depth level; best-first mode needs
     about (pages of the largest crawl) / ``k``, which is the bounded queue's
     behaviour but many jobs for a big site, so level mode is the one for scale.
     """
-    if batch_size is not None and not (resume_from is None and max_rounds is None):
-        raise ValueError("max_rounds and resume_from stop and continue level crawls; they cannot be combined with batch_size")
+    if batch_size is not None and resume_from is not None:
+        raise ValueError("a best-first crawl is resumed from its state_dir, a level crawl with resume_from")
+    if batch_size is None and state_dir is not None:
+        raise ValueError("state_dir keeps the rounds of best-first crawls; a level crawl is resumed with resume_from")
     checkpoint_dir(spark)
     if outcomes is not None:
         on = [c for c in KEY if c in outcomes.columns]
@@ -120,34 +128,70 @@ def replay_crawl(spark: SparkSession, pages: DataFrame, starts: DataFrame, weigh
         else:
             prio = U.url_priority(F.col("url"), weights)
         found = found.withColumn("priority", F.when(F.col("depth") == 0, F.lit(0)).otherwise(prio))
+        waiting = F.col("depth") == (max_rounds if max_rounds is not None else -1)
     else:
-        found = _best_first(spark, edges, seeds, batch_size)
+        found, open_ = _best_first(spark, edges, seeds, batch_size, max_rounds=max_rounds, state_dir=state_dir)
+        if max_rounds is not None:
+            found = found.join(open_.select(*KEY, F.lit(True).alias("_open")), KEY, "left")
+        waiting = F.coalesce("_open", F.lit(False)) if max_rounds is not None else None
     captured = (pages if content is None else content).select(*KEY).distinct().withColumn("fetched", F.lit(True))
     return found.join(captured, KEY, "left").select(
         *KEY, F.col("depth").cast("int").alias("depth"), F.col("priority").cast("int").alias("priority"),
-        "parent", F.coalesce(F.col("fetched"), F.lit(False)).alias("fetched"))
+        "parent", F.coalesce(F.col("fetched"), F.lit(False)).alias("fetched"),
+        *([waiting.alias("open")] if max_rounds is not None else []))
 
 
-def _best_first(spark, edges, seeds, k, fold_every=4):
-    """Rounds of the best ``k`` open entries per crawl.
+def _kept_rounds(spark: SparkSession, state_dir: str) -> tuple[int, DataFrame, DataFrame] | None:
+    """The last finished round of a best-first crawl, what was found and what popped up to it; None for a new crawl."""
+    try:
+        last = spark.read.schema("id long, round int").parquet(f"{state_dir}/done").agg(F.max("round")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        return None
+
+    def kept(name, schema):
+        return spark.read.schema(f"{schema}, round int").parquet(f"{state_dir}/{name}").where(F.col("round") <= last).drop("round")
+
+    return last, kept("found", "crawl_id string, url string, priority int, depth int, parent string"), kept("popped", "crawl_id string, url string")
+
+
+def _keep_round(state_dir: str, number: int, found: DataFrame, popped: DataFrame) -> None:
+    """Write a round's rows, then the mark that it is finished; a round without its mark is written anew."""
+    found.select("crawl_id", "url", F.col("priority").cast("int").alias("priority"), F.col("depth").cast("int").alias("depth"), "parent") \
+        .write.mode("overwrite").parquet(f"{state_dir}/found/round={number}")
+    popped.select(*KEY).write.mode("overwrite").parquet(f"{state_dir}/popped/round={number}")
+    found.sparkSession.range(1).write.mode("overwrite").parquet(f"{state_dir}/done/round={number}")
+
+
+def _best_first(spark, edges, seeds, k, fold_every=4, max_rounds=None, state_dir=None):
+    """Rounds of the best ``k`` open entries per crawl: all that is found, and what is still open.
 
     What is found is only appended (``Pieces``); the open entries are rewritten
     without the popped ones every ``fold_every`` rounds.
     """
     e = G.materialize(G.partitioned(edges, "crawl_id", "src"), keep_partitioning=True)
     visited = G.Pieces(*KEY)
-    fresh = [visited.add(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
-                                      F.lit(None).cast("string").alias("parent")).distinct())]
     popped = []
+    kept = _kept_rounds(spark, state_dir) if state_dir else None
+    if kept:
+        number, found, gone = kept
+        fresh = [G.materialize(visited.add(found).join(gone, KEY, "left_anti"))]
+    else:
+        number = 0
+        fresh = [visited.add(seeds.select(*KEY, F.lit(0).alias("priority"), F.lit(0).alias("depth"),
+                                          F.lit(None).cast("string").alias("parent")).distinct())]
+        if state_dir:
+            _keep_round(state_dir, 0, fresh[0], fresh[0].limit(0))
 
     def still_open():
         rows = reduce(DataFrame.unionByName, fresh)
         return rows.join(reduce(DataFrame.unionByName, popped), KEY, "left_anti") if popped else rows
 
-    while True:
+    while max_rounds is None or number < max_rounds:
         batch, n = G.checkpoint_counted(W.frontier_batch(still_open(), k).drop("rank"))
         if n == 0:
-            return visited.rows()
+            break
         found = (
             batch.select("crawl_id", F.col("url").alias("src"), F.col("depth").alias("pdepth"),
                          F.col("priority").alias("ppri"))
@@ -159,10 +203,15 @@ def _best_first(spark, edges, seeds, k, fold_every=4):
         )
         popped.append(batch.select(*KEY))
         fresh.append(visited.add(visited.missing(found)))
+        number += 1
+        if state_dir:
+            _keep_round(state_dir, number, fresh[-1], batch)
         if len(popped) >= fold_every:
             fresh, popped = [G.materialize(still_open())], []
+    return visited.rows(), still_open()
 
 
 def dead_links(crawl: DataFrame) -> DataFrame:
-    """URLs discovered by the crawl whose fetch failed (they stay pending)."""
-    return crawl.where(~F.col("fetched")).select(*KEY, "depth", "parent")
+    """URLs discovered by the crawl whose fetch failed (they stay pending); of a stopped crawl not those still open."""
+    done = crawl.where(~F.col("open")) if "open" in crawl.columns else crawl
+    return done.where(~F.col("fetched")).select(*KEY, "depth", "parent")

@@ -9,6 +9,7 @@ from sitegraph.operators import crawl as C
 from sitegraph.operators import frontier as W
 from sitegraph.plans import fixtures as FX
 from sitegraph.session import checkpoint_dir
+from sitegraph.streaming import crawl as SC
 from sitegraph.streaming import discovery as SD
 from sitegraph.streaming import retry as SR
 
@@ -49,7 +50,57 @@ def test_many_small_rounds_find_the_best_first_order(spark):
         ("/c", 2, 1, "/blog1"), ("/d", 2, 1, "/a"), ("/e", 3, 1, "/c"), ("/f", 4, 1, "/e"), ("/g", 5, 1, "/f")}
     assert {r.url[8:] for r in got if r.fetched} == set(links)
     with pytest.raises(ValueError):
-        C.replay_crawl(spark, pages, starts, batch_size=1, max_rounds=2)
+        C.replay_crawl(spark, pages, starts, batch_size=1, resume_from=starts)
+    with pytest.raises(ValueError):
+        C.replay_crawl(spark, pages, starts, state_dir="x")
+
+
+def test_best_first_stopped_after_any_round_and_continued(spark, tmp_path):
+    links = {"/": ["b", "a", "blog1"], "/blog1": ["blog2", "c"], "/a": ["d"], "/b": ["d"], "/c": ["e"], "/e": ["f"]}
+    html = [("c", f"http://h{u}", "".join(f'<a href="/{x}">' for x in to)) for u, to in links.items()]
+    pages = spark.createDataFrame(html, "crawl_id string, url string, html string")
+    starts = spark.createDataFrame([("c", "http://h/")], "crawl_id string, url string")
+
+    def crawl(**kw):
+        return C.replay_crawl(spark, pages, starts, weights=["/blog"], batch_size=2, **kw)
+
+    full = sorted(map(tuple, crawl().collect()), key=repr)
+    for stop in (0, 1, 3):
+        state = str(tmp_path / f"state{stop}")
+        part = crawl(max_rounds=stop, state_dir=state).collect()
+        assert any(r.open for r in part) and len(part) < len(full)
+        assert all(not r.open or r.url not in {q.parent for q in part} for r in part)
+        # a round that broke off without its mark
+        spark.createDataFrame([("c", "http://h/junk", 0, 0, None)], "crawl_id string, url string, priority int, depth int, parent string") \
+            .write.parquet(f"{state}/found/round={stop + 1}")
+        assert sorted(map(tuple, crawl(state_dir=state).collect()), key=repr) == full
+        assert sorted(map(tuple, crawl(state_dir=state).collect()), key=repr) == full  # a finished crawl stays as it is
+    stopped = crawl(max_rounds=1)
+    assert not {r.url for r in C.dead_links(stopped).collect()} & {r.url for r in stopped.where("open").collect()}
+
+
+def test_stream_crawl_restarted_after_a_failed_level(spark, tmp_path):
+    sp, starts = _inputs(spark)
+    links = C.page_links(sp, starts).cache()
+    want = C.replay_crawl(spark, sp, starts).select("crawl_id", "url", "depth", "parent", "priority")
+    found, ckpt = str(tmp_path / "found"), str(tmp_path / "checkpoint")
+    SC.start_crawl(spark, links, starts, found, ckpt, available_now=True).awaitTermination()
+    assert {r.level for r in SC.found(spark, found).select("level").distinct().collect()} == {-1, 0}
+    broken = spark.createDataFrame([("c", "http://h/junk", 9, None, 0)], SC.FOUND)
+    query = SC.start_crawl(spark, links, starts, found, ckpt)
+    query.processAllAvailable()
+    query.stop()
+    got = SC.found(spark, found).select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    last = SC.found(spark, found).agg(F.max("level")).first()[0]
+    again, ckpt2 = str(tmp_path / "again"), str(tmp_path / "checkpoint2")
+    SC.start_crawl(spark, links, starts, again, ckpt2, available_now=True).awaitTermination()
+    broken.write.parquet(f"{again}/level=1")  # a first attempt at level 1 that never committed
+    query = SC.start_crawl(spark, links, starts, again, ckpt2)
+    query.processAllAvailable()
+    query.stop()
+    assert last >= 1 and SC.found(spark, again).where("url = 'http://h/junk'").count() == 0
+    assert SC.found(spark, again).select(*want.columns).exceptAll(want).count() == 0
 
 
 def test_failed_fetches_are_not_expanded_and_parents_follow_priority(spark):
