@@ -58,6 +58,14 @@ def with_kinds(pages: DataFrame) -> DataFrame:
         (F.col("body") if "body" in have else F.lit(None)).cast("binary").alias("body"))
 
 
+def _one_capture(captures: DataFrame, *carry: str) -> DataFrame:
+    """One row per key: the capture whose content has the least hash; further columns are equal in all captures of a key."""
+    content = ["html", "content_type", "body"]
+    rest = [c for c in carry if c != "crawl_id"]
+    one = captures.groupBy(*KEY).agg(F.min_by(F.struct(*content, *rest), F.struct(F.xxhash64(*content), F.length("html"))).alias("_one"))
+    return one.select(*KEY, *[F.col(f"_one.{c}").alias(c) for c in (*content, *rest)])
+
+
 def site_resources(spark: SparkSession, captured: DataFrame, starts: DataFrame, weights: Sequence[str] = (),
                    excluded: Sequence[str] = (), batch_size: int | None = None, pages: DataFrame | None = None,
                    completed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +77,9 @@ def site_resources(spark: SparkSession, captured: DataFrame, starts: DataFrame,
     images outside the domain (X2, X3): those captured are saved, and their
     tags point at the copies, too. URLs in ``completed`` are not saved again.
 
-    Only keys meet in the joins before the last; a page's HTML moves once.
+    All that is known of a URL (order, domain, images) is joined by keys first;
+    then the captures meet it, which moves their HTML once. Of several captures
+    of a URL that counts whose content has the least hash.
     """
     _, is_html, _ = U.content_kind(F.col("content_type"), F.col("url"))
     html_pages = captured.where(is_html)
@@ -79,24 +89,23 @@ def site_resources(spark: SparkSession, captured: DataFrame, starts: DataFrame,
     save = crawl.where(F.col("fetched")).select(*KEY, "depth", "priority")
     if completed is not None:
         save = save.join(completed.select(*KEY), KEY, "left_anti")
-    pages_of = captured.dropDuplicates(KEY) if completed is None else captured.join(
-        completed.select(*KEY), KEY, "left_anti").dropDuplicates(KEY)
-    found = save.join(pages_of, KEY)
+    save = save.join(dom, "crawl_id")
     if pages is not None:
-        mine = html_pages.join(save.select(*KEY), KEY, "left_semi")
-        images = X.extract_images(mine, keep=("crawl_id",)).join(dom, "crawl_id")
+        images = X.extract_images(html_pages, keep=("crawl_id",)).join(dom, "crawl_id")
         images = X.image_routing(images, F.col("domain"), excluded).where(F.col("route") == "image").select(
             "crawl_id", "page_url", "url").distinct()
-        got = images.join(pages.select("url").distinct(), "url", "left_semi")
+        mine = images.join(save.select("crawl_id", F.col("url").alias("page_url")), ["crawl_id", "page_url"], "left_semi")
+        got = mine.join(pages.select("url").distinct(), "url", "left_semi")
         per_page = got.groupBy("crawl_id", F.col("page_url").alias("url")).agg(F.collect_set(F.col("url")).alias("_imgs"))
         wanted = got.select(*KEY).distinct()
         if completed is not None:
             wanted = wanted.join(completed.select(*KEY), KEY, "left_anti")
-        outside = pages.join(wanted, "url").dropDuplicates(KEY).join(save.select(*KEY), KEY, "left_anti").select(
+        wanted = wanted.join(save.select(*KEY), KEY, "left_anti")
+        outside = _one_capture(pages.join(wanted, "url"), "crawl_id").select(
             *KEY, F.lit(LAST).alias("depth"), F.lit(LAST).alias("priority"), "html", "content_type", "body")
-        found = found.join(per_page, KEY, "left").withColumn("_imgs", F.coalesce("_imgs", F.array().cast("array<string>")))
+        save = save.join(per_page, KEY, "left").withColumn("_imgs", F.coalesce("_imgs", F.array().cast("array<string>")))
+    known = _one_capture(captured.join(save, KEY), "crawl_id", *[c for c in save.columns if c not in KEY]).withColumn("_raw", F.col("html"))
     html = is_html & F.col("html").isNotNull()
-    known = found.join(dom, "crawl_id").withColumn("_raw", F.col("html"))
     rewritten = X.rewrite_html(known, F.col("domain"), fetched_images="_imgs" if pages is not None else None)
     cols = [*KEY, "depth", "priority", F.when(html, F.col("html")).otherwise(F.col("_raw")).alias("html"), "content_type", "body"]
     resources = rewritten.select(*cols)

@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sitegraph.plans.mirror_job import site_resources
 from sitegraph.operators import frontier as W
 from sitegraph.operators import graph as G
 from sitegraph.operators import links as X
@@ -90,3 +91,21 @@ def test_bfs_edges_keep_their_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_mirror_moves_the_html_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(c, f"https://{c}.com/{p}", f'<a href="/{p}x">l</a><img src="https://cdn.org/{p}.png">', "text/html", None)
+                for c in ("a", "b") for p in ("", "x", "xx")]
+        captured = spark.createDataFrame(rows, "crawl_id string, url string, html string, content_type string, body binary")
+        starts = spark.createDataFrame([(c, f"https://{c}.com/") for c in ("a", "b")], "crawl_id string, url string")
+        for pages in (None, captured.drop("crawl_id")):
+            _, resources = site_resources(spark, captured, starts, pages=pages)
+            plan = _plan(resources)
+            moved = [cols for cols in re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", plan) if re.search(r"\bhtml#|_one#|body#", cols)]
+            assert len(moved) == (1 if pages is None else 2), moved  # and the captures of images once
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
