@@ -28,9 +28,9 @@ def _plain(pairs):
 def _shapes():
     rnd = random.Random(5)
     ring = [(f"r{i}", f"r{(i + 1) % 20}") for i in range(20)]
-    bow = ring + [(f"in{i}", f"r{i % 20}") for i in range(90)] + [(f"r{i % 20}", f"out{i}") for i in range(90)] + [("in3", "in4"), ("out1", "out2")]
-    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("n030", "n025"), ("n012", "n010")]
-    layers = [(f"l{k}_{i}", f"l{k + 1}_{rnd.randrange(12)}") for k in range(6) for i in range(12) for _ in range(2)]
+    bow = ring + [(f"in{i}", f"r{i % 20}") for i in range(70)] + [(f"r{i % 20}", f"out{i}") for i in range(70)] + [("in3", "in4"), ("out1", "out2")]
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(14)] + [("n010", "n008"), ("n005", "n004")]
+    layers = [(f"l{k}_{i}", f"l{k + 1}_{rnd.randrange(12)}") for k in range(4) for i in range(12) for _ in range(2)]
     dense = [(f"d{rnd.randrange(40)}", f"d{rnd.randrange(40)}") for _ in range(60)]
     two = [("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("w", "z"), ("q", "q")]
     return {"bow": bow, "chain": chain, "layers": layers, "dense": dense, "two": two}
@@ -44,7 +44,7 @@ def graph(spark):
 
 def test_strong_components(spark):
     rnd = random.Random(7)
-    pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(90)} | {(100 + i, 101 + i) for i in range(30)}
+    pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)} | {(100 + i, 101 + i) for i in range(8)}
     got = {r.node: r.component for r in R.strong_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
     reach = _plain([(a, b) for a, b in pairs if a != b])
     for a in reach:
@@ -53,7 +53,7 @@ def test_strong_components(spark):
                 assert (got.get(a, a) == got.get(b, b)) == (b in reach[a] and a in reach[b])
 
 
-@pytest.mark.parametrize("kw", [{}, {"hubs": 1, "ancestors": 3}, {"hubs": 0, "ancestors": 0}], ids=str)
+@pytest.mark.parametrize("kw", [{}, {"hubs": 1, "ancestors": 2}], ids=str)
 def test_every_pair_of_every_shape(spark, graph, kw):
     want = {(c, s, e) for c, pairs in _shapes().items() for s, r in _plain([p for p in pairs if p[0] != p[1]]).items() for e in r if e != s}
     nodes = G.graph_nodes(graph)
