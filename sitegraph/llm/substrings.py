@@ -260,9 +260,10 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     each = stored(each.join(again, "anchor"), "anchors-met")
     kinds = stored(each.groupBy("anchor", "around").agg(
         F.sum("copies").alias("n"), F.min(F.struct("tid", "at")).alias("one")), "surroundings")
-    whole = stored(kinds.where(F.col("n") > 1).select("anchor", "around"), "surroundings-copied")
+    pair = F.struct("anchor", "around").alias("pair")
+    whole = stored(kinds.where(F.col("n") > 1).select(pair), "surroundings-copied")
     reach = F.lit(length - gram)
-    spans = [each.join(whole, ["anchor", "around"]).select(
+    spans = [spread_join(each.select(pair, "tid", "at", "n_words"), whole, "pair", "tid").select(
         "tid", F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), F.least(F.col("at") + length, "n_words").alias("end"))]
 
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
@@ -318,7 +319,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     windows = pieces.where(F.col("hot")).groupBy("words", "tid", "start").agg(F.max("copied").alias("copied"))
     windows = stored(windows, "windows")
     often = stored(windows.groupBy("words").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("_n")).where(F.col("_n") > 1).select("words"), "windows-again")
-    spans.append(windows.join(often, "words").select("tid", "start", (F.col("start") + length).alias("end")))
+    spans.append(spread_join(windows, often, "words", "tid").select("tid", "start", (F.col("start") + length).alias("end")))
     long_enough = reduce(DataFrame.unionByName, spans).where(F.col("end") - F.col("start") >= length)
     gone = stored(long_enough.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
