@@ -28,9 +28,13 @@ def with_paths(resources: DataFrame, url: str = "url", **path_opts) -> DataFrame
 
 
 def manifest(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (), url: str = "url",
-             content: str = "html", content_type: str | None = None, body: str | None = None, **path_opts) -> DataFrame:
+             content: str = "html", content_type: str | None = None, body: str | None = None,
+             earlier: DataFrame | None = None, **path_opts) -> DataFrame:
     """S3 + K2: what the mirror holds, first writer per file wins.
 
+    ``earlier(*by, url, path)`` are files that stand already, one row a file:
+    their writers came first, so no row here is written over them.
+
     ``order`` ranks writers (earliest first). The winner per file is a
     map-side-combinable ``min(struct)`` aggregate, then joined back on the file
     key. Output: by..., url, path, kind, mode, n_bytes, writer_url, written.
@@ -45,9 +49,16 @@ def manifest(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     r = r.withColumn("kind", kind).withColumn("mode", mode).withColumn("n_bytes", size.cast("bigint"))
     win = r.groupBy(*by, "file_key").agg(F.min(_rank_struct(order, url)).alias("w"))
     win = win.select(*by, "file_key", F.col(f"w.{url}").alias("writer_url"))
+    if earlier is not None:
+        there = earlier.select(*by, U.norm_path(F.col("path")).alias("file_key"), F.col(url).alias("_by"))
+        there = there.groupBy(*by, "file_key").agg(F.min("_by").alias("_by"))
+        win = win.join(there, [*by, "file_key"], "left").select(
+            *by, "file_key", F.coalesce("_by", "writer_url").alias("writer_url"), F.col("_by").isNull().alias("_free"))
+    else:
+        win = win.withColumn("_free", F.lit(True))
     out = r.join(win, [*by, "file_key"])
     return out.select(*by, url, "path", "kind", "mode", "n_bytes", "writer_url",
-                      (F.col("writer_url") == F.col(url)).alias("written"))
+                      (F.col("_free") & (F.col("writer_url") == F.col(url))).alias("written"))
 
 
 def path_collisions(resources: DataFrame, order: Sequence[str], by: Sequence[str] = (), url: str = "url",
@@ -102,17 +113,19 @@ def apply_renames(m: DataFrame, by: Sequence[str] = (), **hash_opts) -> DataFram
 
 def write_mirror(resources: DataFrame, out_dir: str, order: Sequence[str], by: Sequence[str] = ("crawl_id",),
                  url: str = "url", content: str = "html", content_type: str | None = None,
-                 mode: str = "overwrite", quarantine: bool = True, body: str | None = None, **path_opts) -> DataFrame:
+                 mode: str = "overwrite", quarantine: bool = True, body: str | None = None,
+                 earlier: DataFrame | None = None, **path_opts) -> DataFrame:
     """S3 sink: the written files of a mirror as Parquet ``(by..., path, url, kind, mode, content)``.
 
     One row per file (the first writer wins), clustered by crawl and path,
     instead of millions of small files. Files needed as folders are renamed (K1);
     with ``quarantine`` a path escaping the output folder is not written (K3).
     ``body`` names a binary column, written beside ``content`` for files of mode
-    "binary". Returns the manifest with ``final_path``, ``renamed`` and ``unsafe``.
+    "binary". ``earlier`` names the files of earlier runs, which are never written
+    again (see ``manifest``). Returns the manifest with ``final_path``, ``renamed`` and ``unsafe``.
     """
     by = list(by)
-    m = manifest(resources, order, by, url, content, content_type, body, **path_opts)
+    m = manifest(resources, order, by, url, content, content_type, body, earlier, **path_opts)
     hash_opts = {k: v for k, v in path_opts.items() if k in ("hash_algo", "hash_len")}
     m = apply_renames(m.withColumn("file_key", U.norm_path(F.col("path"))), by, **hash_opts).withColumn(
         "unsafe", U.escapes_root(F.col("path")))

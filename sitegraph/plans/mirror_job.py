@@ -124,6 +124,10 @@ def _append_version(df: DataFrame, path: str, n: int, keys: Sequence[str] = KEY)
 
 
 SUMMARY_SCHEMA = T.StructType([T.StructField("crawl_id", T.StringType()), T.StructField("complete", T.BooleanType())])
+MANIFEST_SCHEMA = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("crawl_id", "url", "path")],
+    T.StructField("written", T.BooleanType()), T.StructField("unsafe", T.BooleanType()),
+])
 SUMMARY_FULL_SCHEMA = T.StructType([
     T.StructField("crawl_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in
                                                 ("visited", "completed", "pending", "failed")],
@@ -141,6 +145,9 @@ def run_mirror(spark: SparkSession, pages: DataFrame, start_urls: Sequence[str],
     run writes what was pending: failed URLs that are captured by now, and what
     they lead to. ``pages`` should go on holding the earlier pages.
 
+    A file that an earlier run wrote is never written again: another URL that
+    maps to it is recorded as complete with that file, as within a run.
+
     State and summary are versioned snapshots (``v=<n>``): a run reads the
     newest one and appends the next, so nothing is rewritten in place and an
     interrupted run leaves the previous snapshot intact.
@@ -159,13 +166,15 @@ def run_mirror(spark: SparkSession, pages: DataFrame, start_urls: Sequence[str],
     path = f"{checkpoint_dir(spark)}/mirror-resources-{uuid.uuid4().hex}"
     resources.write.parquet(path)  # written once: the manifest reads its keys and sizes, the sink its content
     resources = spark.read.schema(resources.schema).parquet(path)
+    earlier = S.load_table(spark, f"{out_dir}/manifest", MANIFEST_SCHEMA).where(F.col("written") & ~F.col("unsafe"))
     written = K.write_mirror(resources, f"{out_dir}/mirror/v={n + 1}", order=["depth", "priority", "url"],
-                             content_type="content_type", body="body")
+                             content_type="content_type", body="body", earlier=earlier)
     S.clustered(written, *KEY).write.mode("overwrite").parquet(f"{out_dir}/manifest/v={n + 1}")
     manifest = spark.read.schema(written.schema).parquet(f"{out_dir}/manifest/v={n + 1}")
     discovered = crawl.select(*KEY).unionByName(resources.select(*KEY)).distinct().withColumn(
         "path", F.lit(None).cast("string"))
-    saved = manifest.where(F.col("written") & ~F.col("unsafe")).select(
+    # a URL whose file stands already, from this or an earlier run, is complete with that file
+    saved = manifest.where(~F.col("unsafe")).select(
         "crawl_id", "url", F.col("final_path").alias("path"))
     state, done = S.upsert_paths(url_state.unionByName(discovered).groupBy("crawl_id", "url").agg(
         F.max("path").alias("path")), completed, saved)

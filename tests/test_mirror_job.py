@@ -75,3 +75,31 @@ def test_pages_are_assigned_without_a_join(spark):
     assert sorted(r.url for r in got.collect()) == ["https://b.org/", "https://ex.com/a", "https://ex.com/a"]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert assign_pages(pages, []).count() == 0
+
+
+def test_a_later_run_never_writes_a_file_of_an_earlier_one(spark):
+    root = "https://ex.com/"
+    first = [(root, '<a href="/a">a</a><a href="/a.html">late</a><a href="/n">n</a>', "text/html", None),
+             ("https://ex.com/a", "first a", "text/html", None)]
+    later = [*first, ("https://ex.com/a.html", "other a", "text/html", None), ("https://ex.com/n", "new", "text/html", None),
+             ("https://ex.com/n.html", "unlinked", "text/html", None)]
+    out = f"{checkpoint_dir(spark)}/mirror-job-{uuid.uuid4().hex[:8]}"
+    s1 = run_mirror(spark, _pages(spark, first), [root], out).first()
+    assert (s1.visited, s1.completed, s1.pending, s1.failed) == (4, 2, 2, 2)
+    s2 = run_mirror(spark, _pages(spark, later), [root], out, force=True).first()
+    assert (s2.visited, s2.completed, s2.pending, s2.complete) == (4, 4, 0, True)
+    assert {r.url: r.path for r in spark.read.parquet(f"{out}/mirror/v=2").collect()} == {"https://ex.com/n": "ex.com/n.html"}
+    m = {r.url: r for r in spark.read.parquet(f"{out}/manifest/v=2").collect()}
+    assert not m["https://ex.com/a.html"].written and m["https://ex.com/a.html"].writer_url == "https://ex.com/a"
+    state = {r.url: r.path for r in spark.read.parquet(f"{out}/state/url_state/v=2").collect()}
+    assert state["https://ex.com/a.html"] == state["https://ex.com/a"] == "ex.com/a.html"
+
+
+def test_urls_of_one_file_in_one_run_are_all_complete(spark):
+    root = "https://ex.com/"
+    pages = [(root, '<a href="/a">a</a><a href="/a.html">b</a>', "text/html", None), ("https://ex.com/a", "1", "text/html", None),
+             ("https://ex.com/a.html", "2", "text/html", None)]
+    out = f"{checkpoint_dir(spark)}/mirror-job-{uuid.uuid4().hex[:8]}"
+    s = run_mirror(spark, _pages(spark, pages), [root], out).first()
+    assert (s.completed, s.pending, s.complete) == (3, 0, True)
+    assert spark.read.parquet(f"{out}/mirror/v=1").count() == 2
