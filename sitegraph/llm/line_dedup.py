@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,20 +33,44 @@ def line_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of ``(hi, lo, n_docs)`` in a shared folder."""
+    """Levelled sorted runs of ``(hi, lo, n_docs)`` in a shared folder.
+
+    Every batch leaves a manifest of the runs that count; a store opened again
+    with its ``path`` goes on behind the last batch that was added whole.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4, path: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path = path or scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
         self._made = 0
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            kept = self.spark.read.schema("level int, run int, v int").parquet(f"{self.path}/manifest").collect()  # one row a run and batch
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                raise
+            return
+        last = max(r.v for r in kept)
+        self._made = last
+        for r in sorted((r for r in kept if r.v == last), key=lambda r: r.run):
+            while len(self.levels) <= r.level:
+                self.levels.append([])
+            self.levels[r.level].append(f"{self.path}/level={r.level}/run={r.run}")
+
+    def _save(self) -> None:
+        live = [(level, int(p.rsplit("=", 1)[1])) for level, paths in enumerate(self.levels) for p in paths]
+        self.spark.createDataFrame(live, "level int, run int").coalesce(1).write.parquet(f"{self.path}/manifest/v={self._made}")
 
     def _write(self, counts: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         run = f"{self.path}/level={level}/run={self._made}"
         self._made += 1
-        counts.repartitionByRange(shuffle_partitions(self.spark), *HASH).sortWithinPartitions(*HASH).write.option(
+        counts.repartitionByRange(shuffle_partitions(self.spark), *HASH).sortWithinPartitions(*HASH).write.mode("overwrite").option(
             "compression", "zstd").parquet(run)
         self.levels[level].append(run)
 
@@ -71,6 +96,7 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             self._write(self._merged(full), level + 1)
             level += 1
+        self._save()
 
 
 @F.pandas_udf(LINES)

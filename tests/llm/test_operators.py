@@ -474,3 +474,22 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, str(tmp_path))
         assert none.count() == 0, name
+
+
+def test_line_runs_are_opened_again_behind_the_last_whole_batch(spark, tmp_path):
+    def batch(k):
+        return spark.range(60).select((F.col("id") * 7 % 40 + k).alias("hi"), F.col("id").alias("lo"), F.lit(1).cast("long").alias("n_docs"))
+
+    straight = line_dedup.LineRuns(spark, 3, fanout=2, path=str(tmp_path / "a"))
+    for k in range(5):
+        straight.add(batch(k % 2))
+    for k in range(5):
+        store = line_dedup.LineRuns(spark, 3, fanout=2, path=str(tmp_path / "b"))
+        store.add(batch(k % 2))
+    batch(9).write.parquet(f"{store.path}/level=0/run={store._made}")  # a batch that broke off before its manifest
+    again = line_dedup.LineRuns(spark, 3, fanout=2, path=store.path)
+    assert [len(x) for x in again.levels] == [len(x) for x in straight.levels]
+    assert sorted(map(tuple, again.counts().collect())) == sorted(map(tuple, straight.counts().collect()))
+    again.add(batch(1))
+    straight.add(batch(1))
+    assert sorted(map(tuple, again.settled().collect())) == sorted(map(tuple, straight.settled().collect()))
