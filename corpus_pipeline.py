@@ -21,9 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, *reads: str) -> DataFrame:
     """The columns a stage reads, and the whole row as the struct ``_row``: no further column can clash."""
-    return docs.select("doc_id", "source", "text", row_struct(docs).alias("_row"))
+    return docs.select(*reads, row_struct(docs).alias("_row"))
 
 
 def _unpacked(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies are left to the next stage: counted here, ten of them would lose every line.
     """
-    kept = line_dedup.line_dedup(_packed(docs), min_docs=MIN_DOCS, copies_count=False)
+    kept = line_dedup.line_dedup(_packed(docs, "text"), min_docs=MIN_DOCS, copies_count=False)
     return _unpacked(kept, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
@@ -47,7 +47,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: left out, once, or repeated rows."""
-    rows = _packed(docs)
+    rows = _packed(docs, "doc_id", "source", "text")
     mixed = mixing.mix(rows, F.array("source"), mixing.word_count(text_of()), F.col("doc_id"), REPEATS, carry={"_row": F.col("_row")})
     return _unpacked(mixed.where(F.col("copies") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)
