@@ -76,7 +76,7 @@ def claim_urls(batch: DataFrame, active: DataFrame, key: Sequence[str] = KEY) ->
     return batch.select(*key).distinct().join(active.select(*key), list(key), "left_anti")
 
 
-def _attempt_class(status, error):
+def attempt_class(status, error):
     """ok / retry_server / retry_network / fail for one attempt."""
     return (
         F.when(status == 200, F.lit("ok"))
@@ -102,7 +102,7 @@ def fetch_outcome(log: DataFrame, url: str = "url", by: Sequence[str] = ()) -> D
     keys = [*by, url]
     # one row per (url, attempt) first (deterministic on duplicates), so a URL's group is at most five rows
     tries = log.where(F.col("attempt").between(1, MAX_ATTEMPTS)).groupBy(*keys, F.col("attempt").cast("int").alias("n")) \
-        .agg(F.min(F.struct(_attempt_class(F.col("status"), F.col("error")).alias("cls"),
+        .agg(F.min(F.struct(attempt_class(F.col("status"), F.col("error")).alias("cls"),
                             F.col("content_type").alias("ct"))).alias("t"))
     rows = tries.select(*keys, F.struct("n", F.col("t.cls").alias("cls"), F.col("t.ct").alias("ct")).alias("a"))
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("a")).alias("tries"))

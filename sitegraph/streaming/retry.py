@@ -1,30 +1,35 @@
 """T4: the fetcher's retry schedule as keyed streaming state.
 
-Attempts ``(url, attempt, status, error, content_type)`` stream in; state per
-URL holds the next expected attempt, the backoff so far and any attempt that
-arrived early. When an attempt ends the loop (200, a non-retryable status or
-error, or the fifth attempt) the URL's outcome is emitted once, equal to the
-batch operator ``frontier.fetch_outcome``; of a finished URL only a small marker
-stays, so repeated and late attempts emit nothing (no timers: an
-``availableNow`` run ends). State therefore grows with the URLs seen.
-The per-URL work is a handful of
-rows (five attempts at most), so the pandas step is a small helper on a
-bounded group; Spark shuffles the attempts by URL and keeps the state
-(RocksDB) across micro-batches and restarts.
+Attempts ``(url, attempt, status, error, content_type)`` stream in, in any
+order. Per URL, typed state variables (RocksDB) hold the loop's progress (next
+expected attempt, backoff so far), the attempts that arrived early, and, once
+the loop has ended, a marker. When an attempt ends the loop (200, a status or
+error that is not retried, or the fifth attempt) the URL's outcome is emitted
+once, equal to the batch operator ``frontier.fetch_outcome`` on a log without
+gaps; progress and early attempts are then freed and the marker keeps repeated
+and late attempts from emitting anything more.
+
+Two options bound the state by processing time. ``keep_done_s`` lets markers
+expire (an attempt that comes later than that would start its URL anew).
+``stalled_after_s`` sets a timer with every attempt that leaves the URL open: when it
+fires, the URL is emitted as ``pending`` with the attempts it had and is then finished.
+
+Spark deals the attempts by URL and keeps the state across micro-batches and
+restarts. The step is a helper over the few rows of one URL: attempt numbers
+outside 1 to 5 are ignored, and of an attempt seen twice the smaller
+``(kind, content type)`` counts within a micro-batch and the first across them.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from sitegraph.operators.frontier import FIRST_DELAY_S, MAX_ATTEMPTS, RETRY_ERRORS
+from sitegraph.operators.frontier import FIRST_DELAY_S, MAX_ATTEMPTS, attempt_class
 from sitegraph.streaming.discovery import use_rocksdb_state
 
 LOG_SCHEMA = T.StructType([
@@ -37,55 +42,77 @@ OUT_SCHEMA = T.StructType([
     T.StructField("attempts", T.LongType()), T.StructField("backoff_s", T.LongType()),
     T.StructField("content_type", T.StringType()),
 ])
-STATE_SCHEMA = T.StructType([
-    T.StructField("next_n", T.IntegerType()), T.StructField("backoff", T.LongType()),
-    T.StructField("done", T.BooleanType()), T.StructField("early", T.StringType()),
-])
 
 
-def _classify(status, error) -> str:
-    if status is not None and not pd.isna(status):
-        s = int(status)
-        if s == 200:
-            return "ok"
-        return "retry_server" if 500 <= s <= 599 else "fail"
-    return "retry_network" if error in RETRY_ERRORS else "fail"
-
-
-def _advance(key: dict, pdfs, state):
-    next_n, backoff, done, early = (state.get if state.exists else (1, 0, False, "{}"))
-    if done:  # outcome already emitted: repeated and late attempts change nothing
-        return
-    waiting = {int(k): v for k, v in json.loads(early or "{}").items()}
-    for pdf in pdfs:
-        for a, s, e, ct in zip(pdf["attempt"], pdf["status"], pdf["error"], pdf["content_type"]):
-            waiting.setdefault(int(a), [None if pd.isna(s) else int(s), e, ct])
-    emitted = None
-    while not done and next_n in waiting:
-        s, e, ct = waiting.pop(next_n)
-        cls = _classify(s, e)
-        if cls in ("ok", "fail"):
-            emitted = ("ok" if cls == "ok" else "failed", next_n, backoff, ct)
-            done = True
-            break
-        if cls == "retry_server" or next_n < MAX_ATTEMPTS:
-            backoff += FIRST_DELAY_S << (next_n - 1)
-        if next_n >= MAX_ATTEMPTS:
-            emitted = ("failed", next_n, backoff, ct)
-            done = True
-            break
-        next_n += 1
-    # a finished URL keeps a marker without attempts, so its outcome is emitted once only
-    state.update((next_n, backoff, done, "{}" if done else json.dumps({str(k): v for k, v in waiting.items()})))
-    if emitted:
-        yield pd.DataFrame([{**key, "outcome": emitted[0], "attempts": emitted[1],
-                             "backoff_s": emitted[2], "content_type": emitted[3]}])
-
-
-def _stepper(names):
-    def step(key, pdfs, state):
-        yield from _advance(dict(zip(names, key)), pdfs, state)
-    return step
+class RetryLoop(StatefulProcessor):
+    """The retry loop of one key; its rows carry ``attempt``, ``kind`` (see ``attempt_class``) and ``content_type``."""
+
+    def __init__(self, names: Sequence[str], keep_done_s: int | None = None, stalled_after_s: int | None = None):
+        self.names, self.keep_done_s, self.stalled_after_s = list(names), keep_done_s, stalled_after_s
+        self.out = Row(*self.names, "outcome", "attempts", "backoff_s", "content_type")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "next_n int, backoff long, content_type string")
+        self.early = handle.getMapState("early", "attempt int", "kind string, content_type string")
+        self.done = handle.getValueState("done", "at_attempt int", self.keep_done_s and self.keep_done_s * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        tries: dict[int, tuple] = {}
+        for r in rows:
+            n, t = r.attempt, (r.kind, r.content_type)
+            if n not in tries or _order(t) < _order(tries[n]):
+                tries[n] = t
+        if self.done.exists():
+            return
+        n, backoff, ct = self.progress.get() or (1, 0, None)
+        first = n
+        while True:
+            step = self.early.getValue((n,)) if self.early.containsKey((n,)) else tries.get(n)
+            if step is None:
+                break
+            kind, ct = step
+            sleeps = kind == "retry_server" or (kind == "retry_network" and n < MAX_ATTEMPTS)
+            backoff += FIRST_DELAY_S << (n - 1) if sleeps else 0
+            if kind in ("ok", "fail") or n == MAX_ATTEMPTS:
+                yield self._finish(key, "ok" if kind == "ok" else "failed", n, backoff, ct)
+                return
+            n += 1
+        for later, t in tries.items():
+            if later > n and not self.early.containsKey((later,)):
+                self.early.updateValue((later,), t)
+        for used in range(first + 1, n):
+            if self.early.containsKey((used,)):
+                self.early.removeKey((used,))
+        self.progress.update((n, backoff, ct))
+        if self.stalled_after_s:
+            self._drop_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stalled_after_s * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.progress.exists():
+            n, backoff, ct = self.progress.get()
+            yield self._finish(key, "pending", n - 1, backoff, ct)
+
+    def _finish(self, key, outcome, attempts, backoff, content_type) -> Row:
+        self.progress.clear()
+        self.early.clear()
+        self.done.update((attempts,))
+        if self.stalled_after_s:
+            self._drop_timers()
+        return self.out(*key, outcome, attempts, backoff, content_type)
+
+    def _drop_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def _order(t: tuple) -> tuple:
+    """Nulls first, as Spark orders structs."""
+    return tuple((x is not None, x or "") for x in t)
 
 
 def _with_keys(schema: T.StructType, by) -> T.StructType:
@@ -94,19 +121,27 @@ def _with_keys(schema: T.StructType, by) -> T.StructType:
 
 def start_retry_stream(spark: SparkSession, log_dir: str, sink_dir: str, checkpoint: str,
                        available_now: bool = True, max_files_per_trigger: int | None = None,
-                       by: Sequence[str] = ()) -> StreamingQuery:
+                       by: Sequence[str] = (), keep_done_s: int | None = None,
+                       stalled_after_s: int | None = None) -> StreamingQuery:
     """Start the outcome stream from attempt files in ``log_dir`` into ``sink_dir`` (Parquet).
 
-    ``by`` (string columns such as ``crawl_id``) keeps the attempts of many crawls apart.
+    ``by`` (string columns such as ``crawl_id``) keeps the attempts of many
+    crawls apart. ``keep_done_s`` and ``stalled_after_s`` (see above) need a
+    stream that goes on, so they are refused with ``available_now``.
     """
+    timed = bool(keep_done_s or stalled_after_s)
+    if timed and available_now:
+        raise ValueError("keep_done_s and stalled_after_s need available_now=False")
     use_rocksdb_state(spark)
     reader = spark.readStream.schema(_with_keys(LOG_SCHEMA, by))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    log = reader.parquet(log_dir)
     keys = [*by, "url"]
-    out = log.groupBy(*keys).applyInPandasWithState(
-        _stepper(keys), _with_keys(OUT_SCHEMA, by), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    log = reader.parquet(log_dir).where(F.col("attempt").between(1, MAX_ATTEMPTS)).select(
+        *keys, "attempt", attempt_class(F.col("status"), F.col("error")).alias("kind"), "content_type")
+    out = log.groupBy(*keys).transformWithState(
+        RetryLoop(keys, keep_done_s, stalled_after_s), _with_keys(OUT_SCHEMA, by), "Append",
+        "ProcessingTime" if timed else "None")
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint))
     if available_now:

@@ -183,3 +183,70 @@ def test_stream_discovery_into_state(spark):
     batch = SD.discovered_links(pages).select("crawl_id", "url")
     assert st.where(F.col("path").isNotNull()).count() == 0
     assert st.select("crawl_id", "url").exceptAll(batch).count() == 0 and batch.exceptAll(st.select("crawl_id", "url")).count() == 0
+
+
+LOG = "crawl_id string, url string, attempt int, status int, error string, content_type string"
+
+
+def _retry_steps(spark, base, batches, **options):
+    """One file a micro-batch; the stream is stopped and started again in between."""
+    for rows in batches:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{base}/log")
+        SR.start_retry_stream(spark, f"{base}/log", f"{base}/out", f"{base}/ckpt", by=["crawl_id"], **options).awaitTermination()
+    return [tuple(r) for r in spark.read.parquet(f"{base}/out").select("crawl_id", "url", "outcome", "attempts", "backoff_s", "content_type").collect()]
+
+
+def test_stream_retry_over_restarts_with_early_repeated_and_late_attempts(spark, tmp_path):
+    batches = [
+        [("a", "u", 3, 200, None, "x"), ("a", "u", 3, 503, None, "y"), ("a", "v", 5, None, "timeout", None),
+         ("a", "v", 4, None, "payload", None), (None, "w", 1, 200, None, "n"), ("a", None, 1, 404, None, "m")],
+        [("a", "u", 2, 500, None, "p"), ("a", "v", 1, 503, None, None), ("a", "v", 0, 200, None, "?"), ("a", "v", None, 200, None, "?")],
+        [("a", "u", 1, 500, None, "q"), ("a", "v", 2, None, "timeout", None), ("a", "z", 1, None, "dns", None)],
+        [("a", "u", 1, 200, None, "late"), ("a", "v", 3, 599, None, "r"), ("a", "v", 6, 200, None, "?"), ("b", "u", 2, 200, None, "early")],
+        [("a", "u", 4, 200, None, "late"), ("a", "v", 5, 200, None, "repeated")],
+    ]
+    got = _retry_steps(spark, str(tmp_path), batches)
+    # of the two third attempts at u in one micro-batch the smaller (kind, content type) counts: "ok" before "retry_server"
+    assert sorted(got, key=repr) == sorted([
+        ("a", "u", "ok", 3, 3, "x"), ("a", "v", "failed", 5, 15, None), (None, "w", "ok", 1, 0, "n"),
+        ("a", None, "failed", 1, 0, "m"), ("a", "z", "failed", 1, 0, None)], key=repr)
+
+
+def test_stream_retry_frees_the_state_of_finished_urls(spark, tmp_path):
+    early = [("a", f"u{i}", n, 503, None, "x") for i in range(40) for n in (2, 3)]
+    ends = [("a", f"u{i}", 1, 503, None, "x") for i in range(40)] + [("a", f"u{i}", 4, 200, None, "x") for i in range(30)]
+
+    def state(name):
+        frames = spark.read.format("statestore").option("path", f"{tmp_path}/ckpt").option("stateVarName", name)
+        return frames.load().count()
+
+    _retry_steps(spark, str(tmp_path), [early])
+    assert (state("progress"), state("done")) == (40, 0)
+    got = _retry_steps(spark, str(tmp_path), [ends])
+    assert len(got) == 30 and {r[2:] for r in got} == {("ok", 4, 7, "x")}
+    assert (state("progress"), state("done")) == (10, 30)  # the open URLs have used all early attempts
+    assert state("early") == 0
+
+
+def test_stream_retry_times(spark, tmp_path):
+    with pytest.raises(ValueError):
+        SR.start_retry_stream(spark, "x", "y", "z", stalled_after_s=1)
+    import time
+
+    spark.createDataFrame([("a", "stalls", 1, 503, None, "x"), ("a", "ends", 1, 200, None, "x")], LOG).write.parquet(f"{tmp_path}/log")
+    query = SR.start_retry_stream(spark, f"{tmp_path}/log", f"{tmp_path}/out", f"{tmp_path}/ckpt", available_now=False,
+                                  by=["crawl_id"], stalled_after_s=2)
+    want = {("ends", "ok", 1, 0), ("stalls", "pending", 1, 1)}
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if query.exception():
+                raise query.exception()
+            got = {(r.url, r.outcome, r.attempts, r.backoff_s) for r in
+                   spark.read.schema(SR._with_keys(SR.OUT_SCHEMA, ["crawl_id"])).parquet(f"{tmp_path}/out").collect()} \
+                if (tmp_path / "out" / "_spark_metadata").exists() else set()
+            if got == want:
+                break
+    finally:
+        query.stop()
+    assert got == want
