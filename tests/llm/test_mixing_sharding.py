@@ -1,15 +1,18 @@
 """Mixing and sharding against plain versions; pipeline stages on tables with clashing columns."""
 
 import collections
+import hashlib
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitegraph.llm import mixing, sharding
+from sitegraph.llm import mixing, quality, sharding, tokens
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -36,7 +39,11 @@ def plain_copies(spark, rows, seed=42):
     df = spark.createDataFrame(rows, SCHEMA)
     size = mixing.word_count(F.coalesce("text", F.lit("")))
     tie = F.xxhash64(F.lit("tie"), "doc_id", "text", "source", size)
-    keyed = [tuple(r) for r in df.select("doc_id", "text", "source", size, F.xxhash64(F.lit(seed), F.col("doc_id"), tie), tie).collect()]
+    return copies_of(tuple(r) for r in df.select("doc_id", "text", "source", size, F.xxhash64(F.lit(seed), F.col("doc_id"), tie), tie).collect())
+
+
+def copies_of(keyed):
+    """``(id, text, source, size, copies)`` of rows ``(id, text, source, size, order, tie)``."""
     by = collections.defaultdict(list)
     for r in keyed:
         by[r[2]].append(r)
@@ -158,3 +165,110 @@ def test_quality_stage_keeps_columns_of_any_name(spark):
     out = corpus_pipeline.quality_stage(spark, wide, "/root/testdata/sf0.001")
     assert out.columns == wide.columns and out.count() == corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001").count()
     assert all(tuple(r)[-len(EXTRA):] == tuple(f"{c}!" for c in EXTRA) for r in out.collect())
+
+
+# ------------------------------------------------------------------ pipeline rows
+
+BLANK = "\x20\t\n\x0b\x0c\r"
+
+
+def plain_score(model, text):
+    """Calibrated mean of the lines' marginals, by forward and backward sums of logarithms."""
+    features, sizes, _ = quality.line_features([text])  # the features and the fit are the library's
+    odds = np.clip(features @ model.weights, -30, 30)
+    own = np.stack([np.zeros(len(odds)), odds], 1)
+    fwd, back = own.copy(), np.zeros_like(own)
+    for i in range(1, len(own)):
+        fwd[i] += np.logaddexp(fwd[i - 1, 0] + model.trans[0], fwd[i - 1, 1] + model.trans[1])
+    for i in range(len(own) - 2, -1, -1):
+        back[i] = [np.logaddexp.reduce(model.trans[k] + own[i + 1] + back[i + 1]) for k in (0, 1)]
+    both = fwd + back
+    good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+    p = float(np.average(good, weights=sizes + 1))
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift)))
+
+
+def plain_lines(rows):
+    """Without the keys that ten different texts share; ``n_chars`` follows the text."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    seen = collections.defaultdict(set)
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            seen[line.strip(BLANK).translate(low)].add(r["text"] or "")
+    gone = {k for k, texts in seen.items() if k and len(texts) >= 10}
+    for r in rows:
+        text = "\n".join(x for x in (r["text"] or "").split("\n") if x.strip(BLANK).translate(low) not in gone)
+        yield {**r, "text": text, "n_chars": len(text)}
+
+
+def plain_fingerprint(text):
+    w = re.findall(b"[^\x20\x09-\x0d]+", text.encode().lower())
+    h = [xxhash.xxh64_intdigest(b" ".join(w[k:k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_one_of_each(rows):
+    """The row of the smallest id, null last, then of the smallest text hash, in every group of close fingerprints."""
+    fps = [plain_fingerprint(r["text"]) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if group[i] != group[j] and (a ^ fps[j]).bit_count() <= 3:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+
+    def place(r):
+        h = xxhash.xxh64_intdigest(r["text"].encode(), 42)
+        return r["doc_id"] is None, r["doc_id"] or 0, h - (h >> 63 << 64)
+
+    best = {}
+    for g, r in zip(group, rows, strict=True):
+        best[g] = min(best.get(g, r), r, key=place)
+    return list(best.values())
+
+
+def plain_mix(spark, rows, schema):
+    """Copies by the plain rule; the seeded order is taken from Spark's hash function."""
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    size = mixing.word_count(F.col("text"))
+    tie = F.xxhash64(F.lit("tie"), F.struct(*df.columns), size)
+    keyed = [tuple(r) for r in df.select("doc_id", "text", "source", size, F.xxhash64(F.lit(42), F.col("doc_id"), tie), tie).collect()]
+    assert all(r[3] == len(re.findall("[^\x20\x09-\x0d]+", r[1])) for r in keyed)
+    return list(copies_of(keyed))
+
+
+def planted(spark, path):
+    """The documents of sf0.001 with copies, small edits, shared lines, null and empty texts, and a null id."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in docs.orderBy("doc_id").collect()]
+    top = max(r["doc_id"] for r in rows)
+    more = [{**r, "text": "Read More  \n" + r["text"] + "\n\tREAD MORE"} for r in rows[:14]]
+    more += [dict(r) for r in rows[20:40]] + [dict(rows[41]) for _ in range(30)]
+    more += [{**r, "text": r["text"] + " end"} for r in rows[50:70]]
+    more += [{**rows[0], "text": None}, {**rows[1], "text": ""}, {**rows[2], "source": None}, {**rows[3], "text": " \n\t"}]
+    rows += [{**r, "doc_id": top + 1 + k} for k, r in enumerate(more)] + [{**rows[5], "doc_id": None, "text": "An id is missing here."}]
+    spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    return rows, docs.schema
+
+
+def test_pipeline_rows_match_a_plain_version_of_all_stages(spark, tmp_path):
+    rows, schema = planted(spark, tmp_path)
+    model = quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = [plain_score(model, r["text"] or "") for r in rows]
+    assert min(abs(s - .5) for s in scores) > 1e-9
+    good = [r for r, s in zip(rows, scores, strict=True) if s >= .5]
+    lines = list(plain_lines(good))
+    near = plain_one_of_each(lines)
+    mixed = plain_mix(spark, near, schema)
+    assert len(rows) > len(good) > len(near) and any(a["text"] != b["text"] for a, b in zip(good, lines, strict=True))
+    assert len({c for *_, c in mixed}) > 1
+    tok = tokens.pieces(tokens.default_tokenizer()).tok
+    want = []
+    for i, text, _, _, copies in mixed:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        raw, back = np.array(ids, "<u4").tobytes(), tok.decode(ids, skip_special_tokens=False).encode()
+        want += [(i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest())] * copies
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
