@@ -109,13 +109,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group. Null ids sort after all others. Of rows that tie in all of this
     exactly one is ``kept``. An empty table gives an empty result; further
     columns are ignored. Range borders fall inside a group too, so no group has
-    to fit one task; the splitters are short (16 characters, hash, length, id).
+    to fit one task, nor do rows equal in all columns: the row's number in the
+    input is the last key. The splitters are short (16 characters, hash, length, id, number).
     """
     spark = docs.sparkSession
     t = text_of(text_col)
     base = only(docs, doc_id=F.col(id_col).cast("long"), norm=normalised(t), n_chars=F.length(t).cast("long"))
-    base = base.select("*", F.substring("norm", 1, 16).alias("_p"), F.xxhash64("norm").alias("_h"))
-    tail = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
+    base = base.select("*", F.substring("norm", 1, 16).alias("_p"), F.xxhash64("norm").alias("_h"),
+                       F.monotonically_increasing_id().alias("_n"))
+    tail = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), F.col("_n")]
     dealt = base.repartitionByRange(partitions or shuffle_partitions(spark), "_p", "_h", *tail)
     ordered = dealt.sortWithinPartitions("_p", "_h", "norm", *tail)
     runs = stored(ordered.select("norm", "doc_id", "n_chars").mapInArrow(_runs, RUN_SCHEMA), "exact")
