@@ -5,6 +5,8 @@ Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - S.distance(a, b) / F.lit(64.0)
 
 
-def _bucket(key: Column, splitters: list[float]) -> Column:
+def _bucket(key: Column, splitters: list[int]) -> Column:
     """Number of splitters that are <= key, by binary search in the constant array."""
     if not splitters:
         return F.lit(0)
-    arr = F.array(*[F.lit(int(s)) for s in splitters])
+    arr = F.array(*[F.lit(s) for s in splitters]).cast("array<long>")
     step, steps = 1, []
     while step <= len(splitters):
         steps.append(step)
@@ -35,22 +37,32 @@ def _bucket(key: Column, splitters: list[float]) -> Column:
         F.get(arr, at + s - 1) <= key, at + s).otherwise(at))
 
 
+def dealt_by_id(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
+    """Adds ``_b``, the id range of a row: about ``buckets`` ranges, in the order of the ids, by sampled splitters.
+
+    An id that fills several ranges gets one of its own, cut into 64
+    ranges of ``_h``. Null ids are dealt by ``_h`` to 64 numbers below 0.
+    """
+    top, parts = (1 << 63) - 1, 64
+    probs = [k / buckets for k in range(1, buckets)]
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull())
+    found = [min(int(i), top) for i in ids.approxQuantile(id_col, probs, 1 / (4 * buckets))]
+    hot = [i for i, n in Counter(found).items() if n > 1]
+    splitters = sorted({*found, *[min(i + 1, top) for i in hot]})
+    part = F.shiftright("_h", 58).cast("int") + 32  # the six upper bits, in the order of _h
+    return docs.withColumn("_b", F.when(F.col(id_col).isNotNull(), _bucket(F.col(id_col), splitters) * parts + F.when(
+        F.col(id_col).isin(hot), part).otherwise(0)).otherwise(-1 - F.pmod(F.col("_h"), F.lit(parts)).cast("int")))
+
+
 def with_next(docs: DataFrame, id_col: str, carry: list[str], buckets: int) -> DataFrame:
     """Adds ``next_<c>`` for every carried column: its value in the next row by descending id, cyclically.
 
-    ``docs`` needs ``id_col`` (long) and ``_h`` (long, orders equal ids). Sampled
-    splitters deal the rows into ``buckets`` id ranges, so no task holds more
-    than a range; each range's successor row is sent along as a guest. The
-    driver sees ``buckets`` ids. Null ids come last, dealt by ``_h``.
+    ``docs`` needs ``id_col`` (long) and ``_h`` (long, orders equal ids). The
+    rows are dealt into id ranges, so no task holds more than a range; each
+    range's successor row is sent along as a guest. The driver sees one small
+    row per range. Null ids come last.
     """
-    ids = docs.select(id_col)
-    probs = [k / buckets for k in range(1, buckets)]
-    found = ids.where(F.col(id_col).isNotNull()).approxQuantile(id_col, probs, 1 / (4 * buckets))
-    splitters = sorted(set(found))
-    null_parts = 64
-    bucket = F.when(F.col(id_col).isNotNull(), _bucket(F.col(id_col), splitters)).otherwise(
-        -1 - F.pmod(F.col("_h"), F.lit(null_parts)).cast("int"))
-    dealt = docs.withColumn("_b", bucket)
+    dealt = dealt_by_id(docs, id_col, buckets)
     order = F.struct(F.col(id_col).isNotNull(), F.col(id_col), F.col("_h"))
     firsts = dealt.groupBy("_b").agg(F.max(order).alias("m")).select(
         "_b", F.col("m")[id_col].alias("id"), F.col("m")["_h"].alias("h")).collect()  # one small row per bucket

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sitegraph.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, quality, sharding, simhash_dedup
 from sitegraph.llm import simhash, token_files, tokens
-from sitegraph.llm.common import text_of
+from sitegraph.llm.common import stored, text_of
 
 WS = " \t\n\x0b\x0c\r"
 COMMON = "Shared line of many pages"
@@ -107,6 +107,24 @@ def test_fingerprints(spark, docs, rows, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_next_row_of_an_id_on_most_rows(spark):
+    ids = [7] * 900 + [6, 8, None, None, 2**63 - 1, 2**53 + 1] * 3 + list(range(100, 160))
+    rows = [(i, k * 0x9E3779B97F4A7C15 % 2**64 - 2**63, f"v{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, _h long, v string")
+    got = {r.v: r.next_v for r in fingerprints.with_next(df, "doc_id", ["v"], 16).collect()}
+    with_id = sorted((r for r in rows if r[0] is not None), key=lambda r: r[:2], reverse=True)
+    nulls = [r[2] for r in rows if r[0] is None]
+    assert len(got) == len(rows)
+    assert [got[r[2]] for r in with_id[:-1]] == [r[2] for r in with_id[1:]]
+    at, ring = got[with_id[-1][2]], []
+    while at in nulls:  # the null ids follow in an order of their own and lead back to the largest id
+        ring.append(at)
+        at = got[at]
+    assert sorted(ring) == sorted(nulls) and at == with_id[0][2]
+    ranges = fingerprints.dealt_by_id(df, "doc_id", 16).groupBy("_b").count().collect()
+    assert max(r["count"] for r in ranges) < 100  # 900 rows of one id, cut by _h
+
+
 def test_votes_of_many_terms_match_a_plain_count(spark):
     words = [f"w{i % 97}" for i in range(1000)]
     df = spark.createDataFrame([(" ".join(words),)], "t string").select(
@@ -137,6 +155,22 @@ def test_exact_dedup_of_one_huge_group_and_repeated_rows(spark):
     assert len(got) == 3000 and {(r.keep_id, r.group_size) for r in got} == {(0, 3000)} and sum(r.kept for r in got) == 1
 
 
+def test_exact_dedup_spreads_rows_equal_in_all_columns(spark, monkeypatch):
+    runs = []
+
+    def kept(df, name):
+        runs.append(stored(df, name))
+        return runs[-1]
+
+    monkeypatch.setattr(exact_dedup, "stored", kept)
+    df = spark.range(0, 100_000, 1, 5).select(F.lit(4).cast("long").alias("doc_id"), F.lit("one row, many times").alias("text"))
+    got = exact_dedup.exact_dedup(df, partitions=10).groupBy("keep_id", "group_size").agg(
+        F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert [tuple(r) for r in got] == [(4, 100_000, 100_000, 1)]
+    tasks = [r["count"] for r in runs[0].groupBy("pid").count().collect()]
+    assert len(tasks) == 10 and max(tasks) < 20_000
+
+
 def test_line_dedup(docs, rows, empty):
     found = collections.Counter(k for _, t, *_ in rows for k in {_key(x) for x in (t or "").split("\n")})
     got = line_dedup.line_dedup(docs, min_docs=10).collect()
