@@ -1,5 +1,6 @@
 """Replay crawl and streaming: fixture counts, batch-size independence, stream equals batch."""
 
+import random
 import uuid
 
 import pytest
@@ -250,3 +251,46 @@ def test_stream_retry_times(spark, tmp_path):
     finally:
         query.stop()
     assert got == want
+
+
+def _queue(links, start, priority, k):
+    """The bounded queue itself: found URLs with depth, priority and parent, and the number of rounds."""
+    found, popped, n = {start: (0, 0, None)}, set(), 0
+    while batch := sorted((p, d, u) for u, (d, p, _) in found.items() if u not in popped)[:k]:
+        n += 1
+        popped.update(u for *_, u in batch)
+        new = {}
+        for p, d, u in batch:
+            for v in links.get(u, ()):
+                if v not in found:
+                    new[v] = min(new.get(v, (d, p, u)), (d, p, u))
+        found.update({v: (d + 1, priority(v), u) for v, (d, _, u) in new.items()})
+    return found, n
+
+
+def test_steps_of_many_rounds_equal_the_queue_round_by_round(spark, monkeypatch):
+    rnd = random.Random(5)
+    names = [f"http://h/{rnd.choice(['', '', 'blog', 'top'])}{i}" for i in range(110)]
+    links = {u: rnd.sample(names, rnd.choice([1, 2, 3, 9])) for u in rnd.sample(names, 90)}
+    links[names[0]] = rnd.sample(names, 12)
+    pages = spark.createDataFrame([(c, u, "".join(f'<a href="{v}">' for v in to)) for c in ("c", "d") for u, to in links.items()],
+                                  "crawl_id string, url string, html string")
+    starts = [("c", names[0]), ("d", next(u for u in links if u != names[0]))]
+    priority = lambda u: 0 if "top" in u else 1 if "blog" in u else 2
+    edges = C.page_links(pages, spark.createDataFrame(starts, "crawl_id string, url string"), ["top", "blog"]).cache()
+    seeds = spark.createDataFrame(starts, "crawl_id string, url string")
+    jobs = []
+    for k, size in ((3, {}), (12, {"entries": 14, "links_most": 20})):
+        steps = []
+        monkeypatch.setattr(C, "_pop_rounds", lambda *a, pop=C._pop_rounds, steps=steps: steps.append(a) or pop(*a))
+        got, open_ = C._best_first(spark, edges, seeds, k, **size)
+        monkeypatch.undo()
+        rounds = 0
+        for crawl, start in starts:
+            want, n = _queue(links, start, priority, k)
+            rounds = max(rounds, n)
+            rows = {r.url: (r.depth, r.priority, r.parent) for r in got.where(F.col("crawl_id") == crawl).collect()}
+            assert rows == want
+        assert open_.count() == 0
+        jobs.append((rounds, len(steps)))
+    assert jobs[0][0] > 25 and jobs[0][1] < 8 and all(steps <= rounds for rounds, steps in jobs)
