@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,20 @@ from sitegraph.session import checkpoint_dir
 
 HUBS = 62  # per graph: one bit of a long each
 ANCESTORS = 64  # listed per component
+PART_ROWS, LEAST_PARTS = 50_000, 12  # edges in a partition of a flow; its least number of partitions
+
+
+@contextmanager
+def _parts(spark: SparkSession, rows: int):
+    """Plans made inside shuffle into as many partitions as ``rows`` need, without AQE, so that checkpoints keep their partitioning."""
+    was = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(was["spark.sql.shuffle.partitions"]), max(LEAST_PARTS, rows // PART_ROWS))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 def flow(edges: DataFrame, values: DataFrame, merge: Callable[[Column, Column], Column], total: Callable[[str], Column]) -> DataFrame:
@@ -31,17 +46,25 @@ def flow(edges: DataFrame, values: DataFrame, merge: Callable[[Column, Column],
 
     ``total`` merges the values that reach a node, ``merge`` those with its
     own; a round sends only values that changed. All nodes must have a value.
+
+    Edges and values are dealt and sorted by their node once and stay so: a
+    round shuffles what is sent and nothing else.
     """
-    edges = G.materialize(G.partitioned(edges.select("a", "b"), "a"), keep_partitioning=True)
-    state = values.select("node", "v", F.lit(True).alias("changed"))
-    while True:
-        sent = state.where("changed").select(F.col("node").alias("a"), "v").join(edges, "a").groupBy(F.col("b").alias("node")).agg(total("v").alias("w"))
-        met = state.join(sent, "node", "left").select("node", "v", F.coalesce(merge(F.col("v"), F.col("w")), "v").alias("w"))
-        seen = Observation(f"changed-{uuid.uuid4().hex[:8]}")
-        state = met.select("node", F.col("w").alias("v"), (F.col("w") != F.col("v")).alias("changed")).observe(
-            seen, F.count_if("changed").alias("n")).checkpoint()
-        if not seen.get["n"]:
-            return state.select("node", "v")
+    spark = edges.sparkSession
+    edges, n = G.checkpoint_counted(edges.select("a", "b"))
+    with _parts(spark, n):
+        edges = G.materialize(G.partitioned(edges, "a").sortWithinPartitions("a"), keep_partitioning=True)
+        state = G.materialize(G.partitioned(values.select("node", "v", F.lit(True).alias("changed")), "node").sortWithinPartitions("node"),
+                              keep_partitioning=True)
+        while True:
+            sent = state.where("changed").select(F.col("node").alias("a"), "v").join(edges.hint("merge"), "a").groupBy(
+                F.col("b").alias("node")).agg(total("v").alias("w"))
+            met = state.join(sent.hint("merge"), "node", "left").select("node", "v", F.coalesce(merge(F.col("v"), F.col("w")), "v").alias("w"))
+            seen = Observation(f"changed-{uuid.uuid4().hex[:8]}")
+            state = met.select("node", F.col("w").alias("v"), (F.col("w") != F.col("v")).alias("changed")).observe(
+                seen, F.count_if("changed").alias("n")).checkpoint()
+            if not seen.get["n"]:
+                return state.select("node", "v")
 
 
 def _greatest(edges: DataFrame, values: DataFrame) -> DataFrame:

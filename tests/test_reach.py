@@ -6,6 +6,7 @@ import pytest
 
 from sitegraph.operators import graph as G
 from sitegraph.operators import reach as R
+from sitegraph.plans import fixtures as FX
 
 
 def _plain(pairs):
@@ -66,3 +67,29 @@ def test_no_edges_and_unknown_nodes(spark, graph):
                                   "crawl_id string, start string, end string")
     assert [tuple(r) for r in R.reach_pairs(spark, graph, asked).collect()] == [("bow", "in1", "out5")]
     assert R.reach_pairs(spark, graph.where("false"), asked).count() == 0
+
+
+def test_a_round_of_a_flow_shuffles_only_what_is_sent(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 2), (9, 9)], "a long, b long")
+    values = spark.createDataFrame([(i, 10 - i if i else 3) for i in range(10)], "node long, v long")
+    rounds, plain = [], type(edges).checkpoint
+
+    def checkpoint(df, *args, **kw):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "SortMergeJoin" in plan or "Join" in plan:
+            rounds.append(plan.count("Exchange"))
+        return plain(df, *args, **kw)
+
+    monkeypatch.setattr(type(edges), "checkpoint", checkpoint)
+    got = {r.node: r.v for r in R._greatest(edges, values).collect()}
+    assert got == {0: 3, 1: 9, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9, 7: 3, 8: 2, 9: 1}
+    assert len(rounds) > 4 and set(rounds) == {1}
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_closed_site_parses_the_html_once(spark):
+    pages = spark.createDataFrame([(i, f"https://h.org/p{i}", '<a href="/a"><a class="x" href="/b">') for i in range(4)],
+                                  "page_id long, url string, html string")
+    site, edges = FX.closed_site(pages)
+    assert not any("regexp_extract_all" in df._jdf.queryExecution().analyzed().toString() for df in (site, edges))
+    assert edges.count() == 9 and site.count() == 4
