@@ -111,8 +111,9 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
     (sums over the row's sources) and ``copies`` (0 to ``repeats``).
 
     Documents come whole: in the seeded order as many as fit, then the one whose
-    size comes nearest to what is still open. A row of size 0 is taken as
-    often as its pattern's rows are taken whole. Rows that share a key are
+    size comes nearest to what is still open. A row of size 0 before
+    the cut is taken once more than its pattern's rows are taken whole, but not
+    more than ``repeats`` times. Rows that share a key are
     ordered by what ``carry`` holds and their size; rows equal in that, too, may
     differ in ``copies`` only at the cut, so reruns give equal results however
     the table is dealt. The targets share the documents' total, each counted
@@ -180,4 +181,4 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, repeats: in
     pick = F.broadcast(spark.createDataFrame(best, "_k int, _pick long"))
     extra = F.col("_extra") | (F.col("_uid") == F.coalesce("_pick", F.lit(-1)))
     return chosen.join(pick, "_k", "left").select(*cols, "size", "source_size", "target",
-                                                  (F.col("_whole") + extra.cast("long")).alias("copies"))
+                                                  F.least(F.col("_whole") + extra.cast("long"), F.lit(repeats).cast("long")).alias("copies"))
