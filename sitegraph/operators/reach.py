@@ -41,19 +41,22 @@ def _parts(spark: SparkSession, rows: int):
             spark.conf.set(key, value)
 
 
-def flow(edges: DataFrame, values: DataFrame, merge: Callable[[Column, Column], Column], total: Callable[[str], Column]) -> DataFrame:
+def flow(edges: DataFrame, values: DataFrame, merge: Callable[[Column, Column], Column], total: Callable[[str], Column],
+         n: int | None = None) -> DataFrame:
     """``values(node, v)`` after every value has flowed along ``edges(a, b)`` until nothing changes.
 
     ``total`` merges the values that reach a node, ``merge`` those with its
     own; a round sends only values that changed. All nodes must have a value.
+    ``n`` is the number of edges, if known; else they are written once more to count them.
 
     Edges and values are dealt and sorted by their node once and stay so: a
     round shuffles what is sent and nothing else.
     """
     spark = edges.sparkSession
-    edges, n = G.checkpoint_counted(edges.select("a", "b"))
+    if n is None:
+        edges, n = G.checkpoint_counted(edges.select("a", "b"))
     with _parts(spark, n):
-        edges = G.materialize(G.partitioned(edges, "a").sortWithinPartitions("a"), keep_partitioning=True)
+        edges = G.materialize(G.partitioned(edges.select("a", "b"), "a").sortWithinPartitions("a"), keep_partitioning=True)
         state = G.materialize(G.partitioned(values.select("node", "v", F.lit(True).alias("changed")), "node").sortWithinPartitions("node"),
                               keep_partitioning=True)
         while True:
@@ -67,12 +70,12 @@ def flow(edges: DataFrame, values: DataFrame, merge: Callable[[Column, Column],
                 return state.select("node", "v")
 
 
-def _greatest(edges: DataFrame, values: DataFrame) -> DataFrame:
-    return flow(edges, values, F.greatest, F.max)
+def _greatest(edges: DataFrame, values: DataFrame, n: int | None = None) -> DataFrame:
+    return flow(edges, values, F.greatest, F.max, n)
 
 
-def _bits(edges: DataFrame, values: DataFrame) -> DataFrame:
-    return flow(edges, values, lambda a, b: a.bitwiseOR(b), F.bit_or)
+def _bits(edges: DataFrame, values: DataFrame, n: int | None = None) -> DataFrame:
+    return flow(edges, values, lambda a, b: a.bitwiseOR(b), F.bit_or, n)
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -100,12 +103,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if not n:
             break
         nodes = live.select(F.col("a").alias("node")).unionByName(live.select(F.col("b").alias("node"))).distinct()
-        colour = _greatest(live, nodes.select("node", F.col("node").alias("v"))).withColumnRenamed("v", "c")
+        colour = _greatest(live, nodes.select("node", F.col("node").alias("v")), n).withColumnRenamed("v", "c")
         same = live.join(colour.withColumnRenamed("node", "a"), "a").join(
             colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where(F.col("c") == F.col("cb")).select("a", "b")
-        same, _ = G.checkpoint_counted(same)
+        same, n = G.checkpoint_counted(same)
         back = _greatest(same.select(F.col("b").alias("a"), F.col("a").alias("b")), colour.select(
-            "node", F.when(F.col("c") == F.col("node"), F.col("c")).otherwise(F.lit(-1)).alias("v")))
+            "node", F.when(F.col("c") == F.col("node"), F.col("c")).otherwise(F.lit(-1)).alias("v")), n)
         member = back.where(F.col("v") >= 0).select("node", F.col("v").alias("component"))
         found.append(member)
         gone = member.select("node")
@@ -138,48 +141,56 @@ def _ancestors(dag: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 def reach_pairs(spark: SparkSession, edges: DataFrame, asked: DataFrame, by: Sequence[str] = ("crawl_id",),
                 hubs: int = HUBS, ancestors: int = ANCESTORS) -> DataFrame:
-    """The pairs ``(*by, start, end)`` of ``asked``, start and end different, whose end can be reached over ``edges(*by, src, dst)``.
+    """The pairs ``(*by, start, end)`` of ``asked``, start and end different, whose end can be reached over ``edges(*by, src, dst)``."""
+    asked = G.materialize(asked.select(*by, "start", "end").distinct().withColumn("id", F.monotonically_increasing_id()))
+    return asked.join(reach_ids(spark, edges, asked, by, hubs, ancestors), "id", "left_semi").select(*by, "start", "end")
+
+
+def reach_ids(spark: SparkSession, edges: DataFrame, asked: DataFrame, by: Sequence[str] = ("crawl_id",),
+              hubs: int = HUBS, ancestors: int = ANCESTORS) -> DataFrame:
+    """The ``id`` of each row of ``asked(id, *by, start, end)``, start and end different, whose end can be reached over ``edges(*by, src, dst)``.
 
     Work grows with edges and pairs, and with starts times reach only for pairs
     that no label decides: those whose end has more than ``ancestors``
     ancestors beside the hubs. ``hubs`` (at most 62) counts per graph.
+
+    URLs are shuffled to number the nodes and to look the numbers up, nowhere else.
     """
     checkpoint_dir(spark)
     by = list(by)
-    links = edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    nodes = links.select(*by, F.col("src").alias("url")).unionByName(links.select(*by, F.col("dst").alias("url"))).distinct()
-    nodes = G.materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    links = edges.select(*by, "src", "dst").where(F.col("src") != F.col("dst"))
+    nodes = G.materialize(G.graph_nodes(links, by).withColumn("node", F.monotonically_increasing_id()))
 
-    def numbers(df, name, out):
-        return df.join(nodes.select(*by, F.col("url").alias(name), F.col("node").alias(out)), [*by, name])
+    def numbered(df, names, of, number):
+        """``df`` with each column in ``names`` replaced by the number that ``of`` has for its URL."""
+        for name, out in names.items():
+            df = df.join(of.select(*by, F.col("url").alias(name), F.col(number).alias(out)), [*by, name]).drop(name)
+        return df.drop(*by)
 
-    e = G.materialize(numbers(numbers(links, "src", "a"), "dst", "b").select("a", "b"))
+    e = G.materialize(numbered(links, {"src": "a", "dst": "b"}, nodes, "node").distinct())
     component = nodes.join(strong_components(e), "node", "left").select(*by, "url", "node", F.coalesce("component", "node").alias("c"))
     component = G.materialize(component)
     of = component.select("node", "c")
     dag = e.join(of.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(
         of.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    dag = G.materialize(dag.where(F.col("a") != F.col("b")).distinct())
-
-    def comp(df, name, out):
-        return df.join(component.select(*by, F.col("url").alias(name), F.col("c").alias(out)), [*by, name])
+    dag, n_dag = G.checkpoint_counted(dag.where(F.col("a") != F.col("b")).distinct())
 
-    q = asked.select(*by, "start", "end").where(F.col("start") != F.col("end")).distinct()
-    q = G.materialize(comp(comp(q, "start", "cs"), "end", "ce"))
+    q = asked.select("id", *by, "start", "end").where(F.col("start") != F.col("end"))
+    q = G.materialize(numbered(q, {"start": "cs", "end": "ce"}, component, "c"))
     together = q.where(F.col("cs") == F.col("ce"))
     apart = q.where(F.col("cs") != F.col("ce")).select("cs", "ce").distinct()
 
     # hubs: the components with most edges in times edges out, a bit each
     degree = dag.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("out")).join(
         dag.groupBy(F.col("b").alias("c")).agg(F.count(F.lit(1)).alias("into")), "c")
-    graphs = component.select(*by, "c").distinct()
+    graphs = component.where(F.col("node") == F.col("c")).select(*by, "c")  # a component bears the number of one of its nodes
     rank = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy((F.col("out") * F.col("into")).desc(), "c"))
     hub = degree.join(graphs, "c").withColumn("k", rank).where(F.col("k") <= hubs).select("c", F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.col("k") - 1).alias("bit"))
     hub = G.materialize(hub)
     own = graphs.select("c").join(hub, "c", "left").select(F.col("c").alias("node"), F.coalesce("bit", F.lit(0).cast("long")).alias("v"))
-    over = _bits(dag, own)  # hubs above
-    under = _bits(dag.select(F.col("b").alias("a"), F.col("a").alias("b")), own)  # hubs below
+    over = _bits(dag, own, n_dag)  # hubs above
+    under = _bits(dag.select(F.col("b").alias("a"), F.col("a").alias("b")), own, n_dag)  # hubs below
     met = apart.join(under.select(F.col("node").alias("cs"), F.col("v").alias("down")), "cs").join(
         over.select(F.col("node").alias("ce"), F.col("v").alias("up")), "ce")
     met = G.materialize(met.select("cs", "ce", (F.col("down").bitwiseAND(F.col("up")) != 0).alias("hit")))
@@ -200,4 +211,4 @@ def reach_pairs(spark: SparkSession, edges: DataFrame, asked: DataFrame, by: Seq
                           left.select("start"), by=(), wanted=left).select("start", F.col("url").alias("end"))
             hits = hits.unionByName(found.join(left, ["start", "end"], "left_semi").select(
                 F.col("start").cast("long").alias("cs"), F.col("end").cast("long").alias("ce")))
-    return together.unionByName(q.join(hits.distinct(), ["cs", "ce"], "left_semi").select(together.columns)).select(*by, "start", "end")
+    return together.select("id").unionByName(q.join(hits, ["cs", "ce"], "left_semi").select("id"))

@@ -93,3 +93,24 @@ def test_closed_site_parses_the_html_once(spark):
     site, edges = FX.closed_site(pages)
     assert not any("regexp_extract_all" in df._jdf.queryExecution().analyzed().toString() for df in (site, edges))
     assert edges.count() == 9 and site.count() == 4
+
+
+def test_the_questions_are_computed_once(spark, graph):
+    nodes = G.graph_nodes(graph)
+    rows = nodes.withColumnRenamed("url", "start").join(nodes.where("crawl_id = 'two'").withColumnRenamed("url", "end"), "crawl_id")
+    n, read = rows.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = G.has_path(spark, graph, rows.mapInArrow(counted, rows.schema)).collect()
+    assert len(got) == n and read.value == n  # three times before, with the shuffles below them
+
+
+def test_repeated_and_null_questions_all_have_an_answer(spark, graph):
+    asked = spark.createDataFrame([("two", "x", "w", 1), ("two", "x", "w", 2), ("two", "w", "x", 3), ("two", None, "x", 4), (None, "x", "w", 5),
+                                   ("two", "q", "q", 6), ("two", "no", "no", 7)], "crawl_id string, start string, end string, id int")
+    got = {r.id: r.reachable for r in G.has_path(spark, graph, asked).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: False}
