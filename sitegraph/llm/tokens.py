@@ -18,7 +18,6 @@ import numpy as np
 BLANKS = re.compile("[ \\n]+")
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*%$#&]*)")  # letters, then signs that the pre-tokenizer cuts off
 MAX_PIECES = 600_000  # pieces remembered per process; beyond it the table starts anew
-MAX_WORDS = 1_000_000  # likewise for words without signs and case
 
 
 def default_tokenizer() -> str:
@@ -35,7 +34,10 @@ def _byte_table() -> dict[int, int]:
 
 
 class Pieces(dict):
-    """Piece -> ids as little-endian unsigned 32-bit bytes; unknown pieces are encoded by the library."""
+    """Piece -> ids as little-endian unsigned 32-bit bytes; unknown pieces are encoded by the library.
+
+    A lower-case word and a run of signs are pieces too: what longer pieces are made of stands in the same table.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,14 +55,13 @@ class Pieces(dict):
         self.by_piece = norm == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
         self.table = _byte_table()
         self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
-        self.words: dict[str, bytes] = {}
 
     def _word(self, w: str) -> bytes:
-        got = self.words.get(w)
+        got = self.get(w)
         if got is None:
             plain = w if w.isascii() else w.encode().decode("latin1").translate(self.table)  # printable ASCII stands for itself
             of = self.bytes_of
-            got = self.words[w] = b"".join([of[t.id] for t in self.tok.model.tokenize(plain)])
+            got = self[w] = b"".join([of[t.id] for t in self.tok.model.tokenize(plain)])
         return got
 
     def _library(self, text: str) -> bytes:
@@ -69,16 +70,11 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) > MAX_PIECES:
             self.clear()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
         m = WORD.fullmatch(piece) if len(piece) < 100 else None
         if m:
             ids = self._word(m[1].lower())
             if m[2]:
-                signs = self.words.get(m[2])
-                if signs is None:
-                    signs = self.words[m[2]] = self._library(m[2])
-                ids += signs
+                ids += self[m[2]]
         else:
             ids = self._library(piece)
         if len(piece) < 100:

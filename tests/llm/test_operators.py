@@ -527,3 +527,15 @@ def test_line_runs_are_opened_again_behind_the_last_whole_batch(spark, tmp_path)
     again.add(batch(1))
     straight.add(batch(1))
     assert sorted(map(tuple, again.settled().collect())) == sorted(map(tuple, straight.settled().collect()))
+
+
+def test_the_tokenizer_remembers_no_more_than_its_bound(monkeypatch):
+    from sitegraph.llm import tokens
+
+    monkeypatch.setattr(tokens, "MAX_PIECES", 50)
+    p = tokens.Pieces(tokens.default_tokenizer())
+    text = " ".join(f"{w}{s}" for k in range(300) for w in ("Wort" + chr(97 + k % 26) * (k // 26 + 1),) for s in ("", ".", "!?"))
+    want = p.tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(p.encode(text), dtype="<u4").tolist() == want
+    held = len(p) + sum(len(v) for k, v in vars(p).items() if isinstance(v, dict) and k != "table")
+    assert held <= 60  # words without signs had a table of their own, of a million words more
