@@ -7,6 +7,7 @@ document's quality and calibrated on the training documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -30,11 +31,39 @@ OWN = 19  # features of a line itself; the chain sees them for the line before a
 WIDTH = 3 * OWN + 2
 
 
+def parts(chars: list[int]) -> Iterator[slice]:
+    """Slices of consecutive texts of ``PART`` characters together, the last one excepted; ``chars`` holds their lengths."""
+    start, held = 0, 0
+    for k, c in enumerate(chars):
+        held += c
+        if held >= PART or k + 1 == len(chars):
+            yield slice(start, k + 1)
+            start, held = k + 1, 0
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(features, sizes, counts)``: a row and a byte length per line of all texts, and the texts' numbers of lines.
 
     Whole lines are described, however long; neighbours are those of the same text.
     """
+    own, sizes, counts = own_features(texts)
+    return chained(own, counts), sizes, counts
+
+
+def chained(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The features of every line: its own, those of the line before and the line after, whether it repeats the former, and 1."""
+    out = np.empty((len(own), WIDTH))
+    out[:, :OWN] = own[:, :OWN]
+    out[1:, OWN:2 * OWN], out[:-1, 2 * OWN:3 * OWN] = own[:-1, :OWN], own[1:, :OWN]
+    ends = np.cumsum(counts)
+    out[ends - counts, OWN:2 * OWN] = 0  # the first line of a text
+    out[ends - 1, 2 * OWN:3 * OWN] = 0  # the last
+    out[:, -2], out[:, -1] = own[:, OWN], 1
+    return out
+
+
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(own, sizes, counts)`` as ``line_features``, without the neighbours; the last column: equal to the line before."""
     per_text = [t.encode().split(b"\n") for t in texts]
     counts = np.array([len(x) for x in per_text], dtype=np.int64)
     lines = [x for part in per_text for x in part]
@@ -45,7 +74,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     arr = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8) if n else np.zeros(0, dtype=np.uint8)
     kinds = CLASS[arr]
     line_of = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
-    own = np.zeros((n, OWN))
+    own = np.zeros((n, OWN + 1))
     per = 1 / np.maximum(sizes, 1)
     table = np.bincount(line_of.astype(np.int64) * 8 + kinds, minlength=8 * n).reshape(n, 8)
     table[:, 3] -= 1  # the line end itself
@@ -83,13 +112,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     own[:, 16] = distinct * 2 < words
     own[:, 17] = signed * 4 > words
     own[:, 18] = words < 4
-    top = np.cumsum(counts) - counts  # first line of each text
-    before, after, same = np.zeros_like(own), np.zeros_like(own), np.zeros(n)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    same[1:] = [a == b for a, b in zip(lines, lines[1:], strict=False)]
-    before[top], same[top] = 0, 0
-    after[np.cumsum(counts) - 1] = 0
-    return np.hstack([own, before, after, same[:, None], np.ones((n, 1))]), sizes, counts
+    own[1:, OWN] = [a == b for a, b in zip(lines, lines[1:], strict=False)]
+    own[np.cumsum(counts) - counts, OWN] = 0  # the first line of a text
+    return own, sizes, counts
 
 
 @dataclass
@@ -118,17 +143,11 @@ class Crf:
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """Per text the mean of its lines' marginals, weighted by line length plus one."""
-        out, part, held = [], [], 0
-        for k, t in enumerate(texts):
-            part.append(t)
-            held += len(t)
-            if held >= PART or k + 1 == len(texts):
-                out.append(self._raw(part))
-                part, held = [], 0
+        out = [self.averages(*line_features(texts[s])) for s in parts([len(t) for t in texts])]
         return np.concatenate(out) if out else np.zeros(0)
 
-    def _raw(self, texts: list[str]) -> np.ndarray:
-        features, sizes, counts = line_features(texts)
+    def averages(self, features: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """``raw`` of texts that ``line_features`` has described."""
         odds = np.exp(np.clip(features @ self.weights, -30, 30)).tolist()
         good, at = [], 0
         for n in counts.tolist():
@@ -147,9 +166,11 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.1, decay: float = 2e-3) -> Crf:
+def fit(own: np.ndarray, sizes: np.ndarray, counts: np.ndarray, chars: list[int], labels: list[int], rounds: int = 60,
+        rate: float = 0.1, decay: float = 2e-3) -> Crf:
     """Maximum likelihood with every line of a document labelled as the document, by Adam on whole passes.
 
+    The documents come as ``own_features`` describes them, with their numbers of characters; no text is needed.
     With fewer than two classes the chain is left at zero and the score is the
     share of label 1 (0.5 without labels).
     """
@@ -157,21 +178,22 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.1
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Crf(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, float(_logit(share)))
-    x, _, counts = line_features(texts)
+    z = chained(own, counts)
     order = np.argsort(-counts, kind="stable")
     lens, y = counts[order], y[order]
     first = (np.cumsum(counts) - counts)[order]
     steps = int(lens[0])
     alive = [int((lens > t).sum()) for t in range(steps)]  # documents that have a line t, longest first
     rows = [first[:n] + t for t, n in enumerate(alive)]
-    target = np.zeros(len(x))
+    target = np.zeros(len(z))
     for t, n in enumerate(alive):
         target[rows[t]] = y[:n]
     # a document weighs as one however many lines it has, up to a slow growth
     doc_w = 1 / np.sqrt(lens)
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    mean, spread = z.mean(axis=0), z.std(axis=0) + 1e-6
     mean[-1], spread[-1] = 0, 1  # the constant
-    z = (x - mean) / spread
+    z -= mean
+    z /= spread
     theta, m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     total = doc_w.sum()
     for it in range(1, rounds + 1):
@@ -186,7 +208,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.1
         for t in range(steps):
             n_next = alive[t + 1] if t + 1 < steps else 0
             norm[n_next:alive[t]] = np.logaddexp(fwd[t][n_next:, 0], fwd[t][n_next:, 1])
-        g_u, g_t = np.zeros(len(x)), np.zeros((2, 2))
+        g_u, g_t = np.zeros(len(z)), np.zeros((2, 2))
         back = np.zeros((alive[-1], 2))
         for t in range(steps - 1, -1, -1):
             n = alive[t]
@@ -209,8 +231,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.1
     w = theta[:WIDTH] / spread
     w[-1] -= (theta[:WIDTH] * mean / spread).sum()
     model = Crf(w, theta[WIDTH:].reshape(2, 2).copy())
-    raw = _logit(model.raw(texts))
-    model.slope, model.shift = _calibrated(raw, np.array(labels, dtype=float))
+    del z
+    raw, stop = [], np.cumsum(counts)
+    for s in parts(chars):
+        at = slice(stop[s.start] - counts[s.start], stop[s.stop - 1])
+        raw.append(model.averages(chained(own[at], counts[s]), sizes[at], counts[s]))
+    model.slope, model.shift = _calibrated(_logit(np.concatenate(raw)), np.array(labels, dtype=float))
     return model
 
 
@@ -238,7 +264,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null labels and ids are left out; of several labels for an id the mean
     counts (0.5 and more: 1); of several rows of an id the first text by order.
+
+    The tasks describe the lines; the driver gets 168 bytes for each line of the
+    chosen documents, however long it is, and no text.
     """
+    def describe(batches):
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            chars = [len(t) for t in texts]
+            for s in parts(chars):
+                own, sizes, counts = own_features(texts[s])
+                cuts = np.cumsum(counts)[:-1]
+                per_text = [[x.tobytes() for x in np.split(a, cuts)] for a in (own, sizes)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[s.start:s.stop], b.column("y")[s.start:s.stop], pa.array(
+                    chars[s], pa.int64()), *[pa.array(x, pa.binary()) for x in per_text]], ["doc_id", "y", "chars", "own", "sizes"])
+
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isNotNull()).where(~is_held_out("doc_id")).groupBy("doc_id").agg(
         (F.avg("y") >= 0.5).cast("int").alias("y"))
@@ -248,8 +288,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [(r.doc_id, r.y) for r in sample.collect()]  # at most max_train pairs of numbers
     chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, y int")
     got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.first("y").alias("y"))
-    data = sorted(got.collect())
-    return fit([r.t for r in data], [r.y for r in data])
+    data = got.mapInArrow(describe, "doc_id long, y int, chars long, own binary, sizes binary").collect()
+    data.sort(key=lambda r: r.doc_id)
+    sizes = np.frombuffer(b"".join(r.sizes for r in data), dtype=np.int64)
+    own = np.frombuffer(b"".join(r.own for r in data)).reshape(len(sizes), OWN + 1)
+    counts = np.array([len(r.sizes) // 8 for r in data], dtype=np.int64)
+    chars, y = [r.chars for r in data], [r.y for r in data]
+    del data
+    return fit(own, sizes, counts, chars, y)
 
 
 def score_documents(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

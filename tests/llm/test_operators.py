@@ -8,6 +8,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -466,6 +467,37 @@ def test_quality_on_held_out_documents(spark, docs, empty):
     assert {r.doc_id for r in kept} == {r.doc_id for r in got if r.predicted}
 
 
+def test_quality_training_keeps_texts_off_the_driver(spark):
+    """About 200 training documents of two lines, 40 KB each: the driver must not hold these 8 MB, nor arrays of that size."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(
+        F.repeat(F.when(F.col("id") % 2 == 0, "BUY!! now$ ").otherwise("a river flows. "), 1600), F.lit("\n"),
+        F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 5000)).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels)
+        assert tracemalloc.get_traced_memory()[1] < 5e6
+    finally:
+        tracemalloc.stop()
+    got = quality.score_documents(docs, model).collect()
+    assert len(got) == 300 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_quality_lines_described_in_parts_equal_the_whole(monkeypatch):
+    rnd = random.Random(8)
+    texts = ["\n".join(rnd.choices(["", "a b. a b.", "a b. a b.", "BUY!! naïve 12 |", "\t x"], k=rnd.randint(1, 7))) for _ in range(60)] + [""]
+    whole, sizes, counts = quality.line_features(texts)
+    monkeypatch.setattr(quality, "PART", 40)
+    cuts = list(quality.parts([len(t) for t in texts]))
+    assert len(cuts) > 5 and [k for s in cuts for k in range(s.start, s.stop)] == list(range(len(texts)))
+    each = [quality.own_features(texts[s]) for s in cuts]
+    own = np.concatenate([e[0] for e in each])
+    assert np.array_equal(quality.chained(own, counts), whole)
+    assert all(np.array_equal(np.concatenate([e[k] for e in each]), x) for k, x in ((1, sizes), (2, counts)))
+    for t, s in zip(texts, np.split(whole, np.cumsum(counts)[:-1]), strict=True):
+        assert np.array_equal(quality.line_features([t])[0], s)
+
+
 def test_crf_marginals_and_gradient_match_enumeration():
     rnd = np.random.default_rng(7)
     m = quality.Crf(np.zeros(quality.WIDTH), rnd.normal(size=(2, 2)))
