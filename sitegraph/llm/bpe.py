@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import only, stored, text_of
+from sitegraph.llm.common import only, stored, text_of, values
 from sitegraph.llm.tokens import default_tokenizer, pieces
 
 MASK_BITS = 9  # a cut every 512 bytes on average
@@ -65,7 +65,7 @@ def keys(data: bytes, ends: list[int]) -> np.ndarray:
 
 def _chunk_counts(batches):
     for b in batches:
-        found = [keys(d, cuts(d)) for d in (t.encode() for t in b.column("t").to_pylist())]
+        found = [keys(d, cuts(d)) for d in (t.encode() for t in values(b.column("t")))]
         if sum(map(len, found)):
             k, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n)], ["k1", "k2", "n"])
@@ -202,7 +202,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
             def each():
                 for b in batches:
-                    for i, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                    for i, t in zip(values(b.column("doc_id")), values(b.column("t")), strict=True):
                         ids = p.encode(t)
                         yield (i, ids, p.decode(ids)), 3 * len(ids)
             yield from _flushed(DONE, each())
@@ -212,7 +212,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     def documents(batches):
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+            for i, t in zip(values(b.column("doc_id")), values(b.column("t")), strict=True):
                 data = t.encode()
                 ends = cuts(data)
                 k = keys(data, ends)
@@ -257,7 +257,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
         def each():
             for b in batches:
-                for k1, k2, c in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "chunk")), strict=True):
+                for k1, k2, c in zip(*(values(b.column(x)) for x in ("k1", "k2", "chunk")), strict=True):
                     ids = _pack(p.encode(c), wide)
                     yield (k1, k2, ids), len(ids)
         yield from _flushed(schema, each())
@@ -267,7 +267,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
         def each():
             for b in batches:
-                for i, fixed, holes, got in zip(*(b.column(x).to_pylist() for x in ("doc_id", "fixed", "holes", "got")), strict=True):
+                for i, fixed, holes, got in zip(*(values(b.column(x)) for x in ("doc_id", "fixed", "holes", "got")), strict=True):
                     chunks = {g["j"]: g["ids"] for g in got or []}
                     out = [fixed[0]]
                     for j, h in enumerate(holes):

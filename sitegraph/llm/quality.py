@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -318,8 +317,8 @@ def score_documents(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, model: Crf, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, with all columns; only the text is sent to Python."""
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(text.tolist()))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.score(text.slice(k, 256).to_pylist()) for k in range(0, len(text), 256))]))
 
     return docs.where(score(text_of(text_col)) >= threshold)

@@ -13,13 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import named, only, row_struct, stored, text_of
+from sitegraph.llm.common import named, only, row_struct, stored, text_of, values
 from sitegraph.llm.simhash import block_keys, block_masks, to_hex
 from sitegraph.operators.graph import checkpoint_counted
 
 SLICE = 1024  # members of a bucket that are compared with one another in one go
 HASHES = 1 << 16  # shingle hashes unpacked to bits at a time
 SALTS = 64  # keys over which the rows of one group are spread
+CHUNK = 1 << 16  # links that are joined up in one go
 
 
 def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -53,7 +54,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, fp`` (signed long) of every row, and the long columns ``carry``."""
     def run(batches):
         for b in batches:
-            fps = np.array([simhash(t, shingle, seed) for t in b.column("t").to_pylist()], dtype=np.uint64)
+            fps = np.array([simhash(t, shingle, seed) for t in values(b.column("t"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *map(b.column, names)],
                                              ["doc_id", "fp", *names])
 
@@ -138,15 +139,52 @@ def spread_join(rows: DataFrame, classes: DataFrame, key: str, salt: str) -> Dat
     return spread.join(keys, [key, "_salt"]).drop("_salt")
 
 
+def _joined_up(batches):
+    """Every ``CHUNK`` links of a task as stars: each end but the least of its connected ones, with the least."""
+    parent, held = {}, 0
+
+    def find(k):
+        while (p := parent.setdefault(k, k)) != k:
+            parent[k] = k = parent[p]
+        return k
+
+    def stars():
+        ends = [(k, r) for k in list(parent) if (r := find(k)) != k]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
+
+    for b in batches:
+        for u, v in zip(values(b.column("u")), values(b.column("v")), strict=True):
+            p, q = find(u), find(v)
+            parent[max(p, q)] = min(p, q)
+            held += 1
+            if held == CHUNK:
+                yield stars()
+                parent.clear()
+                held = 0
+    yield stars()
+
+
+def _chunks(n: int) -> int:
+    """Tasks for ``n`` links."""
+    return -(-n // CHUNK)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(fp, root)`` for every end of an edge: all connected ones share a root (large-star, small-star rounds).
 
+    First every ``CHUNK`` links are joined up on the spot, each chunk by itself;
+    the rounds then connect the chunks. A round's links are read and written in
+    as many tasks as they fill chunks, not in one for every shuffle partition:
+    each of these takes memory pages however few its rows.
+
     Each round is checkpointed in the shared folder; the driver sees one row
     count a round. Ends when a round changes nothing; the number of rounds
     grows with the logarithm of the longest path.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, n = checkpoint_counted(both)
+    if n:
+        cur, n = checkpoint_counted(cur.coalesce(_chunks(n)).mapInArrow(_joined_up, "u long, v long"))
     while n:
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(sym, "u", "v", "m", "v").where("v > u").select(
@@ -154,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = with_least(large, "u", "v", "m", "v")
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt, n_next = checkpoint_counted(small)
+        nxt, n_next = checkpoint_counted(small.coalesce(_chunks(n)))
         same = n_next == n and nxt.join(cur, ["u", "v"], "left_anti").isEmpty()
         cur, n = nxt, n_next
         if same:

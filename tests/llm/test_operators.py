@@ -12,6 +12,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sitegraph.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, quality, sharding, simhash_dedup
 from sitegraph.llm import simhash, token_files, tokens
-from sitegraph.llm.common import stored, text_of
+from sitegraph.llm.common import stored, text_of, values
 
 WS = " \t\n\x0b\x0c\r"
 COMMON = "Shared line of many pages"
@@ -369,6 +370,49 @@ def test_components_of_hubs_and_chains(spark):
     assert got == want | {k: 20_000 for k in range(20_000, 20_041)}
 
 
+def test_components_of_few_links_take_few_tasks_and_rounds(spark, monkeypatch):
+    counted, parts = simhash_dedup.checkpoint_counted, []
+
+    def noted(df):
+        out, n = counted(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out, n
+
+    monkeypatch.setattr(simhash_dedup, "checkpoint_counted", noted)
+    names = random.Random(5).sample(range(-10**12, 10**12), 300)  # a path in no order of its numbers, and a hub
+    links = list(zip(names, names[1:])) + [(names[0], 10**13 + k) for k in range(100)] + [(10**14, 10**14 + 1)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    want = dict.fromkeys(set(names) | {10**13 + k for k in range(100)}, min(names)) | dict.fromkeys((10**14, 10**14 + 1), 10**14)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.fp: r.root for r in simhash_dedup.components(edges).collect()} == want
+        assert len(parts) <= 4 and set(parts[1:]) == {1}  # not a task for every shuffle partition, nor a round for every doubling of the path
+        monkeypatch.setattr(simhash_dedup, "CHUNK", 150)  # three chunks: the rounds connect them
+        parts.clear()
+        assert {r.fp: r.root for r in simhash_dedup.components(edges).collect()} == want
+        assert parts[1] == 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert simhash_dedup.components(edges.where("a = b")).count() == 0
+
+
+def test_links_are_joined_up_chunk_by_chunk(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CHUNK", 4)
+    links = [(5, 4), (4, 3), (9, 5), (3, 1), (7, 3), (8, 7)]  # the fifth begins a new chunk
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in part]) for part in (links[:3], links[3:])]
+    got = [{(r["u"], r["v"]) for r in b.to_pylist()} for b in simhash_dedup._joined_up(batches)]
+    assert got == [{(5, 1), (4, 1), (3, 1), (9, 1)}, {(7, 3), (8, 3)}]
+    assert [b.num_rows for b in simhash_dedup._joined_up([])] == [0]
+
+
+def test_values_of_a_column_a_few_at_a_time():
+    rows = [None, "", "a", "é" * 300] * 70
+    assert list(values(pa.array(rows))) == rows == list(values(pa.array(rows), 7))
+    made = [next(values(pa.chunked_array([rows]), 1)), *values(pa.array([[b"x"], [], None]), 2)]
+    assert made == [None, [b"x"], [], None]
+
+
 def test_spread_join_of_a_frequent_key(spark):
     rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, None), (2, None)], "k long, i long")
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, name string")
