@@ -11,13 +11,17 @@ and late attempts from emitting anything more.
 
 Two options bound the state by processing time. ``keep_done_s`` lets markers
 expire (an attempt that comes later than that would start its URL anew).
-``stalled_after_s`` sets a timer with every attempt that leaves the URL open: when it
-fires, the URL is emitted as ``pending`` with the attempts it had and is then finished.
-
-Spark deals the attempts by URL and keeps the state across micro-batches and
-restarts. The step is a helper over the few rows of one URL: attempt numbers
-outside 1 to 5 are ignored, and of an attempt seen twice the smaller
-``(kind, content type)`` counts within a micro-batch and the first across them.
+``stalled_after_s`` sets a time with every attempt that leaves the URL open: when it
+has come, the URL is emitted as ``pending`` with the attempts it had and is then finished.
+
+Spark deals the URLs by hash to a fixed number of buckets and keeps the state across
+micro-batches and restarts: per bucket, maps keyed by URL. Python asks the JVM for state
+over a socket, which costs far more than the step itself, so the URLs of a
+bucket that a micro-batch holds are read together: by one pass over the
+bucket's map, or one by one where the map is much longer. The step is a helper
+over the few rows of one URL: attempt numbers outside 1 to 5 are ignored, and
+of an attempt seen twice the smaller ``(kind, content type)`` counts within a
+micro-batch and the first across them.
 """
 
 from __future__ import annotations
@@ -44,8 +48,14 @@ OUT_SCHEMA = T.StructType([
 ])
 
 
+#: URLs are dealt to so many keys of the state; a checkpoint keeps its number.
+BUCKETS = 4096
+#: A pass over a map reads about so many entries in the time of one lookup.
+PASS_ENTRIES = 4
+
+
 class RetryLoop(StatefulProcessor):
-    """The retry loop of one key; its rows carry ``attempt``, ``kind`` (see ``attempt_class``) and ``content_type``."""
+    """The retry loops of one bucket of URLs; its rows carry ``names``, ``attempt``, ``kind`` (see ``attempt_class``) and ``content_type``."""
 
     def __init__(self, names: Sequence[str], keep_done_s: int | None = None, stalled_after_s: int | None = None):
         self.names, self.keep_done_s, self.stalled_after_s = list(names), keep_done_s, stalled_after_s
@@ -53,58 +63,121 @@ class RetryLoop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "next_n int, backoff long, content_type string")
-        self.early = handle.getMapState("early", "attempt int", "kind string, content_type string")
-        self.done = handle.getValueState("done", "at_attempt int", self.keep_done_s and self.keep_done_s * 1000)
+        url = _with_keys(T.StructType(), self.names)
+        tried = _with_keys(T.StructType([T.StructField("attempt", T.IntegerType())]), self.names)
+        self.progress = handle.getMapState("progress", url, "next_n int, backoff long, content_type string, stalls_at long")
+        self.early = handle.getMapState("early", tried, "kind string, content_type string")
+        self.done = handle.getMapState("done", url, "at_attempt int", self.keep_done_s and self.keep_done_s * 1000)
+        # entries of the three maps, expired markers included
+        self.held = handle.getValueState("held", "progress long, early long, done long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        tries: dict[int, tuple] = {}
+        seen: dict[tuple, dict[int, tuple]] = {}
         for r in rows:
+            tries = seen.setdefault(tuple(r[c] for c in self.names), {})
             n, t = r.attempt, (r.kind, r.content_type)
             if n not in tries or _order(t) < _order(tries[n]):
                 tries[n] = t
-        if self.done.exists():
-            return
-        n, backoff, ct = self.progress.get() or (1, 0, None)
+        held = self.held.get() or (0, 0, 0)
+        self.n_open, self.n_early, self.n_done = held
+        done = self._known(self.done, self.n_done, seen)
+        seen = {url: tries for url, tries in seen.items() if url not in done}
+        opened = self._read(self.progress, self.n_open, seen)
+        early = self._early(opened)
+        stalls_at = timerValues.getCurrentProcessingTimeInMs() + self.stalled_after_s * 1000 if self.stalled_after_s else None
+        left_open = False
+        for url, tries in seen.items():
+            was = opened.get(url)
+            waiting = early.get(url, {})
+            out, now = self._step(url, tries, was, waiting)
+            if out:
+                yield self._finish(url, was is not None, waiting, *out)
+                continue
+            left_open = True
+            if was is None or was != (*now, stalls_at):
+                self.progress.updateValue(url, (*now, stalls_at))
+                self.n_open += was is None
+        if left_open and stalls_at and not list(self.handle.listTimers()):
+            self.handle.registerTimer(stalls_at)
+        self._hold(held)
+
+    def _step(self, url, tries, was, waiting) -> tuple[tuple | None, tuple]:
+        """The outcome of a loop that ends, and the progress of one that stays open, whose early attempts are kept."""
+        n, backoff, ct = was[:3] if was else (1, 0, None)
         first = n
         while True:
-            step = self.early.getValue((n,)) if self.early.containsKey((n,)) else tries.get(n)
+            step = waiting.get(n) or tries.get(n)
             if step is None:
                 break
             kind, ct = step
             sleeps = kind == "retry_server" or (kind == "retry_network" and n < MAX_ATTEMPTS)
             backoff += FIRST_DELAY_S << (n - 1) if sleeps else 0
             if kind in ("ok", "fail") or n == MAX_ATTEMPTS:
-                yield self._finish(key, "ok" if kind == "ok" else "failed", n, backoff, ct)
-                return
+                return ("ok" if kind == "ok" else "failed", n, backoff, ct), ()
             n += 1
         for later, t in tries.items():
-            if later > n and not self.early.containsKey((later,)):
-                self.early.updateValue((later,), t)
-        for used in range(first + 1, n):
-            if self.early.containsKey((used,)):
-                self.early.removeKey((used,))
-        self.progress.update((n, backoff, ct))
-        if self.stalled_after_s:
-            self._drop_timers()
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stalled_after_s * 1000)
+            if later > n and later not in waiting:
+                self.early.updateValue((*url, later), t)
+                self.n_early += 1
+        self._drop_early(url, [used for used in waiting if first < used < n])
+        return None, (n, backoff, ct)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.progress.exists():
-            n, backoff, ct = self.progress.get()
-            yield self._finish(key, "pending", n - 1, backoff, ct)
-
-    def _finish(self, key, outcome, attempts, backoff, content_type) -> Row:
-        self.progress.clear()
-        self.early.clear()
-        self.done.update((attempts,))
-        if self.stalled_after_s:
-            self._drop_timers()
-        return self.out(*key, outcome, attempts, backoff, content_type)
-
-    def _drop_timers(self) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
+        held = self.held.get() or (0, 0, 0)
+        self.n_open, self.n_early, self.n_done = held
+        now = timerValues.getCurrentProcessingTimeInMs()
+        timed = {url: p for url, p in self.progress.iterator() if p[3] is not None}
+        stalled = {url: p for url, p in timed.items() if p[3] <= now}
+        early = self._early(stalled)
+        for url, (n, backoff, ct, _) in stalled.items():
+            yield self._finish(url, True, early.get(url, {}), "pending", n - 1, backoff, ct)
+        if later := [p[3] for url, p in timed.items() if url not in stalled]:
+            self.handle.registerTimer(min(later))
+        self._hold(held)
+
+    def _finish(self, url, opened, waiting, outcome, attempts, backoff, content_type) -> Row:
+        if opened:
+            self.progress.removeKey(url)
+            self.n_open -= 1
+        self._drop_early(url, waiting)
+        self.done.updateValue(url, (attempts,))
+        self.n_done += 1
+        return self.out(*url, outcome, attempts, backoff, content_type)
+
+    def _drop_early(self, url, attempts) -> None:
+        for n in attempts:
+            self.early.removeKey((*url, n))
+            self.n_early -= 1
+
+    def _early(self, opened) -> dict[tuple, dict[int, tuple]]:
+        """Early attempts of open URLs."""
+        found: dict[tuple, dict[int, tuple]] = {}
+        wanted = {(*url, n) for url, p in opened.items() for n in range(p[0] + 1, MAX_ATTEMPTS + 1)}
+        for (*url, n), t in self._read(self.early, self.n_early, wanted).items():
+            found.setdefault(tuple(url), {})[n] = t
+        return found
+
+    @staticmethod
+    def _known(state, entries: int, wanted) -> set[tuple]:
+        """Which of the wanted keys a map of so many entries has."""
+        if not entries or not wanted:
+            return set()
+        if entries > PASS_ENTRIES * len(wanted):
+            return {k for k in wanted if state.containsKey(k)}
+        return {k for k in state.keys() if k in wanted}
+
+    @staticmethod
+    def _read(state, entries: int, wanted) -> dict[tuple, tuple]:
+        """The same with their values."""
+        if not entries or not wanted:
+            return {}
+        if entries > PASS_ENTRIES * len(wanted):
+            return {k: tuple(state.getValue(k)) for k in wanted if state.containsKey(k)}
+        return {k: v for k, v in state.iterator() if k in wanted}
+
+    def _hold(self, before) -> None:
+        if (held := (self.n_open, self.n_early, self.n_done)) != tuple(before):
+            self.held.update(held)
 
     def close(self) -> None:
         pass
@@ -137,9 +210,10 @@ def start_retry_stream(spark: SparkSession, log_dir: str, sink_dir: str, checkpo
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     keys = [*by, "url"]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("_bucket")
     log = reader.parquet(log_dir).where(F.col("attempt").between(1, MAX_ATTEMPTS)).select(
-        *keys, "attempt", attempt_class(F.col("status"), F.col("error")).alias("kind"), "content_type")
-    out = log.groupBy(*keys).transformWithState(
+        bucket, *keys, "attempt", attempt_class(F.col("status"), F.col("error")).alias("kind"), "content_type")
+    out = log.groupBy("_bucket").transformWithState(
         RetryLoop(keys, keep_done_s, stalled_after_s), _with_keys(OUT_SCHEMA, by), "Append",
         "ProcessingTime" if timed else "None")
     writer = (out.writeStream.format("parquet").outputMode("append")

@@ -4,6 +4,7 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sitegraph.operators import crawl as C
@@ -307,3 +308,147 @@ def test_stream_discovery_micro_batches_do_not_follow_the_number_of_files(spark,
     assert got == sorted(f"https://h.org/l{i}" for i in range(30))
     read = [p.batchId for q in started for p in q.recentProgress if p.numInputRows]
     assert len(started) > 1 and sorted(set(read)) == [0, 1, 2, 3]
+
+
+def test_stream_retry_micro_batches_do_not_follow_the_number_of_files(spark, tmp_path, monkeypatch):
+    from sitegraph.plans.catalog import QUERIES
+
+    pages = [(i, f"https://h.org/p{i}", "") for i in range(48)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    started = []
+    monkeypatch.setattr(SR, "start_retry_stream", lambda *a, start=SR.start_retry_stream, **kw: started.append(start(*a, **kw)) or started[-1])
+    got = QUERIES["stream_retry"](spark, str(tmp_path))
+    want = QUERIES["fetch_outcome"](spark, str(tmp_path))
+    assert want.count() == 48 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    read = [(p.batchId, p.numInputRows) for q in started for p in q.recentProgress if p.numInputRows]
+    assert read == [(n, 48) for n in range(5)]  # the five attempt numbers, one after the other
+
+
+def test_stream_retry_keeps_many_urls_of_a_bucket_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SR, "BUCKETS", 1)
+    ended = [("a", f"u{i}", 1, 200, None, "x") for i in range(60)] + [("b", f"u{i}", n, 503, None, "x") for i in range(60) for n in (2, 4)]
+    # few rows against a bucket that holds many: late, early, next and new
+    few = [("a", "u1", 1, 404, None, "late"), ("b", "u1", 1, 503, None, "y"), ("b", "u2", 3, 200, None, "z"), ("c", "u1", 1, 404, None, "x")]
+    rest = [("b", f"u{i}", n, 503 if n == 1 else 200, None, "y") for i in range(60) for n in (1, 3)]
+    got = _retry_steps(spark, str(tmp_path), [ended, few, rest])
+    assert sorted(got) == sorted([("a", f"u{i}", "ok", 1, 0, "x") for i in range(60)] + [("c", "u1", "failed", 1, 0, "x")]
+                                 + [("b", f"u{i}", "ok", 3, 3, "z" if i == 2 else "y") for i in range(60)])
+
+
+class _State:
+    """The state of one bucket, as a processor's handle gives it; it counts the calls."""
+
+    def __init__(self):
+        self.maps, self.calls, self.timers = {}, 0, set()
+
+    def getMapState(self, name, *schemas):
+        return self.getValueState(name)
+
+    def getValueState(self, name, *schema):
+        held = self.maps.setdefault(name, {})
+
+        def counted(f):
+            def call(*a):
+                self.calls += 1
+                return f(*a)
+            return staticmethod(call)
+
+        class Variable:
+            get = counted(lambda: held.get(None))
+            update = counted(lambda v: held.update({None: v}))
+            getValue = counted(held.__getitem__)
+            containsKey = counted(held.__contains__)
+            updateValue = counted(lambda k, v: held.update({k: v}))
+            removeKey = counted(held.__delitem__)
+            iterator = counted(lambda: iter([*held.items()]))
+            keys = counted(lambda: iter([*held]))
+        return Variable
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def _loop(**options):
+    loop, state = SR.RetryLoop(["url"], **options), _State()
+    loop.init(state)
+    return loop, state
+
+
+def _tries(*rows):
+    return iter([Row(url=u, attempt=n, kind=kind, content_type=ct) for u, n, kind, ct in rows])
+
+
+def test_retry_loop_asks_for_the_state_of_a_buckets_urls_together():
+    loop, state = _loop()
+    urls = [f"u{i}" for i in range(500)]
+    assert len([*loop.handleInputRows((0,), _tries(*((u, 1, "ok", "x") for u in urls)), None)]) == 500
+    state.calls = 0
+    assert not [*loop.handleInputRows((0,), _tries(*((u, 2, "ok", "x") for u in urls)), None)]
+    assert state.calls < 10  # not one or more a URL
+    state.calls = 0
+    assert not [*loop.handleInputRows((0,), _tries(("u7", 2, "ok", "x")), None)]
+    assert state.calls < 10 and state.maps["held"][None] == (0, 0, 500)
+
+
+def test_retry_loop_equals_the_loop_of_each_url():
+    rnd = random.Random(11)
+    kinds = ["ok", "fail", "retry_server", "retry_network", "retry_server", "retry_network"]
+    for most in (1, 3, 40):  # rows a micro-batch: by lookups and by passes
+        loop, state = _loop()
+        rows = [(f"u{rnd.randrange(60)}", rnd.randrange(1, 6), rnd.choice(kinds), rnd.choice(["x", "y", None])) for _ in range(700)]
+        got, first = [], {}
+        while rows:
+            batch, rows = rows[:(k := rnd.randint(1, most))], rows[k:]
+            got += [tuple(r) for r in loop.handleInputRows((0,), _tries(*batch), None)]
+            now = {}
+            for u, n, *t in batch:
+                now[u, n] = min(now.get((u, n), tuple(t)), tuple(t), key=SR._order)
+            first = now | first
+        want, open_, early = [], 0, 0
+        for u in {u for u, _ in first}:
+            n, backoff = 1, 0
+            while (u, n) in first:
+                kind, ct = first[u, n]
+                backoff += 2 ** (n - 1) if kind == "retry_server" or kind == "retry_network" and n < 5 else 0
+                if kind in ("ok", "fail") or n == 5:
+                    want.append((u, "ok" if kind == "ok" else "failed", n, backoff, ct))
+                    break
+                n += 1
+            else:
+                open_ += 1
+                early += sum((u, k) in first for k in range(n + 1, 6))
+        assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 20
+        held = tuple(len(state.maps[x]) for x in ("progress", "early", "done"))
+        assert held == state.maps["held"][None] == (open_, early, len(want))
+
+
+def test_retry_loop_ends_stalled_urls_of_a_bucket_at_their_own_times():
+    loop, state = _loop(stalled_after_s=10)
+    take = lambda ms, *rows: [tuple(r) for r in loop.handleInputRows((0,), _tries(*rows), _Now(ms))]
+
+    def fire(ms):
+        due = {t for t in state.timers if t <= ms}
+        out = [tuple(r) for t in sorted(due) for r in loop.handleExpiredTimer((0,), _Now(ms), t)]
+        state.timers -= due
+        return out
+
+    assert not take(0, ("a", 1, "retry_server", "x"), ("b", 1, "retry_server", "x"), ("b", 4, "ok", "x"))
+    assert not take(4000, ("c", 1, "retry_network", "y"))
+    assert not take(6000, ("a", 2, "retry_server", "z"))
+    assert state.timers == {10000}
+    assert fire(10000) == [("b", "pending", 1, 1, "x")] and state.timers == {14000} and not state.maps["early"]
+    assert not take(11000, ("b", 2, "ok", "late"))
+    assert fire(14000) == [("c", "pending", 1, 1, "y")] and state.timers == {16000}
+    assert take(15000, ("a", 3, "ok", "w")) == [("a", "ok", 3, 3, "w")]
+    assert not fire(16000) and not state.timers and state.maps["held"][None] == (0, 0, 3)
